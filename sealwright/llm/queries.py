@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, source_mixing, token_output, warc
+from . import decontamination, language_id, line_dedup, media, order_minhash, source_mixing, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +21,33 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark, table(spark, sf_dir, "pages")).drop("payload", "url")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op5_warc, op8_media_columns)}
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op4_language_id, op5_warc, op7_decontamination, op8_media_columns, op9_order_minhash, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op5_warc": """
@@ -42,4 +60,14 @@ SELECT page_id, n AS payload_bytes,
        CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> f THEN f END AS refers_to
 FROM bits""",
+    "op10_line_dedup": """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+x AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),
+w AS (SELECT doc_id, i, {'a': line, 'b': lead(line) OVER d, 'c': lead(line, 2) OVER d} AS k, lead(i, 2) OVER d IS NOT NULL AS whole FROM x WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM w WHERE whole),
+c AS (SELECT DISTINCT doc_id, i + o AS i FROM (SELECT doc_id, i FROM r WHERE n > 1), (SELECT unnest([0, 1, 2]) AS o)),
+s AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE p IS NULL OR p < i - 1) AS n_spans FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM c) GROUP BY doc_id),
+k AS (SELECT x.doc_id, string_agg(x.line, chr(10) ORDER BY x.i) AS kept FROM x ANTI JOIN c USING (doc_id, i) GROUP BY x.doc_id)
+SELECT l.doc_id, coalesce(len(l.lines), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM l LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }
