@@ -30,7 +30,7 @@ class WordIds(dict):
     encoding), so a text's ids are those of its words in order. At most ``most`` words are kept.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 300_000):
+    def __init__(self, path: str, dtype: str, most: int = 500_000):
         import re
 
         from tokenizers import Tokenizer
@@ -38,19 +38,26 @@ class WordIds(dict):
         self.tokenizer, self.dtype, self.most = Tokenizer.from_file(path), dtype, most
         self.plain = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
         self.parts: dict[str, bytes] = {}
+        self.merged = self.tokenizer.model.tokenize
 
     def part(self, text: str) -> bytes:
+        """Ids of ASCII letters in lower case, or of ASCII marks: one pre-token, which normalizing leaves as it is."""
         import numpy as np
 
         if (found := self.parts.get(text)) is None:
             if len(self.parts) >= self.most:
                 self.parts.clear()
-            found = self.parts[text] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            found = self.parts[text] = np.array([t.id for t in self.merged(text)], self.dtype).tobytes()
         return found
 
     def __missing__(self, word: str) -> bytes:
+        import numpy as np
+
         m = self.plain(word)
-        ids = self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"") if m and "<|" not in word else self.part(word)
+        if m and "<|" not in word:
+            ids = self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
         if len(self) >= self.most:
             self.clear()
         self[word] = ids
