@@ -3,6 +3,8 @@
 For each language a raw-content zstandard dictionary is cut from a bounded sample of labelled texts. A text is
 cleaned, cut into chunks of CHUNK_BYTES (all of it; a long text would else teach the compressor its own words), and
 each chunk is compressed with every dictionary. The margin is the part by which the best sum is below the second.
+A short text alone doesn't compress at all, so it rides behind carriers: pieces of the language's own sample, whose
+size without the text is subtracted; with some carriers, the sums differ by parts of a byte.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from .shared import letters
 #: The bound of what is learned from: so many texts a language, so many characters of each, so many bytes in all.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 96, 1500, 96 << 10
 CHUNK_BYTES = 1024
-#: Shorter texts are compressed with the finest matching, which tells languages apart by a few letters.
-SHORT_BYTES = 400
+#: Texts no longer than this ride behind so many carriers of so many bytes.
+SHORT_BYTES, CARRIERS, CARRIER_BYTES = 400, 16, 1024
+#: Longer texts do so too if their margin is below this; most repeat a few words, which the compressor learns at once.
+SURE_MARGIN = 0.03
 #: A text is rejected whose best language isn't better than the next by this part.
-MIN_MARGIN = 0.002
+MIN_MARGIN = 0.0005
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
@@ -54,28 +58,43 @@ class Classifier:
     def __init__(self, learned: dict[str, bytes]):
         import zstandard as z
 
+        def compressor(content: bytes, level: int, size: int):
+            p = z.ZstdCompressionParameters.from_level(level, source_size=size, dict_size=len(content), write_content_size=0, write_dict_id=0)
+            return z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=p).compress
+
         self.langs = sorted(learned)
-        dicts = [z.ZstdCompressionDict(learned[x], dict_type=z.DICT_TYPE_RAWCONTENT) for x in self.langs]
-        fast = z.ZstdCompressionParameters.from_level(3, source_size=CHUNK_BYTES, dict_size=DICTIONARY_BYTES, write_content_size=0, write_dict_id=0)
-        fine = z.ZstdCompressionParameters.from_level(19, source_size=SHORT_BYTES, dict_size=DICTIONARY_BYTES, min_match=3, strategy=z.STRATEGY_BTULTRA, write_content_size=0, write_dict_id=0)
-        self.fast = [z.ZstdCompressor(dict_data=d, compression_params=fast) for d in dicts]
-        self.fine = [z.ZstdCompressor(dict_data=d, compression_params=fine) for d in dicts]
+        self.long = [compressor(learned[x], 3, CHUNK_BYTES) for x in self.langs]
+        self.n = min([CARRIERS, *(len(learned[x]) // 2 // CARRIER_BYTES for x in self.langs)])
+        self.short = []
+        for x in self.langs:
+            carriers = [learned[x][i * CARRIER_BYTES : (i + 1) * CARRIER_BYTES] for i in range(self.n)] or [b""]
+            compress = compressor(learned[x][self.n * CARRIER_BYTES :], 12, CARRIER_BYTES + SHORT_BYTES)
+            self.short.append((compress, carriers, sum(len(compress(c)) for c in carriers)))
 
     def sizes(self, text: bytes) -> list[int]:
-        if len(text) <= SHORT_BYTES:
-            return [len(c.compress(text)) for c in self.fine]
         chunks = [text[i : i + CHUNK_BYTES] for i in range(0, len(text), CHUNK_BYTES)]
-        return [sum([len(compress(x)) for x in chunks]) for compress in [c.compress for c in self.fast]]
+        return [sum([len(compress(x)) for x in chunks]) for compress in self.long]
+
+    def short_sizes(self, text: bytes) -> list[int]:
+        return [sum([len(compress(c + b" " + text)) for c in carriers]) - alone for compress, carriers, alone in self.short]
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """(language, score, margin, rejected) of a cleaned text; ties go to the first language by name."""
-        text = (text or "").strip()
-        if not text or not self.langs:
+        raw = (text or "").strip().encode()
+        if not raw or not self.langs:
             return UNKNOWN, 0.0, 0.0, True
-        sizes = self.sizes(text.encode())
-        best, *rest = sorted(zip(sizes, self.langs))
-        margin = 1 - best[0] / rest[0][0] if rest else 1.0
-        return best[1], margin / (margin + 0.02), margin, margin < MIN_MARGIN
+        if len(self.langs) == 1:
+            return self.langs[0], 1.0, 1.0, False
+        margin = 0.0
+        if len(raw) > SHORT_BYTES:
+            (best, lang), (second, _) = sorted(zip(self.sizes(raw), self.langs))[:2]
+            margin = 1 - best / second
+        if margin < SURE_MARGIN:
+            chunks = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw), CHUNK_BYTES)]
+            sizes = map(sum, zip(*map(self.short_sizes, chunks)))
+            (best, lang), (second, _) = sorted(zip(sizes, self.langs))[:2]
+            margin = min(1.0, (second - best) / (max(1, self.n) * len(raw)))
+        return lang, margin / (margin + 0.02), margin, margin < MIN_MARGIN
 
 
 def predicted(text: Column, learned: dict[str, bytes]) -> Column:

@@ -106,7 +106,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2
             nonlocal out, path, compressor
             fs, base = filesystem(folder)
             path = f"{folder}/{attempt_name('pages', '.warc.zst')}"
-            out = fs.open_output_stream(f"{base}/{path.rsplit('/', 1)[1]}")
+            out = fs.open_output_stream(f"{base}/{path.rsplit('/', 1)[1]}", compression=None)  # the name would else ask for compression of the whole
             content = dictionary_of(held)
             out.write(struct.pack("<II", DICTIONARY_FRAME, len(content)) + content)
             compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=True, write_checksum=True)
@@ -173,7 +173,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 fs, at = filesystem(path)
                 rows, held = [], 0
-                with fs.open_input_stream(at) as source:
+                with fs.open_input_stream(at, compression=None) as source:
                     for record in records(source):
                         r = parsed(record)
                         if r["payload"] is not None and (len(r["payload"]) != r["payload_bytes"] or base32_digest(hashlib.sha1(r["payload"]).hexdigest()) != r["digest"]):
