@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThan
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..constants import FORMAT_VERSION, HEADER_BYTES, MAGIC
 from ..errors import LogFormatError
@@ -122,22 +122,11 @@ def list_segments(folder: str) -> list[tuple[str, int, str, int]]:
 
 class SegmentReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.kind, self.low, self.high = options["path"], options.get("rows", "frames"), 0, 1 << 16
-
-    def pushFilters(self, filters):
-        """Prunes files by segment_index; Spark still applies every filter."""
-        for f in filters:
-            if getattr(f, "attribute", None) == ("segment_index",):
-                if isinstance(f, EqualTo):
-                    self.low, self.high = max(self.low, f.value), min(self.high, f.value + 1)
-                elif isinstance(f, GreaterThanOrEqual):
-                    self.low = max(self.low, f.value)
-                elif isinstance(f, LessThan):
-                    self.high = min(self.high, f.value)
-            yield f
+        self.folder, self.kind = options["path"], options.get("rows", "frames")
+        self.low, self.high = int(options.get("first_segment", 0)), int(options.get("last_segment", 1 << 16))
 
     def partitions(self):
-        return [SegmentFile(log, seg, path) for log, seg, path, _ in list_segments(self.folder) if self.low <= seg < self.high] or [SegmentFile("", -1, "")]
+        return [SegmentFile(log, seg, path) for log, seg, path, _ in list_segments(self.folder) if self.low <= seg <= self.high] or [SegmentFile("", -1, "")]
 
     def read(self, partition):
         if partition.segment < 0:
@@ -190,7 +179,11 @@ class SegmentStream(DataSourceStreamReader):
 
 
 class AuditLogs(DataSource):
-    """``format("audit_logs")``; option rows: frames (default) or segments (headers)."""
+    """``format("audit_logs")``; options: rows (frames, the default, or segments: headers), first_segment and last_segment.
+
+    Files are pruned by these options and not by pushed filters: Spark keeps a relation's planned partitions, so a
+    filter that pruned them in one query would still do so in the next.
+    """
 
     @classmethod
     def name(cls):
@@ -206,9 +199,9 @@ class AuditLogs(DataSource):
         return SegmentStream(self.options)
 
 
-def read_log(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(frames, segments) of a log or store, for operators.verify and operators.query."""
+def read_log(spark: SparkSession, folder: str, first_segment: int = 0, last_segment: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """(frames, segments) of a log or store, for operators.verify and operators.query; of some of its segments only."""
     list_segments(folder)  # a missing folder is an error at once
     spark.dataSource.register(AuditLogs)
-    source = spark.read.format("audit_logs")
+    source = spark.read.format("audit_logs").option("first_segment", first_segment).option("last_segment", last_segment)
     return source.load(folder), source.option("rows", "segments").load(folder)
