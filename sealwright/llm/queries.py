@@ -40,7 +40,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc_start", "item_start")
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,15 @@ k AS (SELECT r.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(
       FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r) r JOIN h USING (doc_id) GROUP BY r.doc_id)
 SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
 FROM h LEFT JOIN k USING (doc_id)""",
+    # all aligned pairs of equal words; items of fewer than ten words would have to agree in more than this asks
+    "op7_decontamination": """
+WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+i AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
+dw AS (SELECT doc_id, len(w) AS l, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+iw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM i WHERE len(w) >= 5),
+m AS (SELECT doc_id, item_id, p, p - q AS g, least(13, n) AS size FROM dw JOIN iw USING (word) WHERE least(n, l - (p - q)) - greatest(0, q - p) >= least(13, n)),
+c AS (SELECT doc_id, item_id, size, count(*) OVER (PARTITION BY doc_id, item_id, g ORDER BY p RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS k FROM m)
+SELECT doc_id, item_id, size::INT AS n_words, max(k)::INT AS n_matches, max(k) / size AS similarity FROM c GROUP BY doc_id, item_id, size HAVING max(k) >= 0.8 * size - 1e-9""",
     "op10_line_dedup": """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 x AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),
