@@ -26,9 +26,14 @@ RESULT = "array<struct<item:int,doc_start:int,item_start:int,n_words:int,n_match
 TABLE_BITS = 22
 
 
+def hashes_of(clean: Column) -> Column:
+    """64-bit hashes of the words of a cleaned text (words()), in order."""
+    return F.transform(F.filter(F.split(clean, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+
 def word_hashes(text: Column) -> Column:
     """64-bit hashes of the words, in order; none for null and for texts without words."""
-    return F.transform(F.filter(F.split(words(text), " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return hashes_of(words(text))
 
 
 def seeds(hashes, mask: str):
