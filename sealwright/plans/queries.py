@@ -14,6 +14,8 @@ from ..keys import LocalKey
 from ..operators import query as q
 from ..operators.seal import SealConfig, record_inputs, seal, seal_native, segments_of
 from ..operators.verify import VerifyOptions, decoded, one_segment, report_json, verify, violations
+from ..sources.segments import read_log, write_segments
+from ..streaming.tail import tail
 
 SECRET, SESSION = bytes(range(32)), bytes.fromhex("00112233445566778899aabbccddeeff")
 KEY = LocalKey(SECRET)
@@ -222,6 +224,41 @@ def q_seek_record(spark, sf):
     return q.chain_listing(q.seek(records(spark, sf), 0, 7))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; a local one where that is unset, as in tests."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    uri = fs.makeQualified(path).toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)
+
+
+def q_file_roundtrip_verify(spark, sf):
+    folder = scratch(spark, "logs")
+    write_segments(seal(event_inputs(spark, sf), KEY, SESSION, SMALL), folder, KEY.key_id).write.format("noop").mode("overwrite").save()
+    frames, segments = read_log(spark, folder)
+    return verify(frames, segments, KEY).select("log_id", "compact")
+
+
+def q_file_roundtrip_records(spark, sf):
+    folder = scratch(spark, "logs")
+    write_segments(seal(event_inputs(spark, sf), KEY, SESSION), folder, KEY.key_id).write.format("noop").mode("overwrite").save()
+    return q.chain_listing(decoded(read_log(spark, folder)[0]))
+
+
+def q_stream_tail(spark, sf):
+    folder = scratch(spark, "logs")
+    write_segments(seal(event_inputs(spark, sf), KEY, SESSION, SMALL), folder, KEY.key_id).write.format("noop").mode("overwrite").save()
+    out, state = scratch(spark, "tail"), scratch(spark, "tail-state")
+    stream = tail(spark, folder).select("log_id", "segment_index", "file_offset", "torn", F.octet_length("payload_bytes").alias("payload_len"))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 QUERIES = {f.__name__[2:]: f for f in list(globals().values()) if getattr(f, "__name__", "").startswith("q_")}
 
 
@@ -281,6 +318,8 @@ ORACLE_SQL = {
     "verify_missing_record": f"""WITH {EVENTS}, k AS (SELECT log_id, rid, row_number() OVER w AS place, coalesce(lag(rid) OVER w, -1) AS before FROM r WHERE NOT ({MARKED}) WINDOW w AS (PARTITION BY log_id ORDER BY rid)),
 f AS (SELECT log_id, count(*) AS n, min(rid) FILTER (WHERE before < rid - 1) AS b, min(place) FILTER (WHERE before < rid - 1) AS seen FROM k GROUP BY log_id)
 SELECT log_id, coalesce(seen, n) AS records_inspected, CASE WHEN b IS NULL THEN 'Verified' ELSE 'ChainBreak@s0r' || b END AS compact FROM f""",
+    "file_roundtrip_verify": f"WITH {EVENTS} SELECT DISTINCT log_id, 'Verified' AS compact FROM r",
+    "file_roundtrip_records": f"{CHAIN} SELECT {_LISTING} FROM a",
     "verify_wrong_key_id": f"WITH {EVENTS} SELECT DISTINCT log_id, 0::BIGINT AS records_inspected, 'KeyIdMismatch@s0' AS compact FROM r",
     "verify_time_regression": f"""WITH o AS (SELECT o_custkey::VARCHAR AS log_id, {_MS.format('o_orderdate')} AS ms, row_number() OVER w - 1 AS rid, lag({_MS.format('o_orderdate')}) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
 f AS (SELECT log_id, count(*) AS n, min(rid) FILTER (WHERE ms - before < -60000) AS b FROM o GROUP BY log_id)
