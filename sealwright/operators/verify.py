@@ -119,57 +119,67 @@ def segment_states(checked: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def _walk(key_id: bytes, options: VerifyOptions):
-    """The ordered walk over a log's segments (at most 10,000 rows), as an applyInPandas function."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        out, prior_final, prior_ts, seen, n, last, stopped = [], None, None, 0, 0, None, False
-        indices = []
-        for r in sorted(rows.to_dict("records"), key=lambda r: r["segment_index"]):
-            if stopped:
-                break
-            n += 1
+    """The ordered walk over the segments of each log (at most 10,000 rows a log), as a mapInArrow function."""
+    offsets = {2: 4, 3: 72, 4: 8, 5: 76}
+
+    def walk(rows: list[dict]) -> dict:
+        out, prior_final, prior_ts, seen, last, indices = [], None, None, 0, None, []
+        for r in rows:
             indices.append(r["segment_index"])
-            log, seg, fail = r["log_id"], int(r["segment_index"]), r["fail"]
-            violation = None
-            offsets = {2: 4, 3: 72, 4: 8, 5: 76}
-            if r["header_rank"] is not None and not pd.isna(r["header_rank"]):
-                k = int(r["header_rank"])
-                violation = (k, None, offsets.get(k, 0), None, None)
-                clean = False
+            fail, violation = r["fail"], None
+            if r["header_rank"] is not None:
+                violation = (r["header_rank"], None, offsets.get(r["header_rank"], 0), None, None)
             elif prior_final is not None and r["prev_final"] != prior_final:
-                violation, clean = (6, None, 40, prior_final.hex(), r["prev_final"].hex()), False
+                violation = (6, None, 40, prior_final.hex(), r["prev_final"].hex())
             else:
-                seen += 0 if pd.isna(r["seen"]) else int(r["seen"])
-                first_ts = None if r["first_ts"] is None or pd.isna(r["first_ts"]) else int(r["first_ts"])
-                if prior_ts is not None and first_ts is not None and first_ts - prior_ts < -TIME_SLACK_MS and (fail is None or fail["pos"] > 0 or fail["rank"] > 13):
-                    seen -= max(0, int(r["seen"]) - 1)
+                back = prior_ts is not None and r["first_ts"] is not None and r["first_ts"] - prior_ts < -TIME_SLACK_MS
+                if back and (fail is None or fail["pos"] > 0 or fail["rank"] > 13):
+                    seen += 1
                     violation = (13, 0, HEADER_BYTES, None, None)
-                elif fail is not None:
-                    k = int(fail["rank"])
-                    rid = None if k == 7 else int(fail["pos"]) if k in (8, 9, 10) else int(fail["record_id"])
-                    evidence = {8: ("recomputed", "stored"), 11: ("prev_stored", "prev_hash"), 12: (None, "key_id")}.get(k, (None, None))
-                    expected = key_id.hex() if k == 12 else fail[evidence[0]] if evidence[0] else None
-                    violation = (k, rid, int(fail["file_offset"]), expected, fail[evidence[1]] if evidence[1] else fail["decode_error"])
-                clean = violation is None
-                if clean or violation[1] != 0 or violation[0] != 13:
-                    if r["last_ts"] is not None and not pd.isna(r["last_ts"]):
-                        prior_ts = int(r["last_ts"])
-                last = r["accepted_hmac"] or last or r["chain_start"]
-                if clean:
+                else:
+                    seen += r["seen"] or 0
+                    prior_ts = prior_ts if r["last_ts"] is None else r["last_ts"]
+                    last = r["accepted_hmac"] or last or r["chain_start"]
+                    if fail is not None:
+                        k = fail["rank"]
+                        record_id = None if k == 7 else fail["pos"] if k in (8, 9, 10) else fail["record_id"]
+                        evidence = {8: (fail["recomputed"], fail["stored"]), 11: (fail["prev_stored"], fail["prev_hash"]), 12: (key_id.hex(), fail["key_id"])}
+                        violation = (k, record_id, fail["file_offset"], *evidence.get(k, (None, fail["decode_error"])))
+                if violation is None:
                     prior_final = r["last_hmac"] or r["chain_start"]
                 elif not options.cascade:
                     prior_final = None
             if violation:
-                kind, detail = CHECKS[violation[0]]
-                out.append((log, seg, violation[0], kind, detail, *violation[1:]))
-                stopped = not options.forensic
-        summary = (rows["log_id"].iloc[0], n, seen, int(min(indices)), int(max(indices)), last.hex() if last else None)
-        return pd.DataFrame([(*summary, [dict(zip([x.split()[0] for x in VIOLATIONS.split(", ")], v)) for v in out])], columns=["log_id", "segments_inspected", "records_inspected", "first_segment_index", "last_segment_index", "final_hmac_hex", "violations"])
-
-    return walk
-
-
-REPORT = f"log_id string, segments_inspected int, records_inspected long, first_segment_index int, last_segment_index int, final_hmac_hex string, violations array<struct<{VIOLATIONS.replace(' ', ':').replace(',:', ',')}>>"
+                out.append(dict(zip(NAMES, (r["log_id"], r["segment_index"], violation[0], *CHECKS[violation[0]], *violation[1:]))))
+                if not options.forensic:
+                    break
+        return {"log_id": rows[0]["log_id"], "segments_inspected": len(indices), "records_inspected": seen, "first_segment_index": indices[0], "last_segment_index": indices[-1], "final_hmac_hex": last.hex() if last else None, "violations": out}
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+        one = pa.struct([(n, kinds[t]) for n, t in (x.split() for x in VIOLATIONS.split(", "))])
+        schema = pa.schema([*((n, kinds[t]) for n, t in (x.split() for x in COUNTERS.split(", "))), ("violations", pa.list_(one))])
+        held: list[dict] = []
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if held and held[0]["log_id"] != r["log_id"]:
+                    out.append(walk(held))
+                    held = []
+                held.append(r)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if held:
+            yield pa.RecordBatch.from_pylist([walk(held)], schema=schema)
+
+    return run
+
+
+NAMES = [x.split()[0] for x in VIOLATIONS.split(", ")]
+COUNTERS = "log_id string, segments_inspected int, records_inspected long, first_segment_index int, last_segment_index int, final_hmac_hex string"
+REPORT = f"{COUNTERS}, violations array<struct<{VIOLATIONS.replace(' ', ':').replace(',:', ',')}>>"
 
 
 def verify(frames: DataFrame, segments: DataFrame, key, options: VerifyOptions = VerifyOptions()) -> DataFrame:
@@ -179,7 +189,8 @@ def verify(frames: DataFrame, segments: DataFrame, key, options: VerifyOptions =
     """
     heads = header_checks(segments, key)
     states = segment_states(record_checks(decoded(frames), heads, key, options), heads)
-    report = states.groupBy("log_id").applyInPandas(_walk(key.key_id, options), REPORT)
+    states = states.repartition("log_id").sortWithinPartitions("log_id", "segment_index")
+    report = states.mapInArrow(_walk(key.key_id, options), REPORT)
     first = F.get("violations", F.lit(0))
     report = report.withColumn("verdict", F.when(F.size("violations") == 0, "Verified").otherwise("Violation"))
     report = report.withColumn("compact", compact_verdict(first["kind"], first["segment_index"], first["record_id"]))
