@@ -27,17 +27,20 @@ class WordIds(dict):
     """Ids of white-space-delimited words as little-endian bytes, computed when first asked for.
 
     Pieces never span white space in the tokenizers this is used with (checked in tests against whole-text
-    encoding), so a text's ids are those of its words in order. At most ``most`` words are kept.
+    encoding), so a text's ids are those of its words in order. The latest ``most`` words are kept, and as many of the
+    ones before, and so are the plain parts of words.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 500_000):
+    def __init__(self, path: str, dtype: str, most: int = 400_000):
         import re
 
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.most = Tokenizer.from_file(path), dtype, most
         self.plain = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
         self.merged = self.tokenizer.model.tokenize
 
     def part(self, text: str) -> bytes:
@@ -45,20 +48,24 @@ class WordIds(dict):
         import numpy as np
 
         if (found := self.parts.get(text)) is None:
+            if (found := self.old_parts.get(text)) is None:
+                found = np.array([t.id for t in self.merged(text)], self.dtype).tobytes()
             if len(self.parts) >= self.most:
-                self.parts.clear()
-            found = self.parts[text] = np.array([t.id for t in self.merged(text)], self.dtype).tobytes()
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[text] = found
         return found
 
     def __missing__(self, word: str) -> bytes:
         import numpy as np
 
-        m = self.plain(word)
-        if m and "<|" not in word:
-            ids = self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        if (ids := self.old.get(word)) is None:
+            m = self.plain(word)
+            if m and "<|" not in word:
+                ids = self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
+            else:
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[word] = ids
         return ids
