@@ -5,7 +5,9 @@ each of TABLES seeds the SAMPLE shingles with the smallest hashes, kept in the o
 sketch: equal sketches are likely only if the texts share shingles in the same order. Documents with an equal sketch
 are neighbours in a range-sorted table and give candidate pairs with their run's first member and with the member
 before: two pairs a row at most, however long the run. A pair is verified by the longest common subsequence of its
-labelled shingles inside the band that the similarity allows; links are closed to classes by star contraction.
+labelled shingles inside the band that the similarity allows; links are closed to classes by star contraction. Runs
+that then hold several classes go on, with more hubs in each turn, until all pairs of theirs in different classes have
+been tried.
 """
 
 from __future__ import annotations
@@ -22,6 +24,12 @@ K, SIMILARITY = 5, 0.8
 TABLES, SAMPLE = 20, 4
 #: Pairs are verified in groups of at most so many that share a member.
 GROUP = 32
+#: Hubs of a run in turn t: HUBS ** t; if no more than 4 * HUBS ** t pairs a member are left, all of them are tried.
+HUBS = 8
+#: A run's members meet its hubs in groups of about so many.
+SALT = 256
+#: 64-bit words of a signature.
+WORDS = 16
 
 
 def shingles(hashes, k: int = K):
@@ -109,6 +117,17 @@ def similarity(a, b, least: float = SIMILARITY) -> float:
     return common / (n + m - common)
 
 
+def signature(labelled):
+    """The number of shingles, and WORDS words with a bit for each shingle's hash, flipped by each.
+
+    Two signatures differ in no more bits than the documents in shingles, so what they rule out is never similar.
+    """
+    import numpy as np
+
+    bits = np.bincount((labelled * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.concatenate([[len(labelled)], np.packbits(bits.astype(np.uint8)).view(np.int64)])
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, copy (a hash of the text), node (16 bytes; equal for texts with the same words), sketch.
 
@@ -227,18 +246,83 @@ def classes(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def untried(members: DataFrame, turn: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Of runs with several classes (table, sketch, node, root, popular, sign): pairs (a: hub, b) of different classes to
+    verify in this turn, and the members of the runs that have more pairs than those.
+
+    The first hub is a run's member whose sketches are the most frequent (in a star of copies, the original); later,
+    one outside of the run's largest class, and members chosen by hash. Pairs that signatures rule out are left out.
+    """
+    run = ["table", "sketch"]
+    counts = members.groupBy(*run, "root").agg(F.count(F.lit(1)).alias("c"))
+    runs = written(counts.groupBy(*run).agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "root"))["root"].alias("largest")).filter("within < size * size"), "open-runs")
+    most = 4 * HUBS**turn
+    runs = runs.select(*run, "size", "largest", ((F.col("size") * F.col("size") - F.col("within")) / 2 <= F.col("size") * most).alias("all"))
+    m = written(members.join(runs, run), "open-members")
+    best = m.filter(F.lit(turn == 0) | (F.col("root") != F.col("largest"))).groupBy(*run).agg(F.max(F.struct("popular", "node"))["node"].alias("best"))
+    m = m.join(written(best, "hubs"), run)
+    hub = F.col("all") | (F.col("node") == F.col("best"))
+    if turn:
+        hub |= F.pmod(F.xxhash64("node"), F.col("size")) < HUBS**turn
+    m = m.withColumn("hub", hub).withColumn("salts", F.ceil(F.col("size") / SALT).cast("int")).select("*", F.col("sign")[0].alias("n"), *[F.col("sign")[i + 1].alias(f"s{i}") for i in range(WORDS)]).drop("sign")
+    m = written(m, "hubs-and-members")
+    h = m.filter("hub").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("h")
+    r = m.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts")).cast("int")).alias("r")
+    differ = sum((F.bit_count(F.col(f"h.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("h.s0").bitwiseXOR(F.col("r.s0"))))
+    may = F.least("h.n", "r.n") >= F.greatest("h.n", "r.n") * least - 1e-9
+    may &= differ <= (F.col("h.n") + F.col("r.n")) * ((1 - least) / (1 + least)) + 1e-9
+    on = (F.col("h.table") == F.col("r.table")) & (F.col("h.sketch") == F.col("r.sketch")) & (F.col("h.salt") == F.col("r.salt"))
+    on &= (F.col("h.root") != F.col("r.root")) & (~F.col("r.hub") | (F.col("h.node") < F.col("r.node"))) & may
+    # a merge join at every size: the members grow with the documents
+    pairs = h.join(r.hint("merge"), on).select(F.col("h.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    return written(pairs, "more-pairs"), m.filter("not all").select(*run, "node", "popular")
+
+
+def linked(nodes: DataFrame, pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """node, root of the nodes (node, sketch) with links: any two similar texts with an equal sketch are in one class.
+
+    After the pairs, only runs that aren't one class yet go on. In the last turn of such a run all its pairs in
+    different classes are tried, so nothing of it is left out; turns grow, so their number is a logarithm.
+    """
+
+    @F.pandas_udf("array<long>")
+    def sign(hashes: pd.Series) -> pd.Series:
+        return pd.Series([signature(shingles(h)) for h in hashes])
+
+    roots, run = classes(verified(pairs, texts, least)), ["table", "sketch"]
+    rows = written(nodes.select("node", F.posexplode("sketch").alias("table", "sketch")), "runs")
+    # a run of three has all its pairs already
+    sizes = written(rows.groupBy(*run).agg(F.count(F.lit(1)).alias("size")).filter("size > 3"), "run-sizes")
+    members = written(rows.join(sizes, run), "members")
+    popular = members.groupBy("node").agg(F.sum("size").alias("popular"))
+    members, signs, turn = members.join(popular, "node").select(*run, "node", "popular"), None, 0
+    while True:
+        rooted = written(members.join(roots, "node", "left").select(*run, "node", "popular", F.coalesce("root", "node").alias("root")), "rooted")
+        several = rooted.groupBy(*run).agg((F.min("root") < F.max("root")).alias("several")).filter("several").select(*run)
+        rooted = written(rooted.join(written(several, "several"), run), "several-members")
+        if rooted.isEmpty():
+            return roots
+        if signs is None:
+            wanted = texts.join(rooted.select("node").distinct(), "node")
+            signs = written(wanted.select("node", sign(word_hashes(F.col("text"))).alias("sign")), "signatures")
+        more, members = untried(rooted.join(signs, "node"), turn, least)
+        roots = classes(roots.toDF("a", "b").unionByName(verified(more, texts, least).select("a", "b")))
+        turn += 1
+
+
 def rows_with_class(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, copy, class_id; see near_duplicates()."""
     table = written(sketched(docs), "sketches")
     by_node = table.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("row"), F.first("sketch").alias("sketch"))
     pairs = written(candidates(by_node), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = ends.join(by_node.select("node", "row.*"), "node").withColumnRenamed("doc_id", "id").hint("merge")
+    nodes = written(ends.join(by_node.select("node", "row.*", "sketch"), "node"), "candidate-nodes")
+    ends = nodes.drop("sketch").withColumnRenamed("doc_id", "id").hint("merge")
     texts = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
     # a merge join at every size: the candidates grow with the documents
     texts = texts.join(ends, F.col("doc_id").eqNullSafe(F.col("id")) & (texts["copy"] == ends["copy"])).select("node", "text")
     texts = written(texts.dropDuplicates(["node"]), "candidate-texts")
-    roots = classes(verified(pairs, texts, least))
+    roots = linked(nodes, pairs, texts, least)
     rooted = table.select("doc_id", "copy", "node").join(roots, "node", "left").select("doc_id", "copy", F.coalesce("root", "node").alias("root"))
     ids = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rooted.join(ids, "root", "left").select("doc_id", "copy", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))

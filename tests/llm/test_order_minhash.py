@@ -103,6 +103,47 @@ def test_against_brute_force(spark, make, parts):
     assert sorted((r["doc_id"] for r in kept), key=repr) == sorted({d for d, c in want if d == c}, key=repr)
 
 
+def test_star_of_copies(spark, make):
+    """1,000 copies of a text are similar to it but not to each other; a run's head and neighbours are other copies."""
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(3000)]
+    original = [rng.choice(pool) for _ in range(120)]
+    texts = [" ".join(original)]
+    for i in range(1000):
+        w = list(original)
+        a = rng.randrange(6, 50)
+        w[a], w[a + rng.randrange(10, 55)] = f"x{i}", f"y{i}"
+        texts.append(" ".join(w))
+    # one part is the same in all of these, the rest never: they share runs, and are no near duplicates
+    texts += [" ".join(original[:90] + [f"z{i}x{j}" for j in range(30)]) for i in range(40)]
+    lists = [shingle_list(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(1, len(texts)):
+        if brute_similarity(lists[0], lists[i]) >= m.SIMILARITY:
+            root[i] = 0
+    assert root.count(0) == 1001
+    numbers: dict = {}
+    arrays = [np.array([numbers.setdefault(s, len(numbers)) for s in x], np.uint64) for x in lists]
+    for i in range(1001, len(texts)):  # all pairs of what is left
+        assert max(m.similarity(arrays[i], arrays[j]) for j in range(len(texts)) if j != i) < m.SIMILARITY
+    got = {r["doc_id"]: r["class_id"] for r in m.near_duplicates(make(list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_signatures_never_rule_out_what_is_similar():
+    rng = random.Random(9)
+    for n in (1, 7, 60, 3000):
+        for _ in range(20):
+            w = [rng.randrange(1 << 40) for _ in range(n)]
+            v = list(w)
+            for _ in range(rng.randrange(1 + n // 40)):
+                v[rng.randrange(n)] = rng.randrange(1 << 40)
+            a, b = (m.shingles(np.array(x, np.int64)) for x in (w, v))
+            x, y = m.signature(a), m.signature(b)
+            differ = sum(bin(int(p) & (1 << 64) - 1 ^ int(q) & (1 << 64) - 1).count("1") for p, q in zip(x[1:], y[1:]))
+            assert len(x) == 1 + m.WORDS and differ <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_closure_of_a_long_chain(spark):
     links = [(i.to_bytes(16, "big"), (i + 1).to_bytes(16, "big")) for i in range(40)] + [(b"x" * 16, b"y" * 16)]
     df = spark.createDataFrame([(a, b, 1.0) for a, b in links], "a binary, b binary, similarity double")
