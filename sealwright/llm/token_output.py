@@ -42,6 +42,8 @@ class WordIds(dict):
         self.parts: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
         self.merged = self.tokenizer.model.tokenize
+        # U+001C to U+001F are white space to Python, but not to the tokenizer
+        self.split = re.compile(r"[\S\x1c-\x1f]+").findall
 
     def part(self, text: str) -> bytes:
         """Ids of ASCII letters in lower case, or of ASCII marks: one pre-token, which normalizing leaves as it is."""
@@ -71,7 +73,8 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        return b"".join(map(self.__getitem__, self.split(text) if odd else text.split()))
 
 
 _encoders: dict[tuple, WordIds] = {}

@@ -23,6 +23,13 @@ def test_words_give_the_ids_of_the_whole_text(rng):
     assert [np.frombuffer(enc.encode(x), "<u2").tolist() for x in texts] == whole(texts)
 
 
+def test_separators_are_tokens():
+    texts = [x.replace("#", c) for c in "\x1c\x1d\x1e\x1f" for x in ("ab#cd", "ab # cd", "#ab cd#", "#", " ## ", "a#\nb\t#c", "Ab,#.Cd <|x|>#", "é#日本", "\u2003#\u00a0#x\x85y\u3000z")]
+    texts += ["\x1c\x1d\x1e\x1f", "a\x1c\x1d b\x1e \x1fc"]
+    enc = t.WordIds(PATH, "<u2")
+    assert [np.frombuffer(enc.encode(x), "<u2").tolist() for x in texts] == whole(texts)
+
+
 def test_round_trip_and_single_frames(rng):
     class Out(io.BytesIO):
         def close(self):
