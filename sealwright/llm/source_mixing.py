@@ -85,8 +85,10 @@ def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, block_words: int = BLOC
     sized = docs.withColumn("__size", n_words(F.col("text"))).withColumn("__order", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text"))
     per_source = written(sized.groupBy("source").agg(F.sum("__size").alias("source_size")), "mix-sources")
     total = per_source.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_words))
-    sized = sized.withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string"), "text"), F.lit(shards)))
+    # by the source's own size, so that a cell is many blocks or the whole source
+    shards = per_source.select(F.col("source").alias("__own"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("__shards"))
+    sized = sized.join(shards, F.col("source").eqNullSafe(F.col("__own")))
+    sized = sized.withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string"), "text"), F.col("__shards"))).drop("__own", "__shards")
     cells = written(sized.groupBy("source", "__shard").agg(F.sum("__size").alias("cell")), "mix-cells")
     cells = cells.withColumn("blocks", F.when(F.col("cell") > 0, F.greatest(F.lit(1), F.round(F.col("cell") / block_words).cast("long"))).otherwise(F.lit(0)))
     sources = targets(per_source, weights).withColumnRenamed("source", "s")

@@ -73,6 +73,15 @@ def test_mix(spark, make, rng):
     assert out.filter(F.col("doc_id") == 3).count() <= 3
 
 
+def test_small_source_beside_a_large_one(spark, make, rng):
+    """A small source of short documents gets its target however many shards the large one has."""
+    rows = [(i, sentence(rng, 400), "z large") for i in range(500)] + [(1000 + i, sentence(rng, 10), "small") for i in range(200)]
+    got = {r[0]: (r[1], r[2]) for r in m.mix(make(rows), shard_words=2_000).groupBy("source").agg(F.max("__target"), F.sum("__taken")).collect()}
+    for target, taken in got.values():
+        assert abs(taken - target) <= max(0.03 * target, 3 * m.BLOCK_WORDS)
+    assert got["small"][0] == 6000
+
+
 def test_empty_table(spark, make):
     assert m.mix(make([])).collect() == []
     assert m.mix(make([(1, None, "a"), (2, "", None)])).select("__taken").collect() == [(0,), (0,)]
