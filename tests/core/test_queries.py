@@ -38,3 +38,9 @@ def test_query(spark, con, name):
         want = con.sql(p.ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def test_chain_heads_gather_no_log(spark):
+    """A user may have any share of the events, so no row may hold a whole log."""
+    plan = p.QUERIES["seal_chain_heads"](spark, SF)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
