@@ -2,14 +2,17 @@
 
 Two equal strings of LENGTH bytes have the same smallest hash among their GRAM-byte strings, so only suffixes that
 begin at such smallest strings (about one in 16) are compared, each with as much text about it as its windows of
-LENGTH bytes reach. Sampled splitters deal these suffixes to buckets by their leading bytes (and by the hash of the
-first GRAM bytes, so that a frequent beginning can be cut but suffixes of equal beginnings never part: no match
-crosses a boundary). A first pass drops suffixes whose first GRAM bytes are in one document only. Then the buckets
-sort what is left, by multikey quicksort on eight-byte words, and give each window the smallest document that has it.
+LENGTH bytes reach, and MOST_WINDOWS windows at most. Sampled splitters deal these suffixes to buckets by their leading
+bytes, then by the hash of the first GRAM bytes: a frequent beginning can be cut, but suffixes of equal beginnings
+never part, so that no match lies across a bucket's boundary. A first pass drops suffixes whose first GRAM bytes are in
+one document only. Then each bucket sorts what is left in suffix order, by multikey quicksort on eight-byte words, and
+gives each window the smallest document that has it.
 
 Documents are worked on in groups of about GROUP_BYTES, and a group's suffixes travel as one compressed block per
-bucket. Copies of a whole document are settled first, by digest; in a group, and again in a bucket, equal suffixes
-are settled at once and only the smallest document's goes on. So no task gets more of a frequent string than one suffix a group.
+bucket. Copies of a whole document are settled first, by digest; in a group equal suffixes are settled at once and
+only the smallest document's goes on. A beginning that HOT suffixes or more have still (the edge of a passage that a
+third of all documents repeat, each with text of its own beside it) isn't compared in one place: its windows are
+dealt by their own digests, after each group has kept the smallest document of each.
 """
 
 from __future__ import annotations
@@ -20,9 +23,19 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
-GROUP_BYTES, BUCKET_BYTES = 2 << 20, 12 << 20
+GROUP_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: A suffix has at most so many windows; longer repetitions are cut.
+MOST_WINDOWS = 4 * SPAN
+#: Beginnings with more suffixes than this are compared window by window, wherever the windows' digests lead.
+HOT = 1 << 15
+#: Windows are sorted in turns of about so many, and hashes are computed for so many bytes at once.
+TURN, STRETCH = 1 << 18, 1 << 20
+#: Segments of the quicksort up to this size are finished together, word by word.
+SMALL_SEGMENT = 1 << 12
 #: Splitters come from a sample of about so many bytes of text, or of so many suffixes a bucket.
 SAMPLE_BYTES, SAMPLE_PER_BUCKET = 8 << 20, 64
 NO_ID = (1 << 63) - 1
@@ -76,8 +89,16 @@ class Group:
         """hash, doc, at (first window), n (windows), off (from the first window to the suffix), lead, of documents not in skip."""
         import numpy as np
 
-        n = len(self.data) - 96
-        words = np.ndarray((n + 64,), "<u8", self.data, 0, (1,))
+        parts = [self._stretch(at, min(at + STRETCH, len(self.data) - 96), skip) for at in range(0, len(self.data) - 96, STRETCH)]
+        kinds = (np.uint64, np.int64, np.int64, np.int64, np.int16, np.uint64)
+        return tuple(np.concatenate([np.empty(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds))
+
+    def _stretch(self, begin: int, end: int, skip):
+        """suffixes() of the windows that start in begin..end."""
+        import numpy as np
+
+        n = min(end - begin + SPAN, len(self.data) - 64 - begin)  # the grams of these windows
+        words = np.ndarray((n + GRAM,), "<u8", self.data, begin, (1,))
         grams = words[:n] * np.uint64(0x9E3779B97F4A7C15)
         for at in (*range(8, GRAM - 7, 8), GRAM - 8):
             grams ^= grams >> np.uint64(29)
@@ -93,21 +114,29 @@ class Group:
         if SPAN > span:
             np.minimum(least[: -(SPAN - span)], least[SPAN - span :], out=least[: -(SPAN - span)])
         # windows that lie in one document; the smallest hash of a run of windows, and where it comes first
+        n = end - begin
+        least = least[:n]
         windows = np.where(np.isin(np.arange(len(self.size)), skip), 0, np.maximum(self.size - LENGTH + 1, 0))
-        valid = np.zeros(n + 1, np.int8)
-        np.add.at(valid, self.start[windows > 0], 1)
-        np.add.at(valid, (self.start + windows)[windows > 0], -1)
-        valid = np.cumsum(valid[:n], dtype=np.int8).astype(bool)
+        opens, closes = (np.clip(x[windows > 0] - begin, 0, n) for x in (self.start, self.start + windows))
+        valid = np.zeros(n + 1, np.int32)
+        np.add.at(valid, opens, 1)
+        np.add.at(valid, closes, -1)
+        valid = np.cumsum(valid[:n]) > 0
         first = valid.copy()
         first[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
-        first[self.start[windows > 0]] = True
+        first[opens[opens < closes]] = True
         place = np.flatnonzero(first)
-        doc = np.searchsorted(self.start, place, "right") - 1
-        ends = np.minimum(np.append(place[1:], n), (self.start + windows)[doc])
+        doc = np.searchsorted(self.start, place + begin, "right") - 1
+        ends = np.minimum(np.append(place[1:], n), (self.start + windows)[doc] - begin)
+        pieces = -(-(ends - place) // MOST_WINDOWS)
+        if (pieces > 1).any():
+            turn = np.repeat(np.arange(len(place)), pieces)
+            place = place[turn] + MOST_WINDOWS * (np.arange(len(turn)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            doc, ends = doc[turn], np.minimum(ends[turn], place + MOST_WINDOWS)
         hashes, off = least[place], np.full(len(place), -1, np.int16)
         for o in range(SPAN):
             off[(off < 0) & (grams[place + o] == hashes)] = o
-        return hashes, doc, place - self.start[doc], ends - place, off, words[place + off].byteswap()
+        return hashes, doc, place + begin - self.start[doc], ends - place, off, words[place + off].byteswap()
 
 
 def bucket_of(lead, hashes, splitters):
@@ -155,52 +184,158 @@ def extract(splitters, n_buckets: int):
         multi = np.zeros(len(h), bool)
         multi[starts[shared]] = True
         send = np.flatnonzero(~known | multi)
-        b = bucket_of(lead[send], h[send], splitters)
+        weight = np.ones(len(h), np.int64)
+        weight[starts] = np.where(shared, ends - starts + 1, 1)
+        b = bucket_of(lead[send], h[send], splitters.value)
         turn = np.argsort(b, kind="stable")
         send, b = send[turn], b[turn]
         cuts = np.searchsorted(b, np.arange(n_buckets + 1))
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             s = send[cuts[k] : cuts[k + 1]]
             hk = h[s]
-            rows.append((dest, k, "suffixes", pack(ord=np.diff(group.ord, prepend=0), h=np.diff(hk, prepend=np.uint64(0)), doc=doc[s].astype("<i4"), at=at[s].astype("<i4"), n=n[s].astype("<i4"), off=off[s].astype("<i1"), multi=multi[s])))
+            rows.append((dest, k, "suffixes", pack(ord=np.diff(group.ord, prepend=0), h=np.diff(hk, prepend=np.uint64(0)), doc=doc[s].astype("<i4"), at=at[s].astype("<i4"), n=n[s].astype("<i4"), off=off[s].astype("<i1"), multi=multi[s], weight=weight[s].astype("<i4"))))
+        return blocks_table(rows)
+
+    return run
+
+
+def find_shared(most: int):
+    """Of a bucket: per group a block of the suffixes whose first bytes two or more documents have, and of the hot ones. Other kinds pass."""
+
+    def run(table):
+        import numpy as np
+
+        rows, parts = [], []
+        for dest, bucket, kind, data in zip(*(table.column(c).to_pylist() for c in ("dest", "bucket", "kind", "data"))):
+            if kind != "suffixes":
+                rows.append((dest, bucket, kind, data))
+                continue
+            x = unpack(data)
+            parts.append((np.full(len(x["h"]), dest, np.int32), np.cumsum(x["h"], dtype=np.uint64), np.cumsum(x["ord"])[x["doc"]], x["doc"], x["at"], x["n"], x["off"], x["multi"], x["weight"]))
+        if parts:
+            dest, h, ords, doc, at, n, off, multi, weight = (np.concatenate(p) for p in zip(*parts))
+            del parts
+            order = np.argsort(h)
+            s = h[order]
+            starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            sizes = np.diff(np.append(starts, len(s)))
+            o = ords[order]
+            shared = (np.minimum.reduceat(o, starts) != np.maximum.reduceat(o, starts)) | np.logical_or.reduceat(multi[order], starts)
+            crowd = shared & (np.add.reduceat(weight[order].astype(np.int64), starts) > most)
+            keep, hot = np.zeros((2, len(h)), bool)
+            keep[order], hot[order] = np.repeat(shared, sizes), np.repeat(crowd, sizes)
+            for mine, kind in ((keep & ~multi, "known"), (hot, "hot")):
+                kept = np.flatnonzero(mine)
+                kept = kept[np.argsort(dest[kept], kind="stable")]
+                for part in np.split(kept, np.flatnonzero(np.diff(dest[kept])) + 1) if len(kept) else []:
+                    data = pack(h=np.unique(h[part])) if kind == "hot" else pack(h=h[part], doc=doc[part], at=at[part], n=n[part], off=off[part])
+                    rows.append((int(dest[part[0]]), 0, kind, data))
         return blocks_table(rows)
 
     return run
 
 
-def find_shared(table):
-    """Of a bucket: per group a block of the suffixes whose first bytes two or more documents have. Other kinds pass."""
+def word_at(data, place, left):
+    """The eight bytes of data from each place as a big-endian number; of those, only the next ``left`` count, others are 0."""
     import numpy as np
 
-    rows, parts = [], []
-    for dest, bucket, kind, data in zip(*(table.column(c).to_pylist() for c in ("dest", "bucket", "kind", "data"))):
-        if kind != "suffixes":
-            rows.append((dest, bucket, kind, data))
-            continue
-        x = unpack(data)
-        parts.append((np.full(len(x["h"]), dest), np.cumsum(x["h"], dtype=np.uint64), np.cumsum(x["ord"])[x["doc"]], x["doc"], x["at"], x["n"], x["off"], x["multi"]))
-    if parts:
-        dest, h, ords, doc, at, n, off, multi = (np.concatenate(p) for p in zip(*parts))
-        del parts
-        order = np.argsort(h)
-        s = h[order]
-        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        o = ords[order]
-        shared = (np.minimum.reduceat(o, starts) != np.maximum.reduceat(o, starts)) | np.logical_or.reduceat(multi[order], starts)
-        keep = np.zeros(len(h), bool)
-        keep[order] = np.repeat(shared, np.diff(np.append(starts, len(s))))
-        keep &= ~multi
-        kept = np.flatnonzero(keep)
-        kept = kept[np.argsort(dest[kept], kind="stable")]
-        for part in np.split(kept, np.flatnonzero(np.diff(dest[kept])) + 1) if len(kept) else []:
-            rows.append((int(dest[part[0]]), 0, "known", pack(h=h[part], doc=doc[part], at=at[part], n=n[part], off=off[part])))
-    return blocks_table(rows)
+    words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    out = words[np.minimum(place, len(data) - 8)].byteswap()
+    short = left < 8
+    if short.any():
+        keep = np.clip(left[short], 0, 8).astype(np.uint64) * np.uint64(8)
+        out[short] = np.where(keep > 0, out[short] >> (np.uint64(64) - np.maximum(keep, np.uint64(1))) << (np.uint64(64) - np.maximum(keep, np.uint64(1))), np.uint64(0))
+    return out
+
+
+def multikey_quicksort(n: int, depths: int, word):
+    """Order of n strings of ``depths`` words, and whether each in that order begins a new value; word(rows, depth) gives words.
+
+    Each turn splits all open segments in three by a pivot: what is smaller and what is larger stay at their depth,
+    what is equal goes on to the next word. Small segments are finished together, by the same words within their ties.
+    """
+    import numpy as np
+
+    order, new = np.arange(n), np.zeros(n, bool)
+    new[:1] = True
+    start, end, depth = np.array([0]), np.array([n]), np.array([0])
+    small: list[tuple] = []
+    while len(start):
+        size = end - start
+        few = size <= SMALL_SEGMENT
+        small += zip(start[few & (size > 1)].tolist(), end[few & (size > 1)].tolist(), depth[few & (size > 1)].tolist())
+        start, end, depth, size = start[~few], end[~few], depth[~few], size[~few]
+        if not len(start):
+            break
+        at = np.cumsum(size) - size
+        segment = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(segment)) + np.repeat(start - at, size)
+        rows = order[place]
+        key = word(rows, depth[segment])
+        pivot = np.sort(key[at + np.stack([size // 4, size // 2, 3 * size // 4])], axis=0)[1][segment]
+        part = 3 * segment + (key >= pivot) + (key > pivot)
+        order[place] = rows[np.argsort(part, kind="stable")]
+        counts = np.bincount(part, minlength=3 * len(size))
+        ends = np.cumsum(counts) + np.repeat(start - at, 3)
+        starts = ends - counts
+        new[starts[counts > 0]] = True
+        depths_now = np.repeat(depth, 3) + np.tile([0, 1, 0], len(size))
+        open_ = (counts > 1) & (depths_now < depths)
+        start, end, depth = starts[open_], ends[open_], depths_now[open_]
+    if small:
+        start, end, depth = (np.array(x) for x in zip(*small))
+        size = end - start
+        place = np.concatenate([np.arange(a, b) for a, b in zip(start.tolist(), end.tolist())])
+        depth = np.repeat(depth, size)
+        segment = np.repeat(np.arange(len(size)), size)
+        while len(place):
+            rows = order[place]
+            key = word(rows, depth)
+            turn = np.lexsort((key, segment))
+            order[place], key = rows[turn], key[turn]
+            differ = (segment[1:] == segment[:-1]) & (key[1:] != key[:-1])
+            new[place[1:][differ]] = True
+            # what ties with a neighbour goes on to its next word
+            segment = np.cumsum(np.concatenate([[True], differ | (segment[1:] != segment[:-1])]))
+            tied = (np.bincount(segment)[segment] > 1) & (depth + 1 < depths)
+            place, depth, segment = place[tied], depth[tied] + 1, segment[tied]
+    return order, new
+
+
+def sorted_windows(data, place):
+    """multikey_quicksort() of the LENGTH-byte strings of data that begin at the places."""
+    return multikey_quicksort(len(place), -(-LENGTH // 8), lambda rows, depth: word_at(data, place[rows] + 8 * depth, LENGTH - 8 * depth))
+
+
+def window_digests(data, place):
+    """Two 64-bit hashes of each LENGTH-byte string."""
+    import numpy as np
+
+    out = np.full((2, len(place)), LENGTH, np.uint64)
+    for i in range(0, LENGTH, 8):
+        w = word_at(data, place + i, np.full(len(place), LENGTH - i))
+        for k, m in enumerate((0x9E3779B97F4A7C15, 0xA0761D6478BD642F)):
+            out[k] = (out[k] ^ w) * np.uint64(m)
+            out[k] ^= out[k] >> np.uint64(31 - 2 * k)
+    return out
+
+
+def ranges(context, window):
+    """(context, first window, windows) of the runs in lists of windows, which are in order."""
+    import numpy as np
+
+    if not len(context):
+        return np.empty((3, 0), np.int64)
+    begins = np.concatenate([[True], (np.diff(window) != 1) | (context[1:] != context[:-1])])
+    at = np.flatnonzero(begins)
+    return np.stack([context[at], window[at], np.diff(np.append(at, len(context)))])
 
 
 def contexts(splitters, n_buckets: int):
     """Of a group: its suffixes that may be shared, with the text about them, in a block for each bucket.
 
-    Of equal ones the smallest document's goes on; those of other documents are covered, which passes as ranges.
+    Equal ones are one context, which the smallest document has; those of other documents are covered. A context's
+    members (uid, doc, at) pass on to remove(). Of hot beginnings the windows go on, by their digests, instead.
     """
 
     def run(texts, blocks):
@@ -208,149 +343,165 @@ def contexts(splitters, n_buckets: int):
 
         if not texts.num_rows:
             return blocks_table([])
-        dest, group, known, rows = texts.column("dest")[0].as_py(), Group(texts), [], []
+        dest, group, known, hot, rows = texts.column("dest")[0].as_py(), Group(texts), [], [], []
         for kind, data in zip(blocks.column("kind").to_pylist(), blocks.column("data").to_pylist()):
             if kind == "copies":
                 rows.append((dest, dest % n_buckets, kind, data))
+            elif kind == "hot":
+                hot.append(unpack(data)["h"])
             else:
                 known.append(unpack(data))
-        if known:
-            h, doc, at, n, off = (np.concatenate([k[c] for k in known]) for c in ("h", "doc", "at", "n", "off"))
-            n, start = n.astype(np.int64), group.start[doc] + at
-            text = [bytes(group.data[a:b]) for a, b in zip(start.tolist(), (start + n + LENGTH - 1).tolist())]
-            first: dict = {}
-            turn = np.lexsort((at, group.ord[doc])).tolist()
-            covered = []
-            for i in turn:
-                j = first.setdefault((h[i], off[i], text[i]), i)
-                if group.ord[doc[i]] > group.ord[doc[j]]:
-                    covered.append(i)
-            if covered:
-                c = np.array(covered)
-                rows.append((dest, dest % n_buckets, "covered", pack(doc=doc[c], at=at[c].astype("<i4"), end=(at[c] + n[c] + LENGTH - 1).astype("<i4"))))
-            kept = np.ones(len(h), bool)
-            kept[covered] = False
-            kept = np.flatnonzero(kept)
-            words = np.ndarray((len(group.data) - 7,), "<u8", group.data, 0, (1,))
-            lead = words[start[kept] + off[kept]].byteswap()
-            b = bucket_of(lead, h[kept], splitters)
-            for k in np.unique(b).tolist():
-                s = kept[b == k]
-                rows.append((dest, k, "contexts", pack(h=h[s], ord=group.ord[doc[s]], doc=doc[s], at=at[s], n=n[s].astype("<i4"), off=off[s], text=np.frombuffer(b"".join([text[i] for i in s.tolist()]), np.uint8))))
+        if not known:
+            return blocks_table(rows)
+        h, doc, at, n, off = (np.concatenate([k[c] for k in known]) for c in ("h", "doc", "at", "n", "off"))
+        del known
+        n, start = n.astype(np.int64), group.start[doc] + at
+        order = np.lexsort((at, group.ord[doc]))
+        h, doc, at, n, off, start = (x[order] for x in (h, doc, at, n, off, start))
+        first: dict = {}
+        data = group.data
+        uid = np.array([first.setdefault((a, o, data[b:e].tobytes()), len(first)) for a, o, b, e in zip(h.tolist(), off.tolist(), start.tolist(), (start + n + LENGTH - 1).tolist())])
+        del first
+        rep = np.unique(uid, return_index=True)[1]
+        ords = group.ord[doc]
+        whole = ords > ords[rep][uid]
+        if whole.any():
+            rows.append((dest, dest % n_buckets, "covered", pack(doc=doc[whole].astype("<i4"), at=at[whole].astype("<i4"), end=(at + n + LENGTH - 1)[whole].astype("<i4"))))
+        by_uid = np.flatnonzero(~whole)
+        by_uid = by_uid[np.argsort(uid[by_uid], kind="stable")]
+        rows.append((dest, dest % n_buckets, "members", pack(uid=np.diff(uid[by_uid], prepend=0).astype("<i4"), doc=doc[by_uid].astype("<i4"), at=at[by_uid].astype("<i4"))))
+        h, doc, n, off, start, ords = (x[rep] for x in (h, doc, n, off, start, ords))
+        crowded = np.isin(h, np.concatenate(hot)) if hot else np.zeros(len(h), bool)
+        calm = np.flatnonzero(~crowded)
+        b = bucket_of(word_at(data, start[calm] + off[calm], np.full(len(calm), 8)), h[calm], splitters.value)
+        for k in np.unique(b).tolist():
+            s = calm[b == k]
+            text = np.concatenate([data[x:y] for x, y in zip(start[s].tolist(), (start[s] + n[s] + LENGTH - 1).tolist())])
+            rows.append((dest, k, "contexts", pack(h=h[s], ord=ords[s], uid=s.astype("<i4"), n=n[s].astype("<i4"), off=off[s].astype("<i1"), text=text)))
+        c = np.flatnonzero(crowded)
+        if len(c):
+            context = np.repeat(c, n[c])
+            window = np.arange(len(context)) - np.repeat(np.cumsum(n[c]) - n[c], n[c])
+            place = start[context] + window
+            order, new = sorted_windows(data, place)
+            wid = np.empty(len(order), np.int64)
+            wid[order] = np.cumsum(new) - 1
+            least = np.minimum.reduceat(ords[context][order], np.flatnonzero(new))
+            gone = least[wid] < ords[context]
+            if gone.any():
+                u, w, count = ranges(context[gone], window[gone])
+                rows.append((dest, dest % n_buckets, "found", pack(uid=u.astype("<i4"), first=w.astype("<i4"), count=count.astype("<i4"))))
+            stay = np.flatnonzero(~gone)
+            stay = stay[np.argsort(wid[stay], kind="stable")]
+            rows.append((dest, dest % n_buckets, "places", pack(wid=wid[stay].astype("<i4"), uid=context[stay].astype("<i4"), window=window[stay].astype("<i4"))))
+            one, two = window_digests(data, place[order[new]])
+            b = (one % np.uint64(n_buckets)).astype(np.int64)
+            turn = np.argsort(b, kind="stable")
+            cuts = np.searchsorted(b[turn], np.arange(n_buckets + 1))
+            for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                s = turn[cuts[k] : cuts[k + 1]]
+                rows.append((dest, k, "windows", pack(one=one[s], two=two[s], ord=least[s], wid=s.astype("<i4"))))
         return blocks_table(rows)
 
     return run
 
 
-def multikey_sort(keys):
-    """Order of the rows of a matrix of unsigned words, and whether each row in that order begins a new value.
-
-    Rows are sorted by their first word; only rows that still tie are sorted by the next, within their ties.
-    """
-    import numpy as np
-
-    order = np.argsort(keys[:, 0], kind="stable")
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order[1:], 0] != keys[order[:-1], 0]
-    for c in range(1, keys.shape[1]):
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        places = np.flatnonzero(tied)
-        if not len(places):
-            break
-        group = np.cumsum(new)[places]
-        rows = order[places]
-        turn = np.lexsort((keys[rows, c], group))
-        order[places] = rows = rows[turn]
-        new[places[1:]] |= (group[1:] == group[:-1]) & (keys[rows[1:], c] != keys[rows[:-1], c]) & (places[1:] == places[:-1] + 1)
-    return order, new
-
-
-def words_of(data, start, size, width: int):
-    """Big-endian words of the byte strings data[start : start + size], padded with zeros to width bytes, and their sizes."""
+def smaller_elsewhere(h, ords, n, off, start, data):
+    """For the contexts of a bucket, the windows that a smaller document has: arrays (context, first window, windows)."""
     import numpy as np
 
-    width = -(-width // 8) * 8
-    index = np.arange(width)
-    out = data[np.minimum(start[:, None] + index, len(data) - 1)]
-    out[index >= size[:, None]] = 0
-    return np.concatenate([np.ascontiguousarray(out).view(">u8").astype(np.uint64), size[:, None].astype(np.uint64)], axis=1)
-
-
-def smallest_ids(h, ords, start, n, data):
-    """For each context, the windows of it that a smaller document has: a list of (context, first window, windows)."""
-    import numpy as np
+    # in suffix order: the text from the beginning on, then the text before it, then how the windows lie in it
+    right, left = n + LENGTH - 1 - off, off.astype(np.int64)
+    a, b = -(-int(right.max()) // 8), -(-int(left.max()) // 8)
+
+    def word(rows, depth):
+        out = np.empty(len(rows), np.uint64)
+        for mine, place, size in ((depth < a, start + off, right), ((depth >= a) & (depth < a + b), start, left)):
+            if mine.any():
+                r, d = rows[mine], (depth[mine] if place is not start else depth[mine] - a) * 8
+                out[mine] = word_at(data, place[r] + d, size[r] - d)
+        last = depth == a + b
+        if last.any():
+            out[last] = (n[rows[last]] * 64 + off[rows[last]]).astype(np.uint64)
+        return out
 
-    size = n + LENGTH - 1
-    out = []
-    # equal contexts first: all but the smallest document's are covered whole
-    keys = np.concatenate([h[:, None], words_of(data, start, size, int(size.max()))], axis=1)
-    order, new = multikey_sort(keys)
+    order, new = multikey_quicksort(len(h), a + b + 1, word)
     number = np.cumsum(new) - 1
     least = np.minimum.reduceat(ords[order], np.flatnonzero(new))
     whole = ords[order] > least[number]
-    out += [(i, 0, int(n[i])) for i in order[whole].tolist()]
-    # then the windows of what is left, where a beginning has different contexts
-    left = order[~whole]
-    begins = np.concatenate([[True], h[left[1:]] != h[left[:-1]]])
-    several = np.bincount(np.cumsum(begins) - 1) > 1
-    left = left[several[np.cumsum(begins) - 1]]
-    if not len(left):
-        return out
-    context = np.repeat(left, n[left])
-    window = np.arange(len(context)) - np.repeat(np.cumsum(n[left]) - n[left], n[left])
-    cuts = np.append(np.flatnonzero(np.concatenate([[True], h[context[1:]] != h[context[:-1]]])), len(context))
+    gone = order[whole]
+    found = [np.stack([gone, np.zeros(len(gone), np.int64), n[gone]])]
+    # then the windows of what is left, where a beginning has different contexts; equal beginnings are neighbours
+    left_over = order[~whole]
+    begins = np.concatenate([[True], h[left_over[1:]] != h[left_over[:-1]]])
+    run = np.cumsum(begins) - 1
+    several = np.bincount(run)[run] > 1
+    left_over, run = left_over[several], run[several]
+    total = np.cumsum(n[left_over])
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])), len(run))
     at = 0
-    while at < len(cuts) - 1:  # beginnings by turns, about half a million windows at once
-        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + (1 << 19), "right")) - 1)
-        c, w = context[cuts[at] : cuts[end]], window[cuts[at] : cuts[end]]
-        keys = np.concatenate([h[c][:, None], words_of(data, start[c] + w, np.full(len(c), LENGTH), LENGTH)[:, :-1]], axis=1)
-        order, new = multikey_sort(keys)
-        least = np.empty(len(c), np.int64)
-        least[order] = np.minimum.reduceat(ords[c[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
-        hit = np.flatnonzero(least < ords[c])
-        if len(hit):
-            run = np.concatenate([[True], (np.diff(hit) > 1) | (c[hit[1:]] != c[hit[:-1]])])
-            first = hit[run]
-            counts = np.diff(np.append(np.flatnonzero(run), len(hit)))
-            out += list(zip(c[first].tolist(), w[first].tolist(), counts.tolist()))
+    while len(left_over) and at < len(cuts) - 1:  # beginnings by turns of about TURN windows; none has more than HOT contexts
+        base = total[cuts[at] - 1] if cuts[at] else 0
+        end = max(at + 1, int(np.searchsorted(total[cuts[at + 1 :] - 1], base + TURN, "right")) + at)
+        mine = left_over[cuts[at] : cuts[end]]
+        context = np.repeat(mine, n[mine])
+        window = np.arange(len(context)) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
+        order, new = sorted_windows(data, start[context] + window)
+        least = np.empty(len(context), np.int64)
+        least[order] = np.minimum.reduceat(ords[context[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
+        hit = least < ords[context]
+        found.append(ranges(context[hit], window[hit]))
         at = end
-    return out
+    return np.concatenate(found, axis=1)
 
 
 def compare(table):
     """Of a bucket: sorts its suffixes and gives each group the ranges that smaller documents have too."""
     import numpy as np
 
-    rows, parts, data = [], [], []
+    rows, parts, data, windows = [], [], [], []
     for dest, bucket, kind, block in zip(*(table.column(c).to_pylist() for c in ("dest", "bucket", "kind", "data"))):
-        if kind != "contexts":
+        if kind not in ("contexts", "windows"):
             rows.append((dest, bucket, kind, block))
             continue
         x = unpack(block)
-        parts.append((np.full(len(x["h"]), dest), x["h"], x["ord"], x["doc"], x["at"], x["n"]))
-        data.append(x["text"])
+        if kind == "windows":
+            windows.append((np.full(len(x["one"]), dest, np.int32), x["one"], x["two"], x["ord"], x["wid"]))
+        else:
+            parts.append((np.full(len(x["h"]), dest, np.int32), x["h"], x["ord"], x["uid"], x["n"], x["off"]))
+            data.append(x["text"])
+
+    def reply(kind, dest, **arrays):
+        turn = np.argsort(dest, kind="stable")
+        for part in np.split(turn, np.flatnonzero(np.diff(dest[turn])) + 1) if len(turn) else []:
+            rows.append((int(dest[part[0]]), 0, kind, pack(**{k: x[part].astype("<i4") for k, x in arrays.items()})))
+
     if parts:
-        dest, h, ords, doc, at, n = (np.concatenate(p) for p in zip(*parts))
-        n, text = n.astype(np.int64), np.concatenate(data)
+        dest, h, ords, uid, n, off = (np.concatenate(p) for p in zip(*parts))
+        n, text = n.astype(np.int64), np.concatenate([*data, np.zeros(8, np.uint8)])
         start = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
         del data, parts
-        # contexts of a very long repetition apart, so that the others' keys stay narrow
-        found = []
-        long = np.isin(h, h[n > 4 * SPAN])
-        for mine in (np.flatnonzero(~long), np.flatnonzero(long)):
-            if len(mine):
-                found += [(int(mine[i]), a, b) for i, a, b in smallest_ids(h[mine], ords[mine], start[mine], n[mine], text)]
-        if found:
-            i, first, count = (np.array(c) for c in zip(*found))
-            turn = np.argsort(dest[i], kind="stable")
-            i, first, count = i[turn], first[turn], count[turn]
-            for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(dest[i])) + 1):
-                k, a = i[part], at[i[part]] + first[part]
-                rows.append((int(dest[k[0]]), 0, "covered", pack(doc=doc[k], at=a.astype("<i4"), end=(a + count[part] + LENGTH - 1).astype("<i4"))))
+        i, first, count = smaller_elsewhere(h, ords, n, off, start, text)
+        reply("found", dest[i], uid=uid[i], first=first, count=count)
+    if windows:
+        dest, one, two, ords, wid = (np.concatenate(p) for p in zip(*windows))
+        order = np.lexsort((two, one))
+        new = np.concatenate([[True], (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])])
+        least = np.minimum.reduceat(ords[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        gone = order[least < ords[order]]
+        reply("gone", dest[gone], wid=wid[gone])
     return blocks_table(rows)
 
 
+def joined(keys, others):
+    """(i, j): all places with keys[i] == others[j]; others are in order."""
+    import numpy as np
+
+    lo, hi = np.searchsorted(others, keys, "left"), np.searchsorted(others, keys, "right")
+    i = np.repeat(np.arange(len(keys)), hi - lo)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+
+
 def remove(with_bytes: bool):
     """Of a group: the result rows; ranges merge, as a byte goes once however many ranges cover it."""
 
@@ -360,17 +511,29 @@ def remove(with_bytes: bool):
         import numpy as np
         import pyarrow as pa
 
-        group = Group(texts)
-        marks = np.zeros(len(group.data) + 1, np.int32)
+        group, found = Group(texts), {k: [] for k in ("copies", "covered", "members", "places", "found", "gone")}
         for kind, data in zip(blocks.column("kind").to_pylist(), blocks.column("data").to_pylist()):
-            x = unpack(data)
-            if kind == "copies":
-                gone = x["doc"][group.size[x["doc"]] >= LENGTH]
-                begin, end = group.start[gone], group.start[gone] + group.size[gone]
-            else:
-                begin, end = group.start[x["doc"]] + x["at"], group.start[x["doc"]] + x["end"]
+            found[kind].append(unpack(data))
+        marks = np.zeros(len(group.data) + 1, np.int32)
+
+        def mark(begin, end):
             np.add.at(marks, begin, 1)
             np.add.at(marks, end, -1)
+
+        for x in found["copies"]:
+            gone = x["doc"][group.size[x["doc"]] >= LENGTH]
+            mark(group.start[gone], group.start[gone] + group.size[gone])
+        for x in found["covered"]:
+            mark(group.start[x["doc"]] + x["at"], group.start[x["doc"]] + x["end"])
+        for m in found["members"]:  # one block a group
+            uids, at = np.cumsum(m["uid"]), group.start[m["doc"]] + m["at"]
+            hits = [(x["uid"], x["first"], x["count"]) for x in found["found"]]
+            for x in found["places"]:
+                i, j = joined(np.concatenate([np.empty(0, np.int32), *(g["wid"] for g in found["gone"])]), x["wid"])
+                hits.append((x["uid"][j], x["window"][j], np.ones(len(j), np.int32)))
+            for uid, first, count in hits:
+                i, j = joined(uid, uids)
+                mark(at[j] + first[i], at[j] + first[i] + count[i] + LENGTH - 1)
         covered = np.cumsum(marks[:-1]) > 0
         out = {}
         for key, i in group.ids.items():
@@ -410,7 +573,7 @@ def sampled_splitters(texts: DataFrame, total: int, n_buckets: int):
     return lead[order][at], h[order][at]
 
 
-def dedup(docs: DataFrame, with_bytes: bool = True, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, with_bytes: bool = True, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """Per row of docs: RESULT, where kept is the text's remaining bytes (null without with_bytes).
 
     A byte goes if a string of LENGTH bytes that covers it also begins in a document with a smaller doc_id. Strings
@@ -420,15 +583,16 @@ def dedup(docs: DataFrame, with_bytes: bool = True, group_bytes: int = GROUP_BYT
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_groups, n_buckets = max(1, math.ceil(total / group_bytes)), max(1, math.ceil(total / bucket_bytes))
     text = F.coalesce("text", F.lit(""))
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ord"), F.crc32(text).alias("tag"), text.alias("text"))
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ord"), F.unhex(F.md5(text)).alias("tag"), text.alias("text"))
     t = t.select(F.pmod(F.xxhash64("ord", "tag"), F.lit(n_groups)).alias("dest"), "doc_id", "ord", "tag", "text")
-    splitters = sampled_splitters(t, total, n_buckets)
-    digests = t.select("dest", "ord", "tag", F.unhex(F.md5("text")).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last").select("digest", "first")
-    copies = digests.join(firsts, "digest").filter("ord > first").select("dest", "ord", "tag").toDF("dest", "ord", "tag")
+    splitters = docs.sparkSession.sparkContext.broadcast(sampled_splitters(t, total, n_buckets))  # 16 bytes a bucket
+    digests = t.select("dest", "ord", "tag")
+    # from a table: a join fed by the aggregate itself couldn't be split where a third of all rows have one digest
+    firsts = written(digests.groupBy("tag").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last").select("tag", "first"), "first-copies")
+    copies = digests.join(firsts, "tag").filter("ord > first").select("dest", "ord", "tag").toDF("dest", "ord", "tag")
     by_dest = lambda df: df.groupBy("dest")
     found = by_dest(t).cogroup(by_dest(copies)).applyInArrow(extract(splitters, n_buckets), BLOCK)
-    found = found.groupBy("bucket").applyInArrow(find_shared, BLOCK)
+    found = found.groupBy("bucket").applyInArrow(find_shared(hot), BLOCK)
     found = by_dest(t).cogroup(by_dest(found)).applyInArrow(contexts(splitters, n_buckets), BLOCK)
     found = found.groupBy("bucket").applyInArrow(compare, BLOCK)
     return by_dest(t).cogroup(by_dest(found)).applyInArrow(remove(with_bytes), RESULT)
