@@ -1,11 +1,11 @@
 """Near duplicates by Order MinHash: sampled k-mers of words in text order, candidates verified by banded alignment.
 
-A document's five-word shingles are labelled by their occurrence number, so all of its labelled shingles differ. For
+A document's K-word shingles are labelled by their occurrence number, so all of its labelled shingles differ. For
 each of TABLES seeds the SAMPLE shingles with the smallest hashes, kept in the order of the text, are hashed to one
 sketch: equal sketches are likely only if the texts share shingles in the same order. Documents with an equal sketch
 are neighbours in a range-sorted table and give candidate pairs with their run's first member and with the member
-before: two pairs a row at most, however long the run. A pair is verified by the longest common subsequence of its
-labelled shingles inside the band that the similarity allows; links are closed to classes by star contraction. Runs
+before: two pairs a row at most, however long the run. A pair is verified by aligning its words inside the band that
+the similarity allows (insertions, deletions, substitutions); links are closed to classes by star contraction. Runs
 that then hold several classes go on, with more hubs in each turn, until all pairs of theirs in different classes have
 been tried.
 """
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from .decontamination import hashes_of, word_hashes
 from .shared import words, written
 
-K, SIMILARITY = 5, 0.8
-#: P(no equal sketch) at similarity 0.8 is (1 - 0.8 ** 4) ** 20 = 3e-5; at 0.9 it is 2e-9.
-TABLES, SAMPLE = 20, 4
+#: Similarity is 1 - edits / words of the longer text. Of two texts with scattered edits (share of equal words s), each
+#: K-word shingle survives with s ** K, so K is short: the chance of an equal sketch is 0.999 at s = 0.93, 0.98 at 0.9
+#: and 0.84 at 0.85 for substitutions that lie apart; edits that lie together cost fewer shingles.
+K, SIMILARITY = 3, 0.8
+TABLES, SAMPLE = 20, 3
 #: Pairs are verified in groups of at most so many that share a member.
 GROUP = 32
 #: Hubs of a run in turn t: HUBS ** t; if no more than 4 * HUBS ** t pairs a member are left, all of them are tried.
@@ -83,47 +85,63 @@ def sketches(labelled, tables: int = TABLES, sample: int = SAMPLE):
     return out
 
 
-def similarity(a, b, least: float = SIMILARITY) -> float:
-    """|common| / |all| of two documents' labelled shingles, where only those that agree in order count as common.
+def edit_distance(a: list, b: list, most: int) -> int:
+    """Insertions, deletions and substitutions from a to b; exact up to ``most``, above it some larger number.
 
-    The shingles of a document all differ, so the longest common subsequence is the longest increasing run of places.
-    Alignments that similarity ``least`` allows stay within a band about the diagonal, and only it is searched; the
-    value is exact if it is at least ``least``.
+    The alignment's matrix is walked along its diagonals, no farther than ``most`` from the main one. A column's part
+    of the band is two numbers, whose bits say where a cell is one above and one below its upper neighbour, so that a
+    column is a few operations on whole numbers.
     """
-    from bisect import bisect_left
-
-    import numpy as np
-
+    begin, end = 0, min(len(a), len(b))
+    while begin < end and a[begin] == b[begin]:
+        begin += 1
+    behind = 0
+    while behind < end - begin and a[-1 - behind] == b[-1 - behind]:
+        behind += 1
+    a, b = a[begin : len(a) - behind], b[begin : len(b) - behind]
+    if len(a) < len(b):
+        a, b = b, a
     n, m = len(a), len(b)
-    if not n or not m or min(n, m) < least * max(n, m):
-        return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    band = int((n + m) * (1 - least) / (1 + least)) + 1
-    inside = np.abs(i - j) <= band
-    i, j = i[inside], j[inside]
-    if len(i) < least / (1 + least) * (n + m) - 1e-9:
+    if n - m > most or not m:
+        return n
+    most = min(most, n)
+    # bit k of column j's numbers is row j - most + k; rows above the first count up away from it
+    mask, new_row = (1 << 2 * most + 1) - 1, 1 << 2 * most
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i + most
+    down = (1 << most) - 1
+    up, watched, distance = mask ^ down, 1 << n - m + most, n - m
+    for j, x in enumerate(b):
+        same = where.get(x, 0) >> j & mask
+        level = ((same & up) + up ^ up | same | down) & mask  # where the diagonal step is free
+        right = down | ~(level | up) & mask
+        left = level & up
+        if not level & watched and (distance := distance + 1) > most:
+            return distance
+        right = right << 1 | 1
+        up, down = ((left << 1 | ~(level | right)) & mask) >> 1 | new_row, (level & right & mask) >> 1
+    return distance
+
+
+def similarity(a: list, b: list, least: float = SIMILARITY) -> float:
+    """1 - edits / words of the longer text for two lists of words; exact if it is at least ``least``, else something smaller."""
+    longer = max(len(a), len(b))
+    if not longer or not a or not b:
         return 0.0
-    j = j[np.argsort(i)]
-    if (j[1:] > j[:-1]).all():
-        common = len(j)
-    else:
-        tails: list[int] = []
-        for x in j.tolist():
-            if (k := bisect_left(tails, x)) == len(tails):
-                tails.append(x)
-            else:
-                tails[k] = x
-        common = len(tails)
-    return common / (n + m - common)
-
-
-def signature(labelled):
-    """The number of shingles, and WORDS words with a bit for each shingle's hash, flipped by each.
-
-    Two signatures differ in no more bits than the documents in shingles, so what they rule out is never similar.
+    most = int((1 - least) * longer + 1e-9)
+    return 1 - edit_distance(a, b, most) / longer
+
+
+def signature(hashes):
+    """The number of words, and WORDS 64-bit words with a bit for each word's hash and occurrence, flipped by each.
+
+    An edit changes two words at most, so two signatures differ in no more than two bits an edit; what they rule out
+    is never similar.
     """
     import numpy as np
 
+    labelled = shingles(hashes, 1)
     bits = np.bincount((labelled * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
     return np.concatenate([[len(labelled)], np.packbits(bits.astype(np.uint8)).view(np.int64)])
 
@@ -198,27 +216,27 @@ def candidates(by_node: DataFrame) -> DataFrame:
     return pairs.filter("a is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """a, b, similarity of the pairs whose texts (node, text) are at least so similar.
+def verified(pairs: DataFrame, words_of: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """a, b, similarity of the pairs whose texts (node, hashes of the words) are at least so similar.
 
-    The pairs of a node are cut into groups of about GROUP, so that none is large; a group has its node's text once.
+    The pairs of a node are cut into groups of about GROUP, so that none is large; a group has its node's words once.
     """
-    size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
+    # from a table, so that the join can split a node with very many pairs
+    size = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups")), "pair-groups")
     p = pairs.join(size, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
-    left = p.select("a", "part").distinct().join(texts, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("binary").alias("b"), "text")
-    right = p.join(texts, F.col("b") == F.col("node")).select("a", "part", "b", "text")
-    both = left.unionByName(right).select("a", "part", "b", word_hashes(F.col("text")).alias("hashes"))
+    left = p.select("a", "part").distinct().join(words_of, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("binary").alias("b"), "hashes")
+    right = p.join(words_of, F.col("b") == F.col("node")).select("a", "part", "b", "hashes")
 
     def compare(table):
         import pyarrow as pa
 
-        names, rows = table.column("b").to_pylist(), [shingles(h.values.to_numpy()) for h in table.column("hashes")]
-        hub = names.index(None)
-        found = [(table.column("a")[0].as_py(), b, s) for b, x in zip(names, rows) if b is not None and (s := similarity(rows[hub], x, least)) >= least]
+        names, rows = table.column("b").to_pylist(), table.column("hashes")
+        hub = rows[names.index(None)].as_py()
+        found = [(table.column("a")[0].as_py(), b, s) for b, x in zip(names, rows) if b is not None and (s := similarity(hub, x.as_py(), least)) >= least]
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema) if found else schema.empty_table()
 
-    return both.groupBy("a", "part").applyInArrow(compare, "a binary, b binary, similarity double")
+    return left.unionByName(right).groupBy("a", "part").applyInArrow(compare, "a binary, b binary, similarity double")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -270,7 +288,7 @@ def untried(members: DataFrame, turn: int, least: float) -> tuple[DataFrame, Dat
     r = m.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts")).cast("int")).alias("r")
     differ = sum((F.bit_count(F.col(f"h.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("h.s0").bitwiseXOR(F.col("r.s0"))))
     may = F.least("h.n", "r.n") >= F.greatest("h.n", "r.n") * least - 1e-9
-    may &= differ <= (F.col("h.n") + F.col("r.n")) * ((1 - least) / (1 + least)) + 1e-9
+    may &= differ <= F.greatest("h.n", "r.n") * (2 * (1 - least)) + 1e-9
     on = (F.col("h.table") == F.col("r.table")) & (F.col("h.sketch") == F.col("r.sketch")) & (F.col("h.salt") == F.col("r.salt"))
     on &= (F.col("h.root") != F.col("r.root")) & (~F.col("r.hub") | (F.col("h.node") < F.col("r.node"))) & may
     # a merge join at every size: the members grow with the documents
@@ -278,61 +296,70 @@ def untried(members: DataFrame, turn: int, least: float) -> tuple[DataFrame, Dat
     return written(pairs, "more-pairs"), m.filter("not all").select(*run, "node", "popular")
 
 
-def linked(nodes: DataFrame, pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def linked(nodes: DataFrame, pairs: DataFrame, words_of: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """node, root of the nodes (node, sketch) with links: any two similar texts with an equal sketch are in one class.
 
-    After the pairs, only runs that aren't one class yet go on. In the last turn of such a run all its pairs in
-    different classes are tried, so nothing of it is left out; turns grow, so their number is a logarithm.
+    After the pairs, only runs that aren't one class yet go on, so that a large group of copies, which is one class by
+    then, has no rows here. In the last turn of a run all its pairs in different classes are tried, so nothing of it is
+    left out; turns grow, so their number is a logarithm.
     """
 
     @F.pandas_udf("array<long>")
     def sign(hashes: pd.Series) -> pd.Series:
-        return pd.Series([signature(shingles(h)) for h in hashes])
-
-    roots, run = classes(verified(pairs, texts, least)), ["table", "sketch"]
-    rows = written(nodes.select("node", F.posexplode("sketch").alias("table", "sketch")), "runs")
-    # a run of three has all its pairs already
-    sizes = written(rows.groupBy(*run).agg(F.count(F.lit(1)).alias("size")).filter("size > 3"), "run-sizes")
-    members = written(rows.join(sizes, run), "members")
-    popular = members.groupBy("node").agg(F.sum("size").alias("popular"))
-    members, signs, turn = members.join(popular, "node").select(*run, "node", "popular"), None, 0
+        return pd.Series([signature(h) for h in hashes])
+
+    roots, run = classes(verified(pairs, words_of, least)), ["table", "sketch"]
+    members, signs, turn = None, None, 0
     while True:
-        rooted = written(members.join(roots, "node", "left").select(*run, "node", "popular", F.coalesce("root", "node").alias("root")), "rooted")
-        several = rooted.groupBy(*run).agg((F.min("root") < F.max("root")).alias("several")).filter("several").select(*run)
-        rooted = written(rooted.join(written(several, "several"), run), "several-members")
+        if members is None:
+            rooted = nodes.select("node", "sketch").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.posexplode("sketch").alias("table", "sketch"))
+            rooted = written(rooted, "runs")
+        else:
+            rooted = written(members.join(roots, "node", "left").select(*run, "node", F.coalesce("root", "node").alias("root")), "rooted")
+        # a run of three has all its pairs already
+        several = rooted.groupBy(*run).agg(F.count(F.lit(1)).alias("size"), (F.min("root") < F.max("root")).alias("several"))
+        several = written(several.filter("several" if turn else "several and size > 3").select(*run, "size"), "several")
+        rooted = written(rooted.join(several, run), "several-members")
         if rooted.isEmpty():
             return roots
+        popular = written(rooted.groupBy("node").agg(F.sum("size").alias("popular")), "popular")
         if signs is None:
-            wanted = texts.join(rooted.select("node").distinct(), "node")
-            signs = written(wanted.select("node", sign(word_hashes(F.col("text"))).alias("sign")), "signatures")
-        more, members = untried(rooted.join(signs, "node"), turn, least)
-        roots = classes(roots.toDF("a", "b").unionByName(verified(more, texts, least).select("a", "b")))
+            signs = written(words_of.join(popular.select("node"), "node").select("node", sign("hashes").alias("sign")), "signatures")
+        rooted = rooted.drop("size").join(popular.join(signs, "node"), "node")
+        more, members = untried(rooted, turn, least)
+        members = members.select(*run, "node")
+        roots = classes(roots.toDF("a", "b").unionByName(verified(more, words_of, least).select("a", "b")))
         turn += 1
 
 
 def rows_with_class(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, copy, class_id; see near_duplicates()."""
     table = written(sketched(docs), "sketches")
-    by_node = table.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("row"), F.first("sketch").alias("sketch"))
+    by_node = written(table.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("row"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "nodes")
     pairs = written(candidates(by_node), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     nodes = written(ends.join(by_node.select("node", "row.*", "sketch"), "node"), "candidate-nodes")
     ends = nodes.drop("sketch").withColumnRenamed("doc_id", "id").hint("merge")
     texts = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
     # a merge join at every size: the candidates grow with the documents
-    texts = texts.join(ends, F.col("doc_id").eqNullSafe(F.col("id")) & (texts["copy"] == ends["copy"])).select("node", "text")
-    texts = written(texts.dropDuplicates(["node"]), "candidate-texts")
-    roots = linked(nodes, pairs, texts, least)
-    rooted = table.select("doc_id", "copy", "node").join(roots, "node", "left").select("doc_id", "copy", F.coalesce("root", "node").alias("root"))
-    ids = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rooted.join(ids, "root", "left").select("doc_id", "copy", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    texts = texts.join(ends, F.col("doc_id").eqNullSafe(F.col("id")) & (texts["copy"] == ends["copy"])).select("node", word_hashes(F.col("text")).alias("hashes"))
+    words_of = written(texts.dropDuplicates(["node"]), "candidate-words")
+    roots = linked(nodes, pairs, words_of, least)
+    # by nodes first, and from tables: neither many copies of a text nor a large class is one task's rows
+    rooted = written(by_node.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted-nodes")
+    ids = written(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "class-ids")
+    named = written(rooted.join(ids, "root").select("node", "class_id"), "node-classes")
+    out = table.select("doc_id", "copy", "node").join(named, "node", "left")
+    return out.select("doc_id", "copy", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id: the smallest doc_id of those that near-duplicate links connect; a row for each row of docs.
 
-    Case and punctuation don't count. Texts of fewer than K words are alike only if their words are equal. Null texts
-    and texts without words are classes of their own, as class_id their doc_id. A class without any doc_id has none.
+    Case and punctuation don't count. Texts of fewer than five words are alike only if their words are equal, since one
+    edit is more than a fifth of them; texts of up to some ten words are found less surely than longer ones, as an edit
+    costs them most of their shingles. Null texts and texts without words are classes of their own, as class_id their
+    doc_id. A class without any doc_id has none. Repeated rows have equal classes.
     """
     return rows_with_class(docs, least).select("doc_id", "class_id")
 
