@@ -3,11 +3,10 @@
 A document's K-word shingles are labelled by their occurrence number, so all of its labelled shingles differ. For
 each of TABLES seeds the SAMPLE shingles with the smallest hashes, kept in the order of the text, are hashed to one
 sketch: equal sketches are likely only if the texts share shingles in the same order. Documents with an equal sketch
-are neighbours in a range-sorted table and give candidate pairs with their run's first member and with the member
-before: two pairs a row at most, however long the run. A pair is verified by aligning its words inside the band that
-the similarity allows (insertions, deletions, substitutions); links are closed to classes by star contraction. Runs
-that then hold several classes go on, with more hubs in each turn, until all pairs of theirs in different classes have
-been tried.
+are neighbours in a range-sorted table. A document's first pairs are those with its longest run's first member and
+with the member before it. A pair is verified by aligning its words inside the band that the similarity allows
+(insertions, deletions, substitutions); links are closed to classes by star contraction. Runs that then hold several
+classes go on, with more hubs in each turn, until all pairs of theirs in different classes have been tried.
 """
 
 from __future__ import annotations
@@ -21,9 +20,10 @@ from .shared import words, written
 
 #: Similarity is 1 - edits / words of the longer text. Of two texts with scattered edits (share of equal words s), each
 #: K-word shingle survives with s ** K, so K is short: the chance of an equal sketch is 0.999 at s = 0.93, 0.98 at 0.9
-#: and 0.84 at 0.85 for substitutions that lie apart; edits that lie together cost fewer shingles.
-K, SIMILARITY = 3, 0.8
-TABLES, SAMPLE = 20, 3
+#: and 0.76 at 0.85 for substitutions that lie apart; edits that lie together cost fewer shingles. A larger SAMPLE keeps
+#: texts apart that share only a passage: where it is a third of each, one such pair in 100 has an equal sketch.
+K, SIMILARITY = 2, 0.8
+TABLES, SAMPLE = 24, 5
 #: Pairs are verified in groups of at most so many that share a member.
 GROUP = 32
 #: Hubs of a run in turn t: HUBS ** t; if no more than 4 * HUBS ** t pairs a member are left, all of them are tried.
@@ -31,7 +31,7 @@ HUBS = 8
 #: A run's members meet its hubs in groups of about so many.
 SALT = 256
 #: 64-bit words of a signature.
-WORDS = 16
+WORDS = 32
 
 
 def shingles(hashes, k: int = K):
@@ -136,8 +136,8 @@ def similarity(a: list, b: list, least: float = SIMILARITY) -> float:
 def signature(hashes):
     """The number of words, and WORDS 64-bit words with a bit for each word's hash and occurrence, flipped by each.
 
-    An edit changes two words at most, so two signatures differ in no more than two bits an edit; what they rule out
-    is never similar.
+    A substitution changes two words, an insertion or deletion one, so that two signatures differ in no more than two
+    bits an edit, less the difference in size; what they rule out is never similar.
     """
     import numpy as np
 
@@ -164,56 +164,68 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(batches):
-    """Of a sorted partition's rows (table, sketch, node): pairs of each row with its run's head and with the row before.
+    """Of a sorted partition's rows (table, sketch, node): for each node (b) its run's head, the node before, and how many came before.
 
-    The first and the last run of the partition are reported too, as (part, table, sketch, a: head, b: tail), since
-    they may go on in the next partition.
+    The first and the last run of the partition are reported too, as (part, table, sketch, head, b: tail, place: rows),
+    since they may go on in the next partition.
     """
     import numpy as np
     import pyarrow as pa
     from pyspark import TaskContext
 
-    part, first, held = TaskContext.get().partitionId(), None, None  # the first run and the open one: table, sketch, head, tail
+    part, first, held = TaskContext.get().partitionId(), None, None  # the first run and the open one: table, sketch, head, tail, rows
 
-    def out(parts, table, sketch, a, b):
-        columns = [pa.array(parts, pa.int32()), pa.array(table, pa.int32()), pa.array(sketch, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["part", "table", "sketch", "a", "b"])
+    def out(parts, table, sketch, head, before, b, place):
+        columns = [pa.array(parts, pa.int32()), pa.array(table, pa.int32()), pa.array(sketch, pa.int64()), pa.array(head, pa.binary()), pa.array(before, pa.binary()), pa.array(b, pa.binary()), pa.array(place, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["part", "table", "sketch", "head", "before", "b", "place"])
 
     for rows in batches:
         if not rows.num_rows:
             continue
         table, sketch, node = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("table", "sketch", "node"))
         new = np.concatenate([[True], (table[1:] != table[:-1]) | (sketch[1:] != sketch[:-1])])
-        head, before = node[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))], np.concatenate([node[:1], node[:-1]])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        place, head, before = np.arange(len(new)) - start, node[start], np.concatenate([node[:1], node[:-1]])
         if held and held[:2] == (table[0], sketch[0]):
-            head[np.cumsum(new) == 1] = held[2]
-            before[0], new[0] = held[3], False
+            mine = np.cumsum(new) == 1
+            head[mine], before[0], new[0] = held[2], held[3], False
+            place[mine] += held[4]
         starts = np.flatnonzero(new)
         if first is None and held and len(starts):
-            first = (*held[:3], node[starts[0] - 1] if starts[0] else held[3])
+            first = (*held[:3], node[starts[0] - 1] if starts[0] else held[3], held[4] + starts[0])
         elif first is None and len(starts) > 1:
-            first = (table[0], sketch[0], node[0], node[starts[1] - 1])
-        for other, at in ((head, np.flatnonzero(~new)), (before, np.flatnonzero(~new & (head != before)))):
-            if len(at):
-                yield out(np.full(len(at), -1), table[at], sketch[at], other[at], node[at])
-        held = (table[-1], sketch[-1], head[-1], node[-1])
+            first = (table[0], sketch[0], node[0], node[starts[1] - 1], starts[1])
+        at = np.flatnonzero(~new)
+        if len(at):
+            yield out(np.full(len(at), -1), table[at], sketch[at], head[at], before[at], node[at], place[at])
+            at = at[place[at] == 1]  # the head has a run, too
+            yield out(np.full(len(at), -1), table[at], sketch[at], head[at], head[at], head[at], np.zeros(len(at), np.int64))
+        held = (table[-1], sketch[-1], head[-1], node[-1], place[-1] + 1)
     if held:
         runs = [first, held] if first else [held]
-        yield out([part] * len(runs), *zip(*runs))
+        table, sketch, head, tail, rows = zip(*runs)
+        yield out([part] * len(runs), table, sketch, head, head, tail, rows)
 
 
-def candidates(by_node: DataFrame) -> DataFrame:
-    """a, b: pairs of nodes (a < b) with an equal sketch in some table; at most two for each row of a table."""
+def candidates(by_node: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of nodes (a < b) with an equal sketch in some table, two for each node at most; and all nodes that have any.
+
+    A node's pairs are of its longest run; what its other runs may link besides, linked() tries.
+    """
     rows = by_node.select("node", F.posexplode("sketch").alias("table", "sketch"))
     # by range, so that a run of any length is dealt to many tasks; the runs' ends meet below
     rows = rows.repartitionByRange("table", "sketch", "node").sortWithinPartitions("table", "sketch", "node")
-    found = written(rows.mapInArrow(neighbours, "part int, table int, sketch long, a binary, b binary"), "neighbours")
+    found = rows.mapInArrow(neighbours, "part int, table int, sketch long, head binary, before binary, b binary, place long")
+    best = F.max(F.struct("place", "head", "before")).alias("best")
+    # the ends and, aggregated before the shuffle, each node's place in its longest run
+    found = written(found.groupBy("part", F.when(F.col("part") >= 0, F.col("table")).alias("table"), F.when(F.col("part") >= 0, F.col("sketch")).alias("sketch"), "b").agg(best).select("part", "table", "sketch", "b", "best.*"), "neighbours")
     # a run that several partitions hold: a row or two for each of them
-    chain = Window.partitionBy("table", "sketch").orderBy("part", "a")
-    ends = found.filter("part >= 0").select(F.col("a").alias("b"), F.array(F.lag("b").over(chain), F.lag("a").over(chain), F.first("a").over(chain)).alias("others"))
-    ends = ends.select("b", F.explode("others").alias("a"))
-    pairs = found.filter("part < 0").select("a", "b").unionByName(ends.select("a", "b"))
-    return pairs.filter("a is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    chain = Window.partitionBy("table", "sketch").orderBy("part", "head")
+    ends = found.filter("part >= 0").select(F.col("head").alias("b"), F.lag("b").over(chain).alias("before"), F.first("head").over(chain).alias("head")).filter("before is not null and before <> b")
+    mine = found.filter("part < 0")
+    pairs = mine.select("b", F.explode(F.array("head", "before")).alias("a")).unionByName(ends.select("b", F.explode(F.array("head", "before")).alias("a")))
+    pairs = written(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    return pairs, mine.select(F.col("b").alias("node")).union(pairs.select("a")).union(pairs.select("b")).distinct()
 
 
 def verified(pairs: DataFrame, words_of: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -253,9 +265,11 @@ def classes(links: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # from tables, as a join fed by the aggregate itself couldn't be split where a class is large
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "large-stars")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = written(small.filter("a <> b").distinct(), "links")
         if (now := state(edges)) == before:
@@ -288,7 +302,8 @@ def untried(members: DataFrame, turn: int, least: float) -> tuple[DataFrame, Dat
     r = m.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts")).cast("int")).alias("r")
     differ = sum((F.bit_count(F.col(f"h.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("h.s0").bitwiseXOR(F.col("r.s0"))))
     may = F.least("h.n", "r.n") >= F.greatest("h.n", "r.n") * least - 1e-9
-    may &= differ <= F.greatest("h.n", "r.n") * (2 * (1 - least)) + 1e-9
+    # insertions and deletions, which a difference in size asks for, change one word and not two
+    may &= differ + F.abs(F.col("h.n") - F.col("r.n")) <= F.greatest("h.n", "r.n") * (2 * (1 - least)) + 1e-9
     on = (F.col("h.table") == F.col("r.table")) & (F.col("h.sketch") == F.col("r.sketch")) & (F.col("h.salt") == F.col("r.salt"))
     on &= (F.col("h.root") != F.col("r.root")) & (~F.col("r.hub") | (F.col("h.node") < F.col("r.node"))) & may
     # a merge join at every size: the members grow with the documents
@@ -316,9 +331,8 @@ def linked(nodes: DataFrame, pairs: DataFrame, words_of: DataFrame, least: float
             rooted = written(rooted, "runs")
         else:
             rooted = written(members.join(roots, "node", "left").select(*run, "node", F.coalesce("root", "node").alias("root")), "rooted")
-        # a run of three has all its pairs already
         several = rooted.groupBy(*run).agg(F.count(F.lit(1)).alias("size"), (F.min("root") < F.max("root")).alias("several"))
-        several = written(several.filter("several" if turn else "several and size > 3").select(*run, "size"), "several")
+        several = written(several.filter("several").select(*run, "size"), "several")
         rooted = written(rooted.join(several, run), "several-members")
         if rooted.isEmpty():
             return roots
@@ -328,6 +342,8 @@ def linked(nodes: DataFrame, pairs: DataFrame, words_of: DataFrame, least: float
         rooted = rooted.drop("size").join(popular.join(signs, "node"), "node")
         more, members = untried(rooted, turn, least)
         members = members.select(*run, "node")
+        if turn == 0:
+            more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
         roots = classes(roots.toDF("a", "b").unionByName(verified(more, words_of, least).select("a", "b")))
         turn += 1
 
@@ -336,8 +352,7 @@ def rows_with_class(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, copy, class_id; see near_duplicates()."""
     table = written(sketched(docs), "sketches")
     by_node = written(table.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("row"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "nodes")
-    pairs = written(candidates(by_node), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    pairs, ends = candidates(by_node)
     nodes = written(ends.join(by_node.select("node", "row.*", "sketch"), "node"), "candidate-nodes")
     ends = nodes.drop("sketch").withColumnRenamed("doc_id", "id").hint("merge")
     texts = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
