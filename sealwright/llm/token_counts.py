@@ -4,7 +4,8 @@ A byte-level BPE encodes each pre-token on its own, so a document's count is the
 leaves are pre-tokens (characters, tokens); inner nodes hold sums, so the leaf of a character and the document's count
 are found, and a leaf is changed, in as many steps as the tree is high. An edit re-encodes only the characters from
 two leaves before it (a pre-token may look ahead over white space) to the first old leaf boundary behind it at which
-the new pre-tokens end as well.
+the new pre-tokens end as well. trees() gives the documents' leaves as columns, which can be kept as a table;
+updated() edits such rows, and encodes nothing of the others or of what an edit leaves alone.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What the query redacts: addresses, keys and card or account numbers. Text that tokenizers count as new words.
-REDACTED = r"[\w.+-]+@[\w-]+\.[\w.]+|\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b|\b[0-9a-f]{32,64}\b|\b\d{12,19}\b"
+from .shared import written
+
+#: What the query redacts: addresses, keys and card or account numbers. Text that tokenizers count as new words. An
+#: address starts where its run of characters does, or where the last match ended, so that each run is read once.
+REDACTED = r"(?:\G|(?<![\w.+-]))[\w.+-]++@[\w-]++\.[\w.]+|\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b|\b[0-9a-f]{32,64}\b|\b\d{12,19}\b"
 PLACEHOLDER = "<redacted>"
 EDITS = "array<struct<start:int,length:int,replacement:string>>"
+TREE = "leaf_chars array<int>, leaf_tokens array<int>"
 RESULT = "tokens_before long, tokens_after long, n_edits int, leaves int, chars_reencoded long"
 
 
@@ -49,105 +54,148 @@ class PreTokens:
 class SegmentTree:
     """Sums of characters and of tokens over a document's pre-tokens.
 
-    ``node[k]`` for k >= size are the leaves, and node[k] = node[2 k] + node[2 k + 1] for the others. The leaves that an
-    edit replaces become one leaf that holds all its new pre-tokens, the others are left empty; so the tree keeps its
-    shape, and leaf boundaries stay pre-token boundaries.
+    Places k >= size are the leaves, and place k is the sum of 2 k and 2 k + 1 for the others. The leaves that an edit
+    replaces take its new pre-tokens, the last one all that are left over; so the tree keeps its shape, and leaf
+    boundaries stay pre-token boundaries.
     """
 
-    def __init__(self, words: list[str], counts: list[int]):
+    def __init__(self, chars, tokens):
+        from array import array
+
         import numpy as np
 
-        n = len(words)
-        self.size = size = 1 << max(0, n - 1).bit_length()
-        self.leaves = n
-        self.node = np.zeros((2 * size, 2), np.int64)
-        self.node[size : size + n, 0] = np.fromiter(map(len, words), np.int64, n)
-        self.node[size : size + n, 1] = counts
-        level = size
-        while level > 1:
-            self.node[level // 2 : level] = self.node[level : 2 * level].reshape(-1, 2, 2).sum(axis=1)
-            level //= 2
+        self.leaves = len(chars)
+        self.size = size = 1 << max(0, self.leaves - 1).bit_length()
+        sums = []
+        for values in (chars, tokens):
+            node = np.zeros(2 * size, np.int64)
+            node[size : size + self.leaves] = values
+            level = size
+            while level > 1:
+                node[level // 2 : level] = node[level : 2 * level].reshape(-1, 2).sum(axis=1)
+                level //= 2
+            sums.append(array("q", node.tobytes()))
+        self.chars, self.counts = sums
 
     @property
     def tokens(self) -> int:
-        return int(self.node[1, 1])
+        return self.counts[1]
 
     def find(self, char: int) -> tuple[int, int]:
         """(leaf, its first character) of the leaf that holds the character; the last leaf for the text's end."""
-        k, at = 1, 0
+        k, at, chars = 1, 0, self.chars
         while k < self.size:
             k *= 2
-            if char >= at + self.node[k, 0] and self.node[k + 1, 0]:
-                at += int(self.node[k, 0])
+            if char >= at + chars[k] and chars[k + 1]:
+                at += chars[k]
                 k += 1
         return k - self.size, at
 
     def before(self, leaf: int) -> int:
         """The last leaf with characters before this one; -1 if there is none."""
-        k = leaf + self.size
+        k, chars = leaf + self.size, self.chars
         while k > 1:
-            if k & 1 and self.node[k - 1, 0]:
+            if k & 1 and chars[k - 1]:
                 k -= 1
                 while k < self.size:
-                    k = 2 * k + 1 if self.node[2 * k + 1, 0] else 2 * k
+                    k = 2 * k + 1 if chars[2 * k + 1] else 2 * k
+                return k - self.size
+            k //= 2
+        return -1
+
+    def after(self, leaf: int) -> int:
+        """The first leaf with characters after this one; -1 if there is none."""
+        k, chars = leaf + self.size, self.chars
+        while k > 1:
+            if not k & 1 and chars[k + 1]:
+                k += 1
+                while k < self.size:
+                    k = 2 * k if chars[2 * k] else 2 * k + 1
                 return k - self.size
             k //= 2
         return -1
 
     def set(self, leaf: int, chars: int, tokens: int) -> None:
         k = leaf + self.size
-        self.node[k] = chars, tokens
-        while k > 1:
+        more, most = chars - self.chars[k], tokens - self.counts[k]
+        while k and (more or most):
+            self.chars[k] += more
+            self.counts[k] += most
             k //= 2
-            self.node[k] = self.node[2 * k] + self.node[2 * k + 1]
 
 
 class EditedText:
-    """A text with its tree; replace() applies an edit and re-encodes what it touches."""
+    """A text, cut into its tree's leaves; replace() applies an edit and re-encodes what it touches."""
+
+    def __init__(self, words: list[str], counts, pre: PreTokens):
+        self.words, self.pre, self.reencoded = words or [""], pre, 0
+        self.tree = SegmentTree(list(map(len, self.words)), counts if words else [0])
 
-    def __init__(self, text: str, pre: PreTokens):
+    @classmethod
+    def of(cls, text: str, pre: PreTokens) -> EditedText:
         words = pre.split(text)
-        self.text, self.pre, self.reencoded = text, pre, 0
-        self.tree = SegmentTree(words, [pre.count(w) for w in words])
+        return cls(words, [pre.count(w) for w in words], pre)
+
+    @classmethod
+    def of_leaves(cls, text: str, chars, counts, pre: PreTokens) -> EditedText:
+        """From kept leaves; nothing is encoded."""
+        words, at = [], 0
+        for n in chars:
+            words.append(text[at : at + n])
+            at += n
+        return cls(words, counts, pre)
+
+    @property
+    def text(self) -> str:
+        return "".join(self.words)
+
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """(characters, tokens) of the leaves that have any."""
+        tree = self.tree
+        used = [k for k in range(tree.size, tree.size + tree.leaves) if tree.chars[k]]
+        return [tree.chars[k] for k in used], [tree.counts[k] for k in used]
 
     def replace(self, start: int, length: int, replacement: str) -> None:
-        tree, text = self.tree, self.text
-        start = min(max(start, 0), len(text))
-        end = min(start + max(length, 0), len(text))
-        delta = len(replacement) - (end - start)
+        tree = self.tree
+        start = min(max(start, 0), tree.chars[1])
+        end = min(start + max(length, 0), tree.chars[1])
         first, at = tree.find(start)
         for _ in range(2):
             if (k := tree.before(first)) >= 0:
                 first = k
-                at -= int(tree.node[tree.size + k, 0])
-        new = text[:start] + replacement + text[end:]
-        last, last_at = tree.find(end)
-        stop = last_at + int(tree.node[tree.size + last, 0])  # an old boundary behind the edit, in old characters
+                at -= tree.chars[tree.size + k]
+        last, more = tree.find(end)[0], 1
+        old = "".join(self.words[first : last + 1])
+        piece = old[: start - at] + replacement + old[end - at :]
         while True:
-            piece = new[at : stop + delta]
-            words = self.pre.split(piece)
             # pre-tokens look ahead, so the piece's last one counts only if it ends the same with what follows in sight
-            closed = stop + delta >= len(new) or self._ends(new, at + len(piece) - len(words[-1]) if words else at, at + len(piece))
-            if closed:
+            words = self.pre.split(piece)
+            if tree.after(last) < 0 or words and self._ends(words[-1], last):
                 break
-            last, last_at = tree.find(stop)
-            stop = last_at + int(tree.node[tree.size + last, 0])
-        for leaf in range(first, last + 1):
-            if tree.node[tree.size + leaf, 0]:
-                tree.set(leaf, 0, 0)
-        tree.set(first, len(piece), sum(map(self.pre.count, words)))
-        self.text, self.reencoded = new, self.reencoded + len(piece)
-
-    def _ends(self, text: str, start: int, end: int) -> bool:
-        """Whether the pre-token that starts at start ends at end when the text goes on."""
-        if start >= end:
-            return False
-        ahead = end + 64
+            for _ in range(more):
+                if (k := tree.after(last)) >= 0:
+                    piece, last = piece + self.words[k], k
+            more *= 2
+        slots = last - first
+        for i in range(slots):
+            self._put(first + i, words[i : i + 1])
+        self._put(last, words[slots:])
+        self.reencoded += len(piece)
+
+    def _put(self, leaf: int, words: list[str]) -> None:
+        self.words[leaf] = "".join(words)
+        self.tree.set(leaf, len(self.words[leaf]), sum(map(self.pre.count, words)))
+
+    def _ends(self, word: str, last: int) -> bool:
+        """Whether the pre-token that ends with the leaf ``last`` ends there when the text goes on."""
+        ahead, wanted = "", 64
         while True:
-            words = self.pre.split(text[start:ahead])
-            if len(words[0]) < ahead - start or ahead >= len(text):
-                return len(words[0]) == end - start
-            ahead = start + 2 * (ahead - start)
+            while len(ahead) < wanted and (last := self.tree.after(last)) >= 0:
+                ahead += self.words[last]
+            found = len(self.pre.split(word + ahead[:wanted])[0])
+            if found < len(word) + min(wanted, len(ahead)) or len(ahead) <= wanted and last < 0:
+                return found == len(word)
+            wanted *= 2
 
 
 def redactions(text: Column, pattern: str = REDACTED, replacement: str = PLACEHOLDER) -> Column:
@@ -160,31 +208,59 @@ def redactions(text: Column, pattern: str = REDACTED, replacement: str = PLACEHO
     return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["edits"]).otherwise(none)
 
 
-def counted(text: Column, edits: Column, tokenizer_path: str) -> Column:
-    """A struct (RESULT) with the token counts of the text and of the edited text.
+def trees(text: Column, tokenizer_path: str) -> Column:
+    """A struct (TREE) of the text's leaves, pre-token by pre-token; none for null and empty text."""
+
+    @F.pandas_udf(TREE)
+    def build(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pre = PreTokens(tokenizer_path)
+        for texts in batches:
+            words = [pre.split(t or "") for t in texts]
+            yield pd.DataFrame({"leaf_chars": [list(map(len, w)) for w in words], "leaf_tokens": [list(map(pre.count, w)) for w in words]})
+
+    return build(text)
+
+
+def updated(text: Column, leaf_chars: Column, leaf_tokens: Column, edits: Column, tokenizer_path: str) -> Column:
+    """A struct (text, TREE, RESULT) of kept leaves after the edits. Rows without edits go through Python by their leaves' number only.
 
     Edits are of characters of the text as it was and don't overlap; they are applied from the last to the first. Null
     text is empty; null edits are none; edits that reach beyond the text are cut.
     """
+    fields = f"text string, {TREE}, {RESULT}"
 
-    @F.pandas_udf(RESULT)
-    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(fields)
+    def update(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         pre = PreTokens(tokenizer_path)
-        for texts, all_edits in batches:
+        for columns in batches:
             rows = []
-            for text, changes in zip(texts, all_edits):
-                doc = EditedText(text or "", pre)
-                before, changes = doc.tree.tokens, [] if changes is None else list(changes)
+            for text, chars, tokens, changes in zip(*columns):
+                if changes is None or not len(changes):
+                    rows.append((None,) * 8)
+                    continue
+                doc = EditedText.of_leaves(text or "", chars.tolist(), tokens, pre)
+                before, leaves = doc.tree.tokens, len(chars)
                 for e in sorted(changes, key=lambda e: (e["start"], e["length"]), reverse=True):
                     doc.replace(e["start"], e["length"], e["replacement"] or "")
-                rows.append((before, doc.tree.tokens, len(changes), doc.tree.leaves, doc.reencoded))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
+                rows.append((doc.text, *doc.leaves(), before, doc.tree.tokens, len(changes), leaves, doc.reencoded))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in fields.split(", ")])
 
-    return count(text, edits)
+    touched = F.coalesce(F.size(edits), F.lit(0)) > 0
+    new = update(*[F.when(touched, c) for c in (text, leaf_chars, leaf_tokens, edits)])
+    n = F.aggregate(leaf_tokens, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    same = F.struct(text.alias("text"), leaf_chars.alias("leaf_chars"), leaf_tokens.alias("leaf_tokens"), n.alias("tokens_before"), n.alias("tokens_after"), F.lit(0).alias("n_edits"), F.size(leaf_tokens).alias("leaves"), F.lit(0).cast("long").alias("chars_reencoded"))
+    return F.when(touched, new).otherwise(same)
 
 
 def count_tokens(docs: DataFrame, edits: Column, tokenizer_path: str) -> DataFrame:
-    """docs with the columns of RESULT (columns so named are replaced); no row moves, so a hot source doesn't matter."""
+    """docs with the columns of RESULT (columns so named are replaced): counts before and after the edits.
+
+    The documents' trees are kept as a table, written once; then the edits, an expression over docs' columns, are
+    applied to its rows. No row moves, so a hot source doesn't matter; one text is in memory at a time, and batches are
+    cut by the number of rows that spark.sql.execution.arrow.maxRecordsPerBatch and .maxBytesPerBatch allow.
+    """
     names = [x.split()[0] for x in RESULT.split(", ")]
     kept = [c for c in docs.columns if c not in names]
-    return docs.select(*kept, counted(F.col("text"), edits, tokenizer_path).alias("__c")).select(*kept, *[F.col(f"__c.{n}").alias(n) for n in names])
+    rows = written(docs.select(*kept, trees(F.col("text"), tokenizer_path).alias("__tree")), "token-trees")
+    new = updated(F.col("text"), F.col("__tree.leaf_chars"), F.col("__tree.leaf_tokens"), edits, tokenizer_path)
+    return rows.select(*kept, new.alias("__c")).select(*kept, *[F.col(f"__c.{n}").alias(n) for n in names])
