@@ -1,29 +1,32 @@
-"""Benchmark decontamination with spaced seeds: hashes of words at fixed masked places, verified around each hit.
+"""Benchmark decontamination with spaced seeds: hashes of words at fixed masked places, joined and verified around each hit.
 
 A mask keeps some of the words in a short run and ignores the others, so a run with substituted words still gives an
-equal hash wherever the substitutions fall on ignored places. Benchmark hashes are joined to the documents' in blocks
-of items of a bounded size, each broadcast; hits are verified along their diagonal: some run of MIN_WORDS words (the
-whole item where it is shorter) must agree in at least SIMILARITY of its words.
+equal hash wherever the substitutions fall on ignored places. The documents are read once, whatever the benchmark's
+size: a bitmap of bounded size drops the seeds that no item has, and what is left is joined with the items' seeds. Hits
+are verified along their diagonal: some run of MIN_WORDS words (the whole item where it is shorter) must agree in at
+least SIMILARITY of its words. Equal texts are one text until the last join.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import words
+from .shared import words, written
 
 #: Any 2 substitutions in 10 words or more leave one of these whole somewhere (tested); each keeps five words.
 MASKS = ("11111", "111011", "11010011")
+#: Any substitution in 5 words or more leaves one of these whole; for items of 5 to 9 words, which may have just one.
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
+SHORT_WORDS = 10
 MIN_WORDS, SIMILARITY, LEAST_WORDS = 13, 0.8, 5
-#: A block of the benchmark holds about so many bytes of text; its index is about ten times as large.
-BLOCK_BYTES = 4 << 20
-RESULT = "array<struct<item:int,doc_start:int,item_start:int,n_words:int,n_matches:int>>"
-TABLE_BITS = 22
+#: The bitmap of the benchmark's seeds: so many bits a seed, 2 ** 27 bits (16 MB) at most; a fuller one drops fewer seeds.
+BITS_PER_SEED, MOST_BITS = 64, 1 << 27
+#: The items that a text may overlap with are verified in so many parts.
+PARTS = 64
 
 
 def hashes_of(clean: Column) -> Column:
@@ -37,13 +40,13 @@ def word_hashes(text: Column) -> Column:
 
 
 def seeds(hashes, mask: str):
-    """The hash of the kept words at each place where the mask fits."""
+    """The hash of the mask and of the kept words at each place where the mask fits."""
     import numpy as np
 
     n = len(hashes) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, int(mask, 2), np.uint64)
     for i, c in enumerate(mask):
         if c == "1":
             out *= np.uint64(0x9E3779B97F4A7C15)
@@ -53,100 +56,150 @@ def seeds(hashes, mask: str):
     return out ^ (out >> np.uint64(32))
 
 
-class SeedIndex:
-    """The seeds of some items, and which of a document's runs they overlap with."""
+def places(keys, bits: int):
+    """The two places of each seed in the bitmap."""
+    import numpy as np
 
-    def __init__(self, items: list):
-        import numpy as np
+    return keys % np.uint64(bits), (keys * np.uint64(0xA0761D6478BD642F) >> np.uint64(20)) % np.uint64(bits)
 
-        self.items = [np.array(x, np.int64).view(np.uint64) for x in items]
-        self.masks = []
-        for mask in MASKS:
-            parts = [(seeds(h, mask), i) for i, h in enumerate(self.items) if len(h) >= LEAST_WORDS]
-            keys = np.concatenate([np.empty(0, np.uint64), *(p for p, _ in parts)])
-            item = np.concatenate([np.empty(0, np.int64), *(np.full(len(p), i) for p, i in parts)])
-            place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(p)) for p, _ in parts)])
-            order = np.argsort(keys, kind="stable")
-            seen = np.zeros(1 << TABLE_BITS, bool)
-            seen[keys >> np.uint64(64 - TABLE_BITS)] = True
-            self.masks.append((mask, keys[order], item[order], place[order], seen))
-
-    def hits(self, hashes) -> set[tuple[int, int]]:
-        """(item, diagonal) of every seed that the document shares with an item; diagonal: document's place minus item's."""
-        import numpy as np
 
-        found: set[tuple[int, int]] = set()
-        for mask, keys, item, place, seen in self.masks:
-            mine = seeds(hashes, mask)
-            at = np.flatnonzero(seen[mine >> np.uint64(64 - TABLE_BITS)])
-            if len(at) and len(keys):
-                lo, hi = np.searchsorted(keys, mine[at]), np.searchsorted(keys, mine[at], "right")
-                for d, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist()):
-                    found.update(zip(item[a:b].tolist(), (d - place[a:b]).tolist()))
-        return found
-
-    def overlaps(self, hashes) -> list[tuple[int, int, int, int, int]]:
-        """Per item the best verified overlap: (item, doc_start, item_start, n_words, n_matches)."""
+SEEDS = "array<struct<seed:long,place:int>>"
+
+
+def item_seeds(hashes: Column) -> Column:
+    """The seeds of items' words; none for items of fewer than LEAST_WORDS words."""
+
+    @F.pandas_udf(SEEDS)
+    def find(batch: pd.Series) -> pd.Series:
         import numpy as np
 
-        best: dict[int, tuple] = {}
-        for i, diagonal in sorted(self.hits(hashes)):
-            item = self.items[i]
-            a, b = max(0, -diagonal), min(len(item), len(hashes) - diagonal)
-            size = min(MIN_WORDS, len(item))
-            if b - a < size:
-                continue
-            same = np.cumsum(np.concatenate([[0], hashes[a + diagonal : b + diagonal] == item[a:b]]))
-            runs = same[size:] - same[:-size]
-            if (m := int(runs.max())) >= math.ceil(SIMILARITY * size - 1e-9) and m > best.get(i, (0,) * 5)[4]:
-                k = int(runs.argmax())
-                best[i] = (i, a + k + diagonal, a + k, size, m)
-        return [best[i] for i in sorted(best)]
-
-
-def overlaps(text: Column, index) -> Column:
-    """RESULT of the text against the items of a broadcast SeedIndex."""
-    @F.pandas_udf(RESULT)
-    def find(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        out = []
+        for h in batch:
+            h = np.asarray(h, np.int64).view(np.uint64)
+            masks = () if len(h) < LEAST_WORDS else SHORT_MASKS if len(h) < SHORT_WORDS else MASKS
+            out.append([{"seed": x, "place": i} for mask in masks for i, x in enumerate(seeds(h, mask).view(np.int64).tolist())])
+        return pd.Series(out)
+
+    return find(hashes)
+
+
+def document_seeds(hashes: Column, bitmap, masks: tuple) -> Column:
+    """The seeds of documents' words that are in the bitmap, a broadcast array of 64-bit words."""
+
+    @F.pandas_udf(SEEDS)
+    def find(batch: pd.Series) -> pd.Series:
         import numpy as np
 
-        seed_index = index.value
-        for batch in hashes:
-            yield pd.Series([[dict(zip(("item", "doc_start", "item_start", "n_words", "n_matches"), x)) for x in seed_index.overlaps(np.asarray(h, np.int64).view(np.uint64))] for h in batch])
+        held = bitmap.value
+        bits, out = 64 * len(held), []
+        for h in batch:
+            h, found = np.asarray(h, np.int64).view(np.uint64), []
+            for mask in masks:
+                s = seeds(h, mask)
+                at = np.arange(len(s))
+                for p in places(s, bits):
+                    at = at[(held[p[at] >> np.uint64(6)] >> (p[at] & np.uint64(63))) & np.uint64(1) != 0]
+                found += [{"seed": x, "place": i} for x, i in zip(s[at].view(np.int64).tolist(), at.tolist())]
+            out.append(found)
+        return pd.Series(out)
 
-    return find(word_hashes(text))
+    return find(hashes)
 
 
-def blocks(benchmark: DataFrame) -> Iterator[tuple[list, object]]:
-    """(item ids, broadcast SeedIndex) of each block; blocks are as many as the benchmark's size asks for."""
-    spark = benchmark.sparkSession
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, math.ceil(total / BLOCK_BYTES))
-    b = benchmark.select("item_id", word_hashes(F.col("text")).alias("hashes"), F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block"))
-    for k in range(n):
-        rows = sorted(b.filter(F.col("block") == k).collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["hashes"]))
-        yield [r["item_id"] for r in rows], spark.sparkContext.broadcast(SeedIndex([r["hashes"] for r in rows]))
+def bitmap_of(keys: DataFrame, n: int):
+    """The bitmap of a table of n seeds, as an array of 64-bit words; the driver gets no more than its words that aren't 0."""
+    import numpy as np
+
+    bits = min(MOST_BITS, max(1 << 12, 1 << (BITS_PER_SEED * n).bit_length()))
+
+    @F.pandas_udf("array<long>")
+    def both(batch: pd.Series) -> pd.Series:
+        p = places(batch.to_numpy(np.int64).view(np.uint64), bits)
+        return pd.Series(list(np.stack(p, axis=1).astype(np.int64)))
+
+    at = keys.select(F.explode(both("seed")).alias("p"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))
+    rows = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def best_overlap(doc, item, diagonals) -> tuple[int, int, int, int] | None:
+    """(doc_start, item_start, n_words, n_matches) of the best run along the diagonals (a document's place minus an item's)."""
+    import numpy as np
+
+    size, best = min(MIN_WORDS, len(item)), None
+    for diagonal in sorted(diagonals):
+        a, b = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+        if b - a < size:
+            continue
+        same = np.cumsum(np.concatenate([[0], doc[a + diagonal : b + diagonal] == item[a:b]]))
+        runs = same[size:] - same[:-size]
+        if (m := int(runs.max())) >= math.ceil(SIMILARITY * size - 1e-9) and (best is None or m > best[3]):
+            k = int(runs.argmax())
+            best = a + k + diagonal, a + k, size, m
+    return best
+
+
+OVERLAP = "doc_key binary, item_key binary, doc_start int, item_start int, n_words int, n_matches int"
+
+
+def verify(texts, pairs):
+    """Of a text's part: its words' hashes, and the items (with their words' hashes) and diagonals to look at."""
+    import numpy as np
+    import pyarrow as pa
+
+    kinds = [pa.binary(), pa.binary(), *[pa.int32()] * 4]
+    rows = []
+    if texts.num_rows and pairs.num_rows:
+        key, doc = texts.column("doc_key")[0].as_py(), texts.column("hashes")[0].values.to_numpy()
+        for item_key, hashes, diagonals in zip(pairs.column("item_key").to_pylist(), pairs.column("hashes"), pairs.column("diagonals").to_pylist()):
+            if found := best_overlap(doc, hashes.values.to_numpy(), diagonals):
+                rows.append((key, item_key, *found))
+    columns = list(zip(*rows)) if rows else [[]] * 6
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in OVERLAP.split(", ")])
+
+
+def key_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """OVERLAP: the best verified overlap of each text and item that overlap; keys are digests of the texts. A written table."""
+    items = written(benchmark.select(key_of(F.col("text")).alias("item_key"), "text").dropDuplicates(["item_key"]).select("item_key", word_hashes(F.col("text")).alias("hashes")), "items")
+    keys = written(items.select("item_key", F.explode(item_seeds(F.col("hashes"))).alias("s")).select("item_key", "s.*"), "item-seeds")
+    n, short = keys.agg(F.count(F.lit(1)), F.count("seed")).first()[0], items.filter(F.size("hashes").between(LEAST_WORDS, SHORT_WORDS - 1)).limit(1).count()
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(keys, n))
+    masks = MASKS + SHORT_MASKS if short else MASKS
+    hits = docs.select(key_of(F.col("text")).alias("doc_key"), word_hashes(F.col("text")).alias("hashes"))
+    hits = hits.select("doc_key", F.explode(document_seeds(F.col("hashes"), bitmap, masks)).alias("s")).select("doc_key", F.col("s.seed").alias("seed"), F.col("s.place").alias("doc_place")).distinct()
+    # both sides are tables, so that the join can split a seed that many documents have
+    pairs = written(hits, "seed-hits").join(keys, "seed").select("doc_key", "item_key", (F.col("doc_place") - F.col("place")).alias("diagonal"))
+    pairs = written(pairs.groupBy("doc_key", "item_key").agg(F.collect_set("diagonal").alias("diagonals")), "seed-pairs")
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("item_key"), F.lit(PARTS)).cast("int"))
+    wanted = written(pairs.select("doc_key", "part").distinct(), "seed-texts")
+    texts = docs.select(key_of(F.col("text")).alias("doc_key"), "text").join(wanted.select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    texts = texts.select("doc_key", word_hashes(F.col("text")).alias("hashes")).join(wanted, "doc_key")
+    pairs = pairs.join(items, "item_key")
+    found = texts.groupBy("doc_key", "part").cogroup(pairs.groupBy("doc_key", "part")).applyInArrow(verify, OVERLAP)
+    return written(found, "overlaps")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, doc_start, item_start (in words), n_words, n_matches, similarity: one row per document and item that overlap.
 
     Case and punctuation don't count. Items of fewer than LEAST_WORDS words, null texts and empty tables have no
-    overlaps; a repeated document or item has rows of its own.
+    overlaps; a repeated document or item has rows of its own, and so has one without an id.
     """
-    parts = []
-    for ids, index in blocks(benchmark):
-        names = F.array(*[F.lit(x).cast("long") for x in ids]) if len(ids) <= 1000 else F.from_json(F.lit("[" + ",".join("null" if x is None else str(x) for x in ids) + "]"), "array<bigint>")
-        found = docs.select("doc_id", overlaps(F.col("text"), index).alias("o")).select("doc_id", F.explode("o").alias("o"))
-        parts.append(found.select("doc_id", F.get(names, F.col("o.item")).alias("item_id"), "o.doc_start", "o.item_start", "o.n_words", "o.n_matches", (F.col("o.n_matches") / F.col("o.n_words")).alias("similarity")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found = overlaps(docs, benchmark)
+    items = benchmark.select("item_id", key_of(F.col("text")).alias("item_key"))
+    rows = docs.select("doc_id", key_of(F.col("text")).alias("doc_key")).join(found, "doc_key").join(items, "item_key")
+    return rows.select("doc_id", "item_id", "doc_start", "item_start", "n_words", "n_matches", (F.col("n_matches") / F.col("n_words")).alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap with no item; rows with null or empty text stay."""
-    for _, index in blocks(benchmark):
-        docs = docs.filter(F.size(F.coalesce(overlaps(F.col("text"), index), F.array().cast(RESULT))) == 0)
-    return docs
+    """The documents that overlap with no item, with their columns; rows with null or empty text stay, repeated rows stay or go together."""
+    found = overlaps(docs, benchmark).select(F.col("doc_key").alias("__key")).distinct()
+    found = written(found, "contaminated-texts")
+    return docs.join(found, key_of(docs["text"]) == F.col("__key"), "left_anti")

@@ -81,7 +81,7 @@ k AS (SELECT r.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(
       FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r) r JOIN h USING (doc_id) GROUP BY r.doc_id)
 SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
 FROM h LEFT JOIN k USING (doc_id)""",
-    # all aligned pairs of equal words; items of fewer than ten words would have to agree in more than this asks
+    # all aligned pairs of equal words
     "op7_decontamination": """
 WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
 i AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),

@@ -13,6 +13,11 @@ def test_masks_find_any_two_substitutions_in_ten_words():
         assert any(all(s + i not in bad for i, c in enumerate(mask) if c == "1") for mask in m.MASKS for s in range(10 - len(mask) + 1))
 
 
+def test_short_masks_find_any_substitution_in_five_words():
+    for bad in range(5):
+        assert any(all(s + i != bad for i, c in enumerate(mask) if c == "1") for mask in m.SHORT_MASKS for s in range(5 - len(mask) + 1))
+
+
 def brute(doc, item):
     """The best verified overlap's matches, over all places."""
     d, i = ("".join(c.lower() if c.isalnum() else " " for c in x or "").split() for x in (doc, item))
@@ -25,12 +30,12 @@ def brute(doc, item):
 
 def test_against_brute_force(spark, make):
     rng = random.Random(11)
-    items = [(i, sentence(rng, rng.choice([10, 11, 15, 30]))) for i in range(12)] + [(50, "too few words"), (51, None), (52, ""), (None, sentence(rng, 20))]
+    items = [(i, sentence(rng, rng.choice([5, 6, 7, 8, 9, 10, 11, 15, 30]))) for i in range(24)] + [(50, "too few words"), (51, None), (52, ""), (None, sentence(rng, 20))]
     docs = []
-    for k in range(120):
-        words, item = sentence(rng, rng.randrange(0, 60)).split(), rng.choice(items[:12])[1].split()
-        part = item[rng.randrange(3) :][: rng.choice([8, 13, 40])]
-        for _ in range(rng.randrange(5)):
+    for k in range(300):
+        words, item = sentence(rng, rng.randrange(0, 60)).split(), rng.choice(items[:24])[1].split()
+        part = item[rng.randrange(3) if len(item) > 9 else 0 :][: rng.choice([9, 13, 40])]
+        for _ in range(rng.randrange(5 if len(item) > 9 else 3)):
             part[rng.randrange(len(part))] = rng.choice(["changed", "other"])
         at = rng.randrange(len(words) + 1)
         docs.append((k, " ".join(words[:at] + (part if k % 3 else []) + words[at:]).upper()))
@@ -45,12 +50,14 @@ def test_against_brute_force(spark, make):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(clean, key=repr)
 
 
-def test_blocks_give_the_same(spark, make, rng, monkeypatch):
+def test_a_full_bitmap_gives_the_same(spark, make, rng, monkeypatch):
+    """A bitmap too small for the benchmark drops fewer seeds, and nothing else."""
     items = [(i, sentence(rng, 20)) for i in range(20)]
-    docs, bench = make([(i, f"x {t} y") for i, t in items]), spark.createDataFrame(items, ITEMS)
+    docs, bench = make([(i, f"x {t} y") for i, t in items] * 2), spark.createDataFrame(items, ITEMS)
     one = sorted(map(tuple, m.contaminated(docs, bench).collect()))
-    monkeypatch.setattr(m, "BLOCK_BYTES", 600)
-    assert len(list(m.blocks(bench))) > 2
+    assert len(one) >= 40
+    monkeypatch.setattr(m, "MOST_BITS", 64)
+    monkeypatch.setattr(m, "PARTS", 2)
     assert sorted(map(tuple, m.contaminated(docs, bench).collect())) == one
     assert m.decontaminate(docs, bench).count() == 0
 
