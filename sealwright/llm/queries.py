@@ -17,7 +17,7 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = source_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = source_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False)
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 

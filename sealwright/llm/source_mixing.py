@@ -2,8 +2,9 @@
 
 A source's documents are dealt to shards by a hash; a shard's documents, in seeded order, form one run of words that
 is cut into blocks of (nearly) BLOCK_WORDS. Sources get blocks by the highest quotients target / (2 k + 1), then each
-source's blocks are dealt to its shards in the same way, which gives integer quotas. Within a shard every block is
-taken quota div blocks times, and a seeded choice of quota mod blocks of them once more.
+source's blocks are dealt to its regions (REGION shards each) and each region's to its shards in the same way, which
+gives integer quotas. Within a shard every block is taken quota div blocks times, and a seeded choice of quota mod
+blocks of them once more. The text is read once for its words; sizes and hashes then come from a table.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from .shared import written
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_WITH_SPACE = r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"
 BLOCK_WORDS = 64
-#: A shard holds about so many words, however large a source is.
-SHARD_WORDS = 2_000_000
+#: A shard holds about so many words, however large a source is; so many shards are a region.
+SHARD_WORDS, REGION = 200_000, 4096
 MOST_COPIES = 3
 WEIGHTS = (5, 2, 1)
 #: Multipliers for the seeded choice of blocks; prime, so that they permute the blocks.
@@ -76,38 +77,46 @@ def apportion(df: DataFrame, group: list[str], key: str, weight: str, seats: str
     return out.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a.__sure") + F.coalesce(F.col("b.__won"), F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, region: int = REGION, keep_text: bool = True) -> DataFrame:
     """docs with __size, __source_size, __target, __taken and __block (what copies() needs); the columns of docs stay.
 
     Null text has size 0; a null source is a source of its own, last. Repeated rows are documents of their own. The
-    mix takes each word of a block as often as the block; no more than MOST_COPIES times.
+    mix takes each word of a block as often as the block; no more than MOST_COPIES times. Names that begin with two
+    underscores are the operator's own; any other columns of docs pass. Without keep_text the text isn't among them.
     """
-    sized = docs.withColumn("__size", n_words(F.col("text"))).withColumn("__order", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text"))
+    kept = [c for c in docs.columns if keep_text or c != "text"]
+    key = F.col("doc_id").cast("string")
+    sized = written(docs.select(*kept, n_words(F.col("text")).alias("__size"), F.xxhash64(F.lit(seed), key, "text").alias("__order"), F.xxhash64(F.lit(seed + 1), key, "text").alias("__spread")), "mix-sizes")
     per_source = written(sized.groupBy("source").agg(F.sum("__size").alias("source_size")), "mix-sources")
     total = per_source.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     # by the source's own size, so that a cell is many blocks or the whole source
     shards = per_source.select(F.col("source").alias("__own"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("__shards"))
     sized = sized.join(shards, F.col("source").eqNullSafe(F.col("__own")))
-    sized = sized.withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string"), "text"), F.col("__shards"))).drop("__own", "__shards")
+    sized = sized.withColumn("__shard", F.pmod("__spread", F.col("__shards"))).drop("__own", "__shards", "__spread")
     cells = written(sized.groupBy("source", "__shard").agg(F.sum("__size").alias("cell")), "mix-cells")
     cells = cells.withColumn("blocks", F.when(F.col("cell") > 0, F.greatest(F.lit(1), F.round(F.col("cell") / block_words).cast("long"))).otherwise(F.lit(0)))
+    cells = cells.withColumn("region", _div(F.col("__shard"), F.lit(region)))
     sources = targets(per_source, weights).withColumnRenamed("source", "s")
-    held = cells.groupBy("source").agg((F.sum("blocks") * MOST_COPIES).alias("most"))
+    regions = written(cells.groupBy("source", "region").agg((F.sum("blocks") * MOST_COPIES).alias("most"), F.sum("cell").cast("double").alias("weight")), "mix-regions")
+    held = regions.groupBy("source").agg(F.sum("most").alias("most"))
     sources = sources.join(held, F.col("s").eqNullSafe(held["source"])).withColumn("seats", F.round(F.lit(total) / block_words).cast("long"))
-    sources = apportion(sources.drop("source"), [], "s", "target", "seats", "most").select("s", "source_size", "target", F.col("quota").alias("source_quota"))
-    cells = cells.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("most", F.col("blocks") * MOST_COPIES).withColumn("cell_weight", F.col("cell").cast("double"))
-    plan = written(apportion(cells, ["source"], "__shard", "cell_weight", "source_quota", "most").select(F.col("source").alias("__s"), F.col("__shard").alias("__h"), "cell", "blocks", "quota", "source_size", "target"), "mix-plan")
+    sources = written(apportion(sources.drop("source"), [], "s", "target", "seats", "most").select("s", "source_size", "target", F.col("quota").alias("source_quota")), "mix-quotas")
+    regions = regions.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    regions = apportion(regions, ["source"], "region", "weight", "source_quota", "most").select(F.col("source").alias("s"), F.col("region").alias("r"), "source_size", "target", F.col("quota").alias("region_quota"))
+    cells = cells.join(written(regions, "mix-regions"), F.col("source").eqNullSafe(F.col("s")) & (F.col("region") == F.col("r"))).drop("s", "r").withColumn("most", F.col("blocks") * MOST_COPIES).withColumn("weight", F.col("cell").cast("double"))
+    plan = apportion(cells, ["source", "region"], "__shard", "weight", "region_quota", "most")
+    plan = written(plan.select(F.col("source").alias("__s"), F.col("__shard").alias("__h"), *[F.col(c).alias(f"__{c}") for c in ("cell", "blocks", "quota")], F.col("source_size").alias("__source_size"), F.col("target").alias("__target")), "mix-plan")
     order = Window.partitionBy("source", "__shard").orderBy("__order", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     run = sized.withColumn("__at", F.coalesce(F.sum("__size").over(order), F.lit(0)))
     run = run.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__shard") == F.col("__h")))
     prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64(F.lit(seed), "__s", "__h"), F.lit(len(PRIMES))) + 1).cast("int"))
-    block = F.struct(F.col("__at").alias("at"), "cell", "blocks", "quota", prime.alias("prime"), F.pmod(F.xxhash64("__h", F.lit(seed), "__s"), F.greatest("blocks", F.lit(1))).alias("shift"))
+    block = F.struct(F.col("__at").alias("at"), *[F.col(f"__{c}").alias(c) for c in ("cell", "blocks", "quota")], prime.alias("prime"), F.pmod(F.xxhash64("__h", F.lit(seed), "__s"), F.greatest("__blocks", F.lit(1))).alias("shift"))
     run = run.withColumn("__block", block)
     at, size, b = F.col("__at"), F.col("__size"), F.col("__block")
     j0, j1 = _block_of(at, b), _block_of(at + size - 1, b)
     taken = F.aggregate(F.sequence(j0, j1), F.lit(0).cast("long"), lambda acc, j: acc + _copies(j, b) * (F.least(at + size, _starts(j + 1, b)) - F.greatest(at, _starts(j, b))))
     run = run.withColumn("__taken", F.when(size > 0, taken).otherwise(F.lit(0).cast("long")))
-    return run.select(*docs.columns, "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__taken", "__block")
+    return run.select(*kept, "__size", "__source_size", "__target", "__taken", "__block")
 
 
 def _div(a: Column, b: Column) -> Column:

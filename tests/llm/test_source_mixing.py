@@ -82,6 +82,20 @@ def test_small_source_beside_a_large_one(spark, make, rng):
     assert got["small"][0] == 6000
 
 
+def test_regions_and_clashing_names(spark, make, rng):
+    """Quotas by way of regions of two shards; a table may have any of the operator's plain names."""
+    rows = [(i, sentence(rng, rng.randrange(100)), rng.choice("aab")) for i in range(300)]
+    docs = make(rows).select("*", *[F.lit("mine").alias(c) for c in ("cell", "blocks", "quota", "source_size", "target", "region", "most", "weight", "seats", "s", "source_quota", "taken")])
+    mixed = m.mix(docs, shard_words=1500, region=2)
+    assert mixed.columns[: len(docs.columns)] == docs.columns
+    for target, taken in (tuple(r)[1:] for r in mixed.groupBy("source").agg(F.max("__target"), F.sum("__taken")).collect()):
+        assert abs(taken - target) <= max(0.03 * target, 3 * m.BLOCK_WORDS)
+    out = m.copies(mixed, docs.columns)
+    assert out.columns == docs.columns and {r[0] for r in out.select("target").distinct().collect()} == {"mine"}
+    short = m.mix(docs, keep_text=False)
+    assert "text" not in short.columns and short.count() == 300
+
+
 def test_empty_table(spark, make):
     assert m.mix(make([])).collect() == []
     assert m.mix(make([(1, None, "a"), (2, "", None)])).select("__taken").collect() == [(0,), (0,)]
