@@ -24,7 +24,7 @@ from .shared import words, written
 #: texts apart that share only a passage: where it is a third of each, one such pair in 100 has an equal sketch.
 K, SIMILARITY = 2, 0.8
 TABLES, SAMPLE = 24, 5
-#: Pairs are verified in groups of at most so many that share a member.
+#: Pairs are verified in groups of about so many that share a member, a few times as many at most.
 GROUP = 32
 #: Hubs of a run in turn t: HUBS ** t; if no more than 4 * HUBS ** t pairs a member are left, all of them are tried.
 HUBS = 8
@@ -208,7 +208,7 @@ def neighbours(batches):
 
 
 def candidates(by_node: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of nodes (a < b) with an equal sketch in some table, two for each node at most; and all nodes that have any.
+    """Pairs of nodes (a < b, part) with an equal sketch in some table, two for each node at most; and all nodes that have any.
 
     A node's pairs are of its longest run; what its other runs may link besides, linked() tries.
     """
@@ -223,21 +223,21 @@ def candidates(by_node: DataFrame) -> tuple[DataFrame, DataFrame]:
     chain = Window.partitionBy("table", "sketch").orderBy("part", "head")
     ends = found.filter("part >= 0").select(F.col("head").alias("b"), F.lag("b").over(chain).alias("before"), F.first("head").over(chain).alias("head")).filter("before is not null and before <> b")
     mine = found.filter("part < 0")
-    pairs = mine.select("b", F.explode(F.array("head", "before")).alias("a")).unionByName(ends.select("b", F.explode(F.array("head", "before")).alias("a")))
-    pairs = written(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    # a head's pairs are cut into parts by their places in the run, so that no part is large
+    both = F.explode(F.array(F.struct(F.col("head").alias("a"), F.floor(F.col("place") / GROUP).alias("part")), F.struct(F.col("before").alias("a"), F.lit(0).cast("long").alias("part")))).alias("p")
+    pairs = mine.select("b", both).unionByName(ends.withColumn("place", F.lit(-1)).select("b", both))
+    # nodes are in order in a run, so that a < b
+    pairs = written(pairs.select("p.a", "b", "p.part").filter("a <> b").distinct(), "pairs")
     return pairs, mine.select(F.col("b").alias("node")).union(pairs.select("a")).union(pairs.select("b")).distinct()
 
 
 def verified(pairs: DataFrame, words_of: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """a, b, similarity of the pairs whose texts (node, hashes of the words) are at least so similar.
 
-    The pairs of a node are cut into groups of about GROUP, so that none is large; a group has its node's words once.
+    pairs (a, b, part): the parts of a's pairs, which are small, are groups; a group has a's words once.
     """
-    # from a table, so that the join can split a node with very many pairs
-    size = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups")), "pair-groups")
-    p = pairs.join(size, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
-    left = p.select("a", "part").distinct().join(words_of, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("binary").alias("b"), "hashes")
-    right = p.join(words_of, F.col("b") == F.col("node")).select("a", "part", "b", "hashes")
+    left = pairs.select("a", "part").distinct().join(words_of, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("binary").alias("b"), "hashes")
+    right = pairs.join(words_of, F.col("b") == F.col("node")).select("a", "part", "b", "hashes")
 
     def compare(table):
         import pyarrow as pa
@@ -307,7 +307,9 @@ def untried(members: DataFrame, turn: int, least: float) -> tuple[DataFrame, Dat
     on = (F.col("h.table") == F.col("r.table")) & (F.col("h.sketch") == F.col("r.sketch")) & (F.col("h.salt") == F.col("r.salt"))
     on &= (F.col("h.root") != F.col("r.root")) & (~F.col("r.hub") | (F.col("h.node") < F.col("r.node"))) & may
     # a merge join at every size: the members grow with the documents
-    pairs = h.join(r.hint("merge"), on).select(F.col("h.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    pairs = h.join(r.hint("merge"), on).select(F.col("h.node").alias("a"), F.col("r.node").alias("b"), "h.size")
+    # a hub has no more pairs than its runs have members
+    pairs = pairs.groupBy("a", "b").agg(F.max("size").alias("size")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / GROUP).cast("long")).alias("part"))
     return written(pairs, "more-pairs"), m.filter("not all").select(*run, "node", "popular")
 
 
@@ -343,7 +345,8 @@ def linked(nodes: DataFrame, pairs: DataFrame, words_of: DataFrame, least: float
         more, members = untried(rooted, turn, least)
         members = members.select(*run, "node")
         if turn == 0:
-            more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+            first = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
+            more = more.join(first, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
         roots = classes(roots.toDF("a", "b").unionByName(verified(more, words_of, least).select("a", "b")))
         turn += 1
 
