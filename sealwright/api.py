@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +41,9 @@ def inputs_from_dicts(spark: SparkSession, log_id: str, records: list[dict], fir
 def inputs_from_json(spark: SparkSession, path: str, log_id: str) -> DataFrame:
     """Record inputs of a JSON document with a ``records`` list; numbers in payloads must be integers."""
 
-    @F.udf("binary")
-    def encoded(payload: str) -> bytes:
-        return cbor.encode(json.loads(payload))
+    @F.pandas_udf("binary")
+    def encoded(payloads: pd.Series) -> pd.Series:
+        return payloads.map(lambda payload: None if payload is None else cbor.encode(json.loads(payload)))
 
     schema = "records array<struct<ts_wall:string,ts_mono_delta:long,actor:string,event:string,schema_version:long,payload:variant>>"
     r = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.posexplode("records").alias("seq", "r")).select("seq", "r.*")

@@ -83,7 +83,15 @@ def hex_lower(data: Column) -> Column:
 
 
 def ts_millis(ts_wall: Column) -> Column:
-    """Milliseconds of a signed time. Not 24 bytes: 0; a part that isn't a number: 0 for that part; days aren't checked."""
+    """Milliseconds of a signed time. Not 24 bytes: 0; a part that isn't a number: 0 for that part; days aren't checked.
+
+    Well-formed times are cast; the arithmetic is for the others, row by row as needed.
+    """
+    plain = F.when(ts_wall.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z\z"), F.unix_millis(ts_wall.try_cast("timestamp")))
+    return F.coalesce(plain, _ts_millis_by_parts(ts_wall))
+
+
+def _ts_millis_by_parts(ts_wall: Column) -> Column:
     part = lambda at, n: F.coalesce(F.when(F.substring(ts_wall, at, n).rlike(r"^\+?\d+$"), F.substring(ts_wall, at, n).try_cast("long")), F.lit(0))
     y0, m, d = part(1, 4), part(6, 2), part(9, 2)
     y = F.when(m <= 2, y0 - 1).otherwise(y0)

@@ -28,7 +28,7 @@ def export_lines(frames: DataFrame, segments: DataFrame, key, full: bool = False
     if not full:
         count = frames.filter("not torn").groupBy("log_id").agg(F.count(F.lit(1)).alias("total"))
         rows = rows.join(count, "log_id").filter((F.col("n") <= SAMPLE_ROWS) | (F.col("n") > F.col("total") - SAMPLE_ROWS))
-    return fixed.unionByName(rows.select("log_id", F.lit(4).alias("part"), F.col("n").alias("line_no"), as_text().alias("line")))
+    return fixed.unionByName(rows.select("log_id", F.lit(4).alias("part"), F.col("n").alias("line_no"), as_text("<bytes>").alias("line")))
 
 
 def digests(lines: DataFrame) -> DataFrame:

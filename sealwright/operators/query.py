@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SAMPLE_ROWS
+from ..functions import cbor
 from ..functions.expressions import glob, hex_lower
 
 ORDER = ("segment_index", "file_offset")
@@ -29,8 +31,21 @@ def as_json() -> Column:
     return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"payload":'), F.col("payload_json"), F.lit(","), F.substring(tail, F.lit(2), F.length(tail)))
 
 
-def as_text() -> Column:
-    return F.concat(F.format_string("[s%dr%d] %s %s %s", F.col("segment_index"), F.col("record_id").cast("long"), F.col("ts_wall"), F.col("actor"), F.col("event")), F.when(F.col("payload_json") != "{}", F.concat(F.lit("\n    payload: "), F.col("payload_json"))).otherwise(""), F.lit("\n    hmac:    "), hex_lower(F.col("hmac")))
+def inlined(payload: Column, bytes_as: str | None = None) -> Column:
+    """Canonical payload bytes as k=v, ..., in the order of the keys; maps and lists collapse. Bytes are 0x-text or ``bytes_as``."""
+
+    @F.pandas_udf("string")
+    def text(payloads: pd.Series) -> pd.Series:
+        return payloads.map(lambda data: None if data is None else cbor.inline(cbor.decode(data), bytes_as))
+
+    return text(payload)
+
+
+def as_text(bytes_as: str | None = None) -> Column:
+    """A record as lines of text; an empty payload has none."""
+    place = F.format_string("[s%dr%d] %s %s %s", F.col("segment_index"), F.col("record_id").cast("long"), F.col("ts_wall"), F.col("actor"), F.col("event"))
+    shown = inlined(F.col("payload"), bytes_as)
+    return F.concat(place, F.when(shown != "", F.concat(F.lit("\n    payload: "), shown)).otherwise(""), F.lit("\n    hmac:    "), hex_lower(F.col("hmac")))
 
 
 def head(records: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -62,8 +77,3 @@ def first_and_last(records: DataFrame) -> DataFrame:
 
 def seek(records: DataFrame, segment_index: int, record_id: int) -> DataFrame:
     return records.filter((F.col("segment_index") == segment_index) & (F.col("record_id") == record_id))
-
-
-def previous(column: str) -> Column:
-    """The value of the record before, within a segment."""
-    return F.lag(column).over(Window.partitionBy("log_id", "segment_index").orderBy("file_offset"))

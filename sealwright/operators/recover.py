@@ -9,7 +9,7 @@ from ..constants import FINALIZE_EVENT
 from ..errors import RecoveryError
 from ..sources.segments import filesystem, list_segments, read_log
 from .seal import Chain, SealConfig
-from .verify import VerifyOptions, decoded, header_checks, record_checks
+from .verify import VerifyOptions, header_checks, inspected, record_checks
 
 
 def plan(spark, folder: str, key) -> DataFrame:
@@ -18,7 +18,7 @@ def plan(spark, folder: str, key) -> DataFrame:
     last = segments.groupBy("log_id").agg(F.max_by(F.struct("segment_index", "header", "file_bytes"), "segment_index").alias("s")).select("log_id", "s.*")
     heads = header_checks(last, key)
     mine = frames.join(last.select("log_id", "segment_index"), ["log_id", "segment_index"])
-    c = record_checks(decoded(mine), heads, key, VerifyOptions())
+    c = record_checks(inspected(mine, key), heads, key, VerifyOptions())
     good = c.filter("not torn")
     state = good.groupBy("log_id").agg(F.count(F.lit(1)).alias("records"), F.max_by(F.struct("hmac", "ts_wall", F.col("ts_mono_delta").cast("long").alias("mono"), "event"), "file_offset").alias("end"), F.min(F.when(F.col("rank").between(8, 12), F.col("rank"))).alias("bad"))
     torn = c.filter("torn").groupBy("log_id").agg(F.min("file_offset").alias("torn_at"))

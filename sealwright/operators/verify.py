@@ -42,6 +42,29 @@ def decoded(frames: DataFrame) -> DataFrame:
     return frames.select("*", fields("payload_bytes").alias("__f")).select("*", "__f.*").drop("__f")
 
 
+INSPECTED = "record_id decimal(20,0), prev_hash binary, ts_wall string, ts_mono_delta decimal(20,0), session_id binary, event string, key_id binary, decode_error string, expected_hmac binary"
+
+
+def inspected(frames: DataFrame, key) -> DataFrame:
+    """frames without their bytes, but with what verification asks of a record: some fields, and the HMAC it should have.
+
+    Bytes cross to Python once, where they are read, and no shuffle carries them.
+    """
+    from decimal import Decimal
+
+    @F.pandas_udf(INSPECTED)
+    def fields(payloads: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in payloads:
+            v, error = cbor.decode_record(data) if data is not None else (None, None)
+            signed = None if data is None else key.sign(data)
+            rows.append((None,) * 7 + (error, signed) if v is None else (Decimal(v[1]), v[2], v[3], Decimal(v[4]), v[5], v[7], v[9], None, signed))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in INSPECTED.replace("(20,0)", "").split(", ")])
+
+    kept = [c for c in frames.columns if c != "payload_bytes"]
+    return frames.select(*kept, fields("payload_bytes").alias("__f")).select(*kept, "__f.*")
+
+
 def signed(key, data: Column) -> Column:
     """The key's HMAC of the bytes; the key stays in the function's closure and out of the plan."""
 
@@ -78,10 +101,10 @@ class VerifyOptions:
 
 
 def record_checks(frames: DataFrame, segments: DataFrame, key, options: VerifyOptions = VerifyOptions()) -> DataFrame:
-    """frames (decoded()) with pos, rank (of the first failing record check) and ts_ms; checks across segments are left out."""
+    """frames (inspected()) with pos, rank (of the first failing record check) and ts_ms; checks across segments are left out."""
     f = frames.join(segments.filter("rank is null").select("log_id", "segment_index", "chain_start"), ["log_id", "segment_index"])
     w = Window.partitionBy("log_id", "segment_index").orderBy("file_offset")
-    f = f.withColumn("pos", F.row_number().over(w) - 1).withColumn("expected_hmac", signed(key, F.col("payload_bytes")))
+    f = f.withColumn("pos", F.row_number().over(w) - 1)
     f = f.withColumn("prev_stored", F.coalesce(F.lag("hmac").over(w), F.col("chain_start"))).withColumn("ts_ms", ts_millis(F.col("ts_wall")))
     step = F.col("ts_ms") - F.lag("ts_ms").over(w)
     mono = F.col("ts_mono_delta") - F.lag("ts_mono_delta").over(w)
@@ -188,7 +211,7 @@ def verify(frames: DataFrame, segments: DataFrame, key, options: VerifyOptions =
     frames: log_id, segment_index, file_offset, payload_bytes, hmac, torn. segments: log_id, segment_index, header.
     """
     heads = header_checks(segments, key)
-    states = segment_states(record_checks(decoded(frames), heads, key, options), heads)
+    states = segment_states(record_checks(inspected(frames, key), heads, key, options), heads)
     states = states.repartition("log_id").sortWithinPartitions("log_id", "segment_index")
     report = states.mapInArrow(_walk(key.key_id, options), REPORT)
     first = F.get("violations", F.lit(0))

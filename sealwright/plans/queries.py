@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..constants import FINALIZE_ACTOR, FINALIZE_EVENT, MAGIC
 from ..functions import expressions as x
 from ..keys import LocalKey
 from ..operators import query as q
@@ -287,7 +288,7 @@ _MS = "epoch_us({0}) // 1000"
 EVENTS = f"""
 r0 AS (SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts_wall, {_MS.format('ts')} AS ms, json_extract_string(props, '$.k')::BIGINT AS k FROM events),
 r1 AS (SELECT user_id::VARCHAR AS log_id, event_id AS seq, (row_number() OVER l - 1)::BIGINT AS rid, ts_wall, ms, (ms - min(ms) OVER (PARTITION BY user_id))::BIGINT AS mono,
-       'user:' || user_id AS actor, 'event.' || event_type AS event, unhex('a1616b') || {_head(0, 'k')} AS payload FROM r0 WINDOW l AS (PARTITION BY user_id ORDER BY event_id)),
+       'user:' || user_id AS actor, 'event.' || event_type AS event, unhex('a1616b') || {_head(0, 'k')} AS payload, k FROM r0 WINDOW l AS (PARTITION BY user_id ORDER BY event_id)),
 r2 AS (SELECT *, unhex('aa01') || {_head(0, 'rid')} || unhex('025820') AS pre,
        unhex('03') || {_text('ts_wall')} || unhex('04') || {_head(0, 'mono')} || unhex('0550{SESSION.hex()}06') || {_text('actor')} || unhex('07') || {_text('event')} || unhex('08') || payload || unhex('095820{_ID}0a01') AS post FROM r1),
 r AS (SELECT *, octet_length(pre) + 32 + octet_length(post) AS payload_len, (80 + coalesce(sum(octet_length(pre) + 72 + octet_length(post)) OVER (PARTITION BY log_id ORDER BY rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS file_offset FROM r2)"""
@@ -298,6 +299,36 @@ a AS (SELECT r.*, lower(hex(c.prev)) AS prev_hex, lower(hex(c.h)) AS hmac_hex FR
 n AS (SELECT log_id, count(*) AS n FROM r GROUP BY log_id)"""
 _LISTING = "log_id, 0::INT AS segment_index, rid AS record_id, prev_hex AS prev_hash_hex, hmac_hex, payload_len::BIGINT AS payload_len"
 
+_SESSION_HEX = SESSION.hex()
+
+
+def _head_bytes(n: str) -> str:
+    """The length of the head of a number."""
+    return f"(CASE WHEN {n} < 24 THEN 1 WHEN {n} < 256 THEN 2 WHEN {n} < 65536 THEN 3 WHEN {n} < 4294967296 THEN 5 ELSE 9 END)"
+
+
+def _closing(mono: str, count: str) -> str:
+    """The length of a closing record's bytes behind prev_hash: fixed ones, the step after mono, and the count."""
+    fixed = 27 + 1 + 18 + 1 + (1 + len(FINALIZE_ACTOR)) + 1 + (1 + len(FINALIZE_EVENT)) + 1 + (1 + 1 + 7 + 1 + 10 + 34) + 35 + 2
+    return f"({fixed} + {_head_bytes(mono + ' + 1')} + {count})"
+
+
+#: The walk of the writer with small segments, by lengths alone: at each record the segment, its offset, its number in the
+#: segment, and where the closing record of the segment before lies (null unless one was written just before).
+ROLLED = f"""WITH RECURSIVE {EVENTS},
+z AS (SELECT log_id, rid, mono, octet_length(post) AS tail FROM r),
+w AS (SELECT log_id, rid, mono, 0 AS seg, 80::BIGINT AS spot, 0::BIGINT AS num, 37 + {_head_bytes('0')} + tail AS len, NULL::BIGINT AS closed_at, NULL::BIGINT AS closed_len, NULL::BIGINT AS closed_num FROM z WHERE rid = 0
+      UNION ALL
+      SELECT log_id, rid, mono, CASE WHEN roll THEN seg + 1 ELSE seg END, CASE WHEN roll THEN 80 ELSE spot END, CASE WHEN roll THEN 0 ELSE num END,
+             37 + CASE WHEN roll THEN 1 ELSE {_head_bytes('num')} END + tail, CASE WHEN roll THEN spot END, CASE WHEN roll THEN 37 + {_head_bytes('num')} + {_closing('before', _head_bytes('num'))} END, CASE WHEN roll THEN num END
+      FROM (SELECT z.log_id, z.rid, z.mono, w.mono AS before, w.seg, w.spot + w.len + 40 AS spot, w.num + 1 AS num, z.tail,
+                   w.spot + w.len + 40 + 86 + z.tail + 86 + {_closing('z.mono', '9')} > {SMALL.segment_bytes} AS roll
+            FROM w JOIN z ON z.log_id = w.log_id AND z.rid = w.rid + 1)),
+f AS (SELECT log_id, seg, num, spot, len FROM w UNION ALL SELECT log_id, seg - 1, closed_num, closed_at, closed_len FROM w WHERE closed_at IS NOT NULL)"""
+#: CRC-32 of a list of bytes, by a table of 256 values made here.
+CRC = """WITH RECURSIVE t AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM t WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tbl FROM t WHERE k = 8)"""
+
 
 def _first_bad(bad: str, kind: str, seen: str = "b + 1", with_id: str = "|| 'r' || b") -> str:
     return f"""WITH {EVENTS}, n AS (SELECT log_id, count(*) AS n FROM r GROUP BY log_id), f AS ({bad})
@@ -336,5 +367,19 @@ SELECT log_id, (CASE WHEN b IS NULL THEN n ELSE b + 1 END)::BIGINT AS records_in
     "head_per_log": f"""{CHAIN} SELECT log_id, n AS record_count, 1::BIGINT AS segments, hmac_hex AS head_hmac_hex, 0::BIGINT AS last_segment_index, rid AS last_record_id, actor AS last_actor, event AS last_event, '{_ID}' AS key_id_hex, '{SESSION.hex()}' AS session_id_hex FROM a JOIN n USING (log_id) WHERE rid = n - 1""",
     "sample_head_tail": f"WITH {EVENTS} SELECT log_id, seq, ts_wall, event FROM (SELECT *, row_number() OVER (ORDER BY seq) AS a, row_number() OVER (ORDER BY seq DESC) AS b FROM r) WHERE a <= 50 OR b <= 50",
     "first_and_last": f"WITH {EVENTS} SELECT log_id, arg_min(ts_wall, rid) AS first_ts, arg_min(event, rid) AS first_event, arg_max(ts_wall, rid) AS last_ts, arg_max(event, rid) AS last_event FROM r GROUP BY log_id",
+    "header_crc": f"""{CRC},
+u AS (SELECT DISTINCT user_id FROM events),
+b AS (SELECT user_id, '{MAGIC.hex()}0100' || printf('%02x%02x', ((user_id % 9999) % 256)::BIGINT, ((user_id % 9999) // 256)::BIGINT) || '{_ID}' || sha256(user_id::VARCHAR) AS body_hex FROM u)
+SELECT user_id, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(body_hex, 2 * i + 1, 2))::BIGINT FOR i IN range(72)]), lambda c, x: xor(tbl[xor(c % 256, x) + 1], c // 256)), 4294967295) AS crc, body_hex FROM b, crc""",
+    "verify_rollover": f"{ROLLED} SELECT log_id, (max(seg) + 1)::INT AS segments_inspected, count(*) AS records_inspected, 'Verified' AS compact FROM f GROUP BY log_id",
+    "segment_continuity": f"{ROLLED} SELECT log_id, seg::INT AS segment_index, count(*) AS records, true AS continuous FROM f GROUP BY log_id, seg",
+    "stream_tail": f"{ROLLED} SELECT log_id, seg::INT AS segment_index, spot AS file_offset, false AS torn, len::INT AS payload_len FROM f",
+    "verify_segment_filter": f"""{ROLLED},
+k AS (SELECT *, lag(num, 1, -1) OVER (PARTITION BY log_id, seg ORDER BY spot) AS before FROM (SELECT *, max(num) OVER (PARTITION BY log_id, seg) AS last FROM f) WHERE (spot + log_id::BIGINT) % 97 <> 0),
+s AS (SELECT log_id, seg, min(num) FILTER (WHERE before < num - 1) AS broken, max(num) < max(last) AS cut FROM k GROUP BY log_id, seg),
+x AS (SELECT a.log_id, a.broken, b.broken IS NULL AND b.cut AS apart FROM s a JOIN s b ON b.log_id = a.log_id AND b.seg = 0 WHERE a.seg = 1)
+SELECT log_id, 1::INT AS segment_index, CASE WHEN apart THEN 'SegmentDiscontinuity' ELSE 'ChainBreak' END AS kind, CASE WHEN NOT apart THEN broken END AS record_id FROM x WHERE apart OR broken IS NOT NULL""",
+    "show_json": f"""{CHAIN} SELECT log_id, rid AS record_id, '{{"segment_index":0,"record_id":' || rid || ',"ts_wall":"' || ts_wall || '","ts_mono_delta":' || mono || ',"session_id_hex":"{_SESSION_HEX}","actor":"' || actor || '","event":"' || event || '","payload":{{"k":' || k || '}},"key_id_hex":"{_ID}","schema_version":1,"prev_hash_hex":"' || prev_hex || '","hmac_hex":"' || hmac_hex || '"}}' AS line FROM a""",
+    "show_text": f"""{CHAIN} SELECT log_id, rid AS record_id, '[s0r' || rid || '] ' || ts_wall || ' ' || actor || ' ' || event || chr(10) || '    payload: k=' || k || chr(10) || '    hmac:    ' || hmac_hex AS line FROM a""",
     "seek_record": f"{CHAIN} SELECT {_LISTING} FROM a WHERE rid = 7",
 }

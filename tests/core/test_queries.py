@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from sealwright.plans import queries as p
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return None
     value = value.item() if hasattr(value, "item") else value
     return int(value) if isinstance(value, float) and value == int(value) else value
