@@ -23,7 +23,8 @@ from .shared import written
 REDACTED = r"(?:\G|(?<![\w.+-]))[\w.+-]++@[\w-]++\.[\w.]+|\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b|\b[0-9a-f]{32,64}\b|\b\d{12,19}\b"
 PLACEHOLDER = "<redacted>"
 EDITS = "array<struct<start:int,length:int,replacement:string>>"
-TREE = "leaf_chars array<int>, leaf_tokens array<int>"
+#: A tree as columns: its leaves as little-endian 32-bit integers, and their tokens in all.
+TREE = "leaf_chars binary, leaf_tokens binary, tokens long"
 RESULT = "tokens_before long, tokens_after long, n_edits int, leaves int, chars_reencoded long"
 
 
@@ -208,6 +209,12 @@ def redactions(text: Column, pattern: str = REDACTED, replacement: str = PLACEHO
     return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["edits"]).otherwise(none)
 
 
+def packed(values: list[int]) -> bytes:
+    import numpy as np
+
+    return np.array(values, "<i4").tobytes()
+
+
 def trees(text: Column, tokenizer_path: str) -> Column:
     """A struct (TREE) of the text's leaves, pre-token by pre-token; none for null and empty text."""
 
@@ -215,14 +222,18 @@ def trees(text: Column, tokenizer_path: str) -> Column:
     def build(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pre = PreTokens(tokenizer_path)
         for texts in batches:
-            words = [pre.split(t or "") for t in texts]
-            yield pd.DataFrame({"leaf_chars": [list(map(len, w)) for w in words], "leaf_tokens": [list(map(pre.count, w)) for w in words]})
+            rows = []
+            for text in texts:
+                words = pre.split(text or "")
+                counts = list(map(pre.count, words))
+                rows.append((packed(list(map(len, words))), packed(counts), sum(counts)))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in TREE.split(", ")])
 
     return build(text)
 
 
-def updated(text: Column, leaf_chars: Column, leaf_tokens: Column, edits: Column, tokenizer_path: str) -> Column:
-    """A struct (text, TREE, RESULT) of kept leaves after the edits. Rows without edits go through Python by their leaves' number only.
+def updated(text: Column, tree: Column, edits: Column, tokenizer_path: str) -> Column:
+    """A struct (text, TREE, RESULT) of a kept tree after the edits. Of rows without edits nothing goes through Python.
 
     Edits are of characters of the text as it was and don't overlap; they are applied from the last to the first. Null
     text is empty; null edits are none; edits that reach beyond the text are cut.
@@ -231,36 +242,38 @@ def updated(text: Column, leaf_chars: Column, leaf_tokens: Column, edits: Column
 
     @F.pandas_udf(fields)
     def update(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
         pre = PreTokens(tokenizer_path)
         for columns in batches:
             rows = []
             for text, chars, tokens, changes in zip(*columns):
                 if changes is None or not len(changes):
-                    rows.append((None,) * 8)
+                    rows.append((None,) * 9)
                     continue
-                doc = EditedText.of_leaves(text or "", chars.tolist(), tokens, pre)
+                chars = np.frombuffer(chars, "<i4").tolist()
+                doc = EditedText.of_leaves(text or "", chars, np.frombuffer(tokens, "<i4"), pre)
                 before, leaves = doc.tree.tokens, len(chars)
                 for e in sorted(changes, key=lambda e: (e["start"], e["length"]), reverse=True):
                     doc.replace(e["start"], e["length"], e["replacement"] or "")
-                rows.append((doc.text, *doc.leaves(), before, doc.tree.tokens, len(changes), leaves, doc.reencoded))
+                rows.append((doc.text, *map(packed, doc.leaves()), doc.tree.tokens, before, doc.tree.tokens, len(changes), leaves, doc.reencoded))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in fields.split(", ")])
 
     touched = F.coalesce(F.size(edits), F.lit(0)) > 0
-    new = update(*[F.when(touched, c) for c in (text, leaf_chars, leaf_tokens, edits)])
-    n = F.aggregate(leaf_tokens, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    same = F.struct(text.alias("text"), leaf_chars.alias("leaf_chars"), leaf_tokens.alias("leaf_tokens"), n.alias("tokens_before"), n.alias("tokens_after"), F.lit(0).alias("n_edits"), F.size(leaf_tokens).alias("leaves"), F.lit(0).cast("long").alias("chars_reencoded"))
+    new = update(*[F.when(touched, c) for c in (text, tree["leaf_chars"], tree["leaf_tokens"], edits)])
+    n, leaves = tree["tokens"], (F.octet_length(tree["leaf_chars"]) / 4).cast("int")
+    same = F.struct(text.alias("text"), tree["leaf_chars"].alias("leaf_chars"), tree["leaf_tokens"].alias("leaf_tokens"), n.alias("tokens"), n.alias("tokens_before"), n.alias("tokens_after"), F.lit(0).alias("n_edits"), leaves.alias("leaves"), F.lit(0).cast("long").alias("chars_reencoded"))
     return F.when(touched, new).otherwise(same)
 
 
 def count_tokens(docs: DataFrame, edits: Column, tokenizer_path: str) -> DataFrame:
     """docs with the columns of RESULT (columns so named are replaced): counts before and after the edits.
 
-    The documents' trees are kept as a table, written once; then the edits, an expression over docs' columns, are
-    applied to its rows. No row moves, so a hot source doesn't matter; one text is in memory at a time, and batches are
-    cut by the number of rows that spark.sql.execution.arrow.maxRecordsPerBatch and .maxBytesPerBatch allow.
+    The documents' trees, and the edits, an expression over docs' columns, are kept as a table, written once; then the
+    edits are applied to its rows. No row moves, so a hot source doesn't matter.
     """
     names = [x.split()[0] for x in RESULT.split(", ")]
     kept = [c for c in docs.columns if c not in names]
-    rows = written(docs.select(*kept, trees(F.col("text"), tokenizer_path).alias("__tree")), "token-trees")
-    new = updated(F.col("text"), F.col("__tree.leaf_chars"), F.col("__tree.leaf_tokens"), edits, tokenizer_path)
+    rows = written(docs.select(*kept, trees(F.col("text"), tokenizer_path).alias("__tree"), edits.alias("__edits")), "token-trees")
+    new = updated(F.col("text"), F.col("__tree"), F.col("__edits"), tokenizer_path)
     return rows.select(*kept, new.alias("__c")).select(*kept, *[F.col(f"__c.{n}").alias(n) for n in names])
