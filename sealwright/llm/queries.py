@@ -23,7 +23,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, token_counts.redactions(F.col("text")), token_output.tokenizer_file("byte_bpe_50k.tiktoken")).drop("text")
+    return token_counts.count_tokens(docs, token_counts.redactions(F.col("text")), token_output.tokenizer_file("byte_bpe_50k.tiktoken"), keep_text=False)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,9 +23,10 @@ from .shared import written
 REDACTED = r"(?:\G|(?<![\w.+-]))[\w.+-]++@[\w-]++\.[\w.]+|\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b|\b[0-9a-f]{32,64}\b|\b\d{12,19}\b"
 PLACEHOLDER = "<redacted>"
 EDITS = "array<struct<start:int,length:int,replacement:string>>"
-#: A tree as columns: its leaves as little-endian 32-bit integers, and their tokens in all.
-TREE = "leaf_chars binary, leaf_tokens binary, tokens long"
+#: A tree as columns: its leaves as compressed 32-bit integers, their number, and their tokens in all.
+TREE = "leaf_chars binary, leaf_tokens binary, leaves int, tokens long"
 RESULT = "tokens_before long, tokens_after long, n_edits int, leaves int, chars_reencoded long"
+EDITED = f"text string, leaf_chars binary, leaf_tokens binary, tokens long, {RESULT}"
 
 
 class PreTokens:
@@ -211,8 +212,16 @@ def redactions(text: Column, pattern: str = REDACTED, replacement: str = PLACEHO
 
 def packed(values: list[int]) -> bytes:
     import numpy as np
+    import zstandard
 
-    return np.array(values, "<i4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.array(values, "<i4").tobytes())
+
+
+def unpacked(data: bytes):
+    import numpy as np
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4")
 
 
 def trees(text: Column, tokenizer_path: str) -> Column:
@@ -226,24 +235,21 @@ def trees(text: Column, tokenizer_path: str) -> Column:
             for text in texts:
                 words = pre.split(text or "")
                 counts = list(map(pre.count, words))
-                rows.append((packed(list(map(len, words))), packed(counts), sum(counts)))
+                rows.append((packed(list(map(len, words))), packed(counts), len(words), sum(counts)))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in TREE.split(", ")])
 
     return build(text)
 
 
 def updated(text: Column, tree: Column, edits: Column, tokenizer_path: str) -> Column:
-    """A struct (text, TREE, RESULT) of a kept tree after the edits. Of rows without edits nothing goes through Python.
+    """A struct (EDITED) of a kept tree after the edits. Of rows without edits nothing goes through Python.
 
     Edits are of characters of the text as it was and don't overlap; they are applied from the last to the first. Null
     text is empty; null edits are none; edits that reach beyond the text are cut.
     """
-    fields = f"text string, {TREE}, {RESULT}"
 
-    @F.pandas_udf(fields)
+    @F.pandas_udf(EDITED)
     def update(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         pre = PreTokens(tokenizer_path)
         for columns in batches:
             rows = []
@@ -251,29 +257,34 @@ def updated(text: Column, tree: Column, edits: Column, tokenizer_path: str) -> C
                 if changes is None or not len(changes):
                     rows.append((None,) * 9)
                     continue
-                chars = np.frombuffer(chars, "<i4").tolist()
-                doc = EditedText.of_leaves(text or "", chars, np.frombuffer(tokens, "<i4"), pre)
+                chars = unpacked(chars).tolist()
+                doc = EditedText.of_leaves(text or "", chars, unpacked(tokens), pre)
                 before, leaves = doc.tree.tokens, len(chars)
                 for e in sorted(changes, key=lambda e: (e["start"], e["length"]), reverse=True):
                     doc.replace(e["start"], e["length"], e["replacement"] or "")
                 rows.append((doc.text, *map(packed, doc.leaves()), doc.tree.tokens, before, doc.tree.tokens, len(changes), leaves, doc.reencoded))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in fields.split(", ")])
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in EDITED.split(", ")])
 
     touched = F.coalesce(F.size(edits), F.lit(0)) > 0
     new = update(*[F.when(touched, c) for c in (text, tree["leaf_chars"], tree["leaf_tokens"], edits)])
-    n, leaves = tree["tokens"], (F.octet_length(tree["leaf_chars"]) / 4).cast("int")
-    same = F.struct(text.alias("text"), tree["leaf_chars"].alias("leaf_chars"), tree["leaf_tokens"].alias("leaf_tokens"), n.alias("tokens"), n.alias("tokens_before"), n.alias("tokens_after"), F.lit(0).alias("n_edits"), leaves.alias("leaves"), F.lit(0).cast("long").alias("chars_reencoded"))
+    n = tree["tokens"]
+    same = F.struct(text.alias("text"), tree["leaf_chars"].alias("leaf_chars"), tree["leaf_tokens"].alias("leaf_tokens"), n.alias("tokens"), n.alias("tokens_before"), n.alias("tokens_after"), F.lit(0).alias("n_edits"), tree["leaves"].alias("leaves"), F.lit(0).cast("long").alias("chars_reencoded"))
     return F.when(touched, new).otherwise(same)
 
 
-def count_tokens(docs: DataFrame, edits: Column, tokenizer_path: str) -> DataFrame:
+def count_tokens(docs: DataFrame, edits: Column, tokenizer_path: str, keep_text: bool = True) -> DataFrame:
     """docs with the columns of RESULT (columns so named are replaced): counts before and after the edits.
 
     The documents' trees, and the edits, an expression over docs' columns, are kept as a table, written once; then the
-    edits are applied to its rows. No row moves, so a hot source doesn't matter.
+    edits are applied to its rows. No row moves, so a hot source doesn't matter. Without keep_text the table has the
+    texts that edits touch only, and the result has none.
     """
     names = [x.split()[0] for x in RESULT.split(", ")]
     kept = [c for c in docs.columns if c not in names]
-    rows = written(docs.select(*kept, trees(F.col("text"), tokenizer_path).alias("__tree"), edits.alias("__edits")), "token-trees")
+    rows = docs.select(*kept, trees(F.col("text"), tokenizer_path).alias("__tree"), edits.alias("__edits"))
+    if not keep_text:
+        kept = [c for c in kept if c != "text"]
+        rows = rows.select(*kept, F.when(F.size("__edits") > 0, F.col("text")).alias("text"), "__tree", "__edits")
+    rows = written(rows, "token-trees")
     new = updated(F.col("text"), F.col("__tree"), F.col("__edits"), tokenizer_path)
     return rows.select(*kept, new.alias("__c")).select(*kept, *[F.col(f"__c.{n}").alias(n) for n in names])

@@ -78,6 +78,9 @@ def test_redactions_and_counts(spark, make, rng):
         assert (r["tokens_before"], r["n_edits"]) == (len(pre.encoding.encode_ordinary(text)), n)
         assert r["tokens_after"] == len(pre.encoding.encode_ordinary(edited))
     assert sum(r["n_edits"] for r in rows) == 11
+    short = t.count_tokens(docs, t.redactions(F.col("text")), PATH, keep_text=False)
+    assert short.columns == [c for c in out.columns if c != "text"]
+    assert sorted(map(repr, short.collect())) == sorted(map(repr, out.drop("text").collect()))
     assert t.count_tokens(make([]), t.redactions(F.col("text")), PATH).collect() == []
 
 
