@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 LINES_PER_WINDOW = 3
 
 
@@ -31,12 +33,12 @@ def covered_starts(docs: DataFrame, size: int = LINES_PER_WINDOW) -> DataFrame:
     """doc_id, copy, starts: where windows begin that occur earlier, in this document or in one with a smaller doc_id.
 
     The first occurrence of each window is aggregated before its shuffle, and so is the count; only windows that
-    occur twice or more meet the occurrences again, in a join whose hot keys are split. Rows that share doc_id and
+    occur twice or more meet the occurrences again, from a table, so that the join can split a hot window. Rows that share doc_id and
     text are one document.
     """
     w = windows(docs, size)
     place = F.struct("doc_id", "copy", "line")
-    firsts = w.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h1", "h2", "first")
+    firsts = written(w.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h1", "h2", "first"), "first-windows")
     later = w.join(firsts, ["h1", "h2"]).filter(place > F.col("first"))
     return later.groupBy("doc_id", "copy").agg(F.collect_set("line").alias("starts"))
 
