@@ -254,16 +254,16 @@ def verified(pairs: DataFrame, words_of: DataFrame, least: float = SIMILARITY) -
 def classes(links: DataFrame) -> DataFrame:
     """node, root: the smallest node that links (a, b) lead to; for nodes with links only.
 
-    Alternates the two star contractions (each links a node's neighbours to the smallest of them) until nothing
-    changes; a round is two joins on aggregated minima, and no component is ever in one place.
+    Alternates the two star contractions (each links a node's neighbours to the smallest of them) until only stars
+    are left; a round is two joins on aggregated minima, and no component is ever in one place.
     """
 
-    def state(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    def stars(e: DataFrame) -> bool:
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+        return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty()
 
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")  # a > b
-    before = state(edges)
-    while before[0]:
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # from tables, as a join fed by the aggregate itself couldn't be split where a class is large
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
@@ -272,25 +272,20 @@ def classes(links: DataFrame) -> DataFrame:
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = written(small.filter("a <> b").distinct(), "links")
-        if (now := state(edges)) == before:
-            break
-        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def untried(members: DataFrame, turn: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """Of runs with several classes (table, sketch, node, root, popular, sign): pairs (a: hub, b) of different classes to
-    verify in this turn, and the members of the runs that have more pairs than those.
+    """Of runs with several classes (table, sketch, node, root, popular, sign; the run's size, within: its pairs in equal
+    classes, largest: its largest class): pairs (a: hub, b) of different classes to verify in this turn, and the members
+    of the runs that have more pairs than those.
 
     The first hub is a run's member whose sketches are the most frequent (in a star of copies, the original); later,
     one outside of the run's largest class, and members chosen by hash. Pairs that signatures rule out are left out.
     """
     run = ["table", "sketch"]
-    counts = members.groupBy(*run, "root").agg(F.count(F.lit(1)).alias("c"))
-    runs = written(counts.groupBy(*run).agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "root"))["root"].alias("largest")).filter("within < size * size"), "open-runs")
-    most = 4 * HUBS**turn
-    runs = runs.select(*run, "size", "largest", ((F.col("size") * F.col("size") - F.col("within")) / 2 <= F.col("size") * most).alias("all"))
-    m = written(members.join(runs, run), "open-members")
+    all_of_it = (F.col("size") * F.col("size") - F.col("within")) / 2 <= F.col("size") * (4 * HUBS**turn)
+    m = members.withColumn("all", all_of_it)
     best = m.filter(F.lit(turn == 0) | (F.col("root") != F.col("largest"))).groupBy(*run).agg(F.max(F.struct("popular", "node"))["node"].alias("best"))
     m = m.join(written(best, "hubs"), run)
     hub = F.col("all") | (F.col("node") == F.col("best"))
@@ -330,24 +325,30 @@ def linked(nodes: DataFrame, pairs: DataFrame, words_of: DataFrame, least: float
     while True:
         if members is None:
             rooted = nodes.select("node", "sketch").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.posexplode("sketch").alias("table", "sketch"))
-            rooted = written(rooted, "runs")
         else:
-            rooted = written(members.join(roots, "node", "left").select(*run, "node", F.coalesce("root", "node").alias("root")), "rooted")
-        several = rooted.groupBy(*run).agg(F.count(F.lit(1)).alias("size"), (F.min("root") < F.max("root")).alias("several"))
-        several = written(several.filter("several").select(*run, "size"), "several")
-        rooted = written(rooted.join(several, run), "several-members")
+            rooted = members.join(roots, "node", "left").select(*run, "node", F.coalesce("root", "node").alias("root"))
+        rooted = written(rooted, "runs")
+        counts = rooted.groupBy(*run, "root").agg(F.count(F.lit(1)).alias("c"))
+        runs = counts.groupBy(*run).agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "root"))["root"].alias("largest"))
+        runs = written(runs.filter("within < size * size"), "open-runs")
+        rooted = written(rooted.join(runs, run), "open-members")
         if rooted.isEmpty():
             return roots
         popular = written(rooted.groupBy("node").agg(F.sum("size").alias("popular")), "popular")
         if signs is None:
             signs = written(words_of.join(popular.select("node"), "node").select("node", sign("hashes").alias("sign")), "signatures")
-        rooted = rooted.drop("size").join(popular.join(signs, "node"), "node")
-        more, members = untried(rooted, turn, least)
+        more, members = untried(rooted.join(popular.join(signs, "node"), "node"), turn, least)
         members = members.select(*run, "node")
         if turn == 0:
             first = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
             more = more.join(first, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-        roots = classes(roots.toDF("a", "b").unionByName(verified(more, words_of, least).select("a", "b")))
+        # only classes are linked from now on, so what contracts is small
+        found = written(verified(more, words_of, least).select("a", "b"), "more-links")
+        for end in "a", "b":
+            found = found.join(roots.toDF(end, "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        merged = classes(found.filter("a <> b"))
+        moved = roots.join(merged.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots = written(moved.unionByName(merged), "roots")  # a root is no class's node besides, so these are apart
         turn += 1
 
 
