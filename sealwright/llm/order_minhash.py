@@ -30,6 +30,8 @@ GROUP = 32
 HUBS = 8
 #: A run's members meet its hubs in groups of about so many.
 SALT = 256
+#: A task contracts about so many links at a time, in some 50 MB.
+LINKS = 1 << 17
 #: 64-bit words of a signature.
 WORDS = 32
 
@@ -133,6 +135,27 @@ def similarity(a: list, b: list, least: float = SIMILARITY) -> float:
     return 1 - edit_distance(a, b, most) / longer
 
 
+def labelled_words(hashes):
+    """Hashes of the words and their occurrence numbers, sorted. All differ."""
+    import numpy as np
+
+    return np.sort(shingles(hashes, 1))
+
+
+def may_be_similar(a, b, least: float = SIMILARITY) -> bool:
+    """Whether the words that two labelled_words() have in common are enough; never false for similar texts.
+
+    An edit is of one word at most, so the longer text has no more words that the other lacks than there are edits.
+    """
+    import numpy as np
+
+    longer = max(len(a), len(b))
+    if min(len(a), len(b)) < longer * least - 1e-9:
+        return False
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return longer - np.count_nonzero(both[1:] == both[:-1]) <= int((1 - least) * longer + 1e-9)
+
+
 def signature(hashes):
     """The number of words, and WORDS 64-bit words with a bit for each word's hash and occurrence, flipped by each.
 
@@ -243,26 +266,64 @@ def verified(pairs: DataFrame, words_of: DataFrame, least: float = SIMILARITY) -
         import pyarrow as pa
 
         names, rows = table.column("b").to_pylist(), table.column("hashes")
-        hub = rows[names.index(None)].as_py()
-        found = [(table.column("a")[0].as_py(), b, s) for b, x in zip(names, rows) if b is not None and (s := similarity(hub, x.as_py(), least)) >= least]
+        hub = rows[names.index(None)].values.to_numpy()
+        mine, hub, found = labelled_words(hub), hub.tolist(), []
+        for b, x in zip(names, rows):
+            # the alignment is the dear part, and few of the pairs that aren't similar get to it
+            if b is not None and may_be_similar(mine, labelled_words(x.values.to_numpy()), least) and (s := similarity(hub, x.as_py(), least)) >= least:
+                found.append((table.column("a")[0].as_py(), b, s))
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema) if found else schema.empty_table()
 
     return left.unionByName(right).groupBy("a", "part").applyInArrow(compare, "a binary, b binary, similarity double")
 
 
+def forests(batches):
+    """Links (a, b) that join the same nodes as these, LINKS at a time: from each node to the smallest that it leads to."""
+    import pyarrow as pa
+
+    root: dict = {}
+    held = 0
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    def stars():
+        found = [(x, top) for x in root if (top := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    for rows in batches:
+        for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        held += rows.num_rows
+        if held >= LINKS:
+            yield stars()
+            root.clear()
+            held = 0
+    if root:
+        yield stars()
+
+
 def classes(links: DataFrame) -> DataFrame:
     """node, root: the smallest node that links (a, b) lead to; for nodes with links only.
 
-    Alternates the two star contractions (each links a node's neighbours to the smallest of them) until only stars
-    are left; a round is two joins on aggregated minima, and no component is ever in one place.
+    Tasks contract the links they read first, a bounded number at a time, which leaves no more than one a node of
+    each. What these have in common is contracted by alternating the two star contractions (each links a node's
+    neighbours to the smallest of them) until only stars are left; a round is two joins on aggregated minima, and no
+    component is ever in one place.
     """
 
     def stars(e: DataFrame) -> bool:
         ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
         return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty()
 
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")  # a > b
+    edges = written(links.select("a", "b"), "links")
+    edges = edges.coalesce(edges.count() // LINKS + 1).mapInArrow(forests, "a binary, b binary")
+    edges = written(edges.distinct(), "forests")  # a > b
     while not stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # from tables, as a join fed by the aggregate itself couldn't be split where a class is large
@@ -343,7 +404,7 @@ def linked(nodes: DataFrame, pairs: DataFrame, words_of: DataFrame, least: float
             first = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
             more = more.join(first, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
         # only classes are linked from now on, so what contracts is small
-        found = written(verified(more, words_of, least).select("a", "b"), "more-links")
+        found = verified(more, words_of, least).select("a", "b")
         for end in "a", "b":
             found = found.join(roots.toDF(end, "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
         merged = classes(found.filter("a <> b"))

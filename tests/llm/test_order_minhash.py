@@ -162,12 +162,16 @@ def test_signatures_never_rule_out_what_is_similar():
             for _ in range(rng.randrange(1 + n // 40)):
                 at = rng.randrange(n)
                 v[at : at + rng.randrange(2)] = [rng.randrange(1 << 40)]
+            if m.similarity(w, v) >= m.SIMILARITY:
+                assert m.may_be_similar(m.labelled_words(np.array(w, np.int64)), m.labelled_words(np.array(v, np.int64)))
             x, y = m.signature(np.array(w, np.int64)), m.signature(np.array(v, np.int64))
             differ = sum(bin(int(p) & (1 << 64) - 1 ^ int(q) & (1 << 64) - 1).count("1") for p, q in zip(x[1:], y[1:]))
             assert len(x) == 1 + m.WORDS and x[0] == n and differ <= 2 * m.edit_distance(w, v, 2 * n) - abs(len(v) - n)
 
 
-def test_closure_of_a_long_chain(spark):
+@pytest.mark.parametrize("at_a_time", [1, 7, 1 << 17])
+def test_closure_of_a_long_chain(spark, monkeypatch, at_a_time):
+    monkeypatch.setattr(m, "LINKS", at_a_time)
     links = [(i.to_bytes(16, "big"), (i + 1).to_bytes(16, "big")) for i in range(40)] + [(b"x" * 16, b"y" * 16)]
     df = spark.createDataFrame([(a, b, 1.0) for a, b in links], "a binary, b binary, similarity double")
     got = {bytes(r["node"]): bytes(r["root"]) for r in m.classes(df).collect()}
