@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, media, order_minhash, source_mixing, suffix_dedup, token_counts, token_output, warc
+from . import bpe, conversation_trie, decontamination, language_id, line_dedup, media, order_minhash, resampling, source_mixing, suffix_dedup, token_counts, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op3_token_counts, op4_language_id, op5_warc, op6_suffix_dedup, op7_decontamination, op8_media_columns, op9_order_minhash, op10_line_dedup)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), token_output.tokenizer_file("word_bpe_49k.json"))
+    return d.select("doc_id", F.shiftright(F.octet_length("__ids").cast("long"), 2).alias("n_tokens"), F.sha2("__ids", 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op3_token_counts, op4_language_id, op5_warc, op6_suffix_dedup, op7_decontamination, op8_media_columns, op9_order_minhash, op10_line_dedup, op11_bpe, op12_resampling, op13_conversation_trie)}
+
+#: CRC-32 by a table of 256 values made here.
+_CRC = """t AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM t WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tbl FROM t WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT FOR i IN range(strlen({text}))]), lambda c, x: xor(tbl[xor(c % 256, x) + 1], c // 256)), 4294967295)"
+
 
 ORACLE_SQL = {
     "op5_warc": """
@@ -100,4 +122,34 @@ s AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE p IS NULL OR
 k AS (SELECT x.doc_id, string_agg(x.line, chr(10) ORDER BY x.i) AS kept FROM x ANTI JOIN c USING (doc_id, i) GROUP BY x.doc_id)
 SELECT l.doc_id, coalesce(len(l.lines), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
 FROM l LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op12_resampling": f"""
+WITH RECURSIVE {_CRC},
+x AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents UNION ALL SELECT NULL, coalesce(text, ''), NULL FROM benchmark),
+w AS (SELECT row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM x),
+d AS (SELECT word, {_crc32('word')} % 10000 AS bucket FROM (SELECT DISTINCT word FROM w), crc),
+n AS (SELECT row, bucket, count(*) AS n FROM w JOIN d USING (word) GROUP BY row, bucket),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE row IS NOT NULL), 0) AS s, coalesce(sum(n) FILTER (WHERE row IS NULL), 0) AS t FROM n GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM c) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM c) + 10000)::DOUBLE)))::BIGINT AS gain FROM c),
+f AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM n JOIN g USING (bucket) WHERE row IS NOT NULL GROUP BY row),
+r AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM (SELECT * FROM x WHERE row IS NOT NULL) LEFT JOIN f USING (row)),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS k, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * n // 100 THEN k END AS rank FROM k""",
+    "op13_conversation_trie": f"""
+WITH RECURSIVE {_CRC},
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+u AS (SELECT conv_id, md5(strlen(role) || ':' || role || text) AS what, length(text) AS points, turn FROM o),
+p AS (SELECT conv_id, what, points, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, what) AS place FROM u),
+v AS (SELECT conv_id, conv_id - conv_id % 100 AS base, n, {_crc32('conv_id::VARCHAR')} % 6 AS h FROM (SELECT conv_id, count(*) AS n FROM p GROUP BY conv_id), crc),
+q AS (SELECT v.*, least(v.h, coalesce(b.n, 0)) AS taken FROM v LEFT JOIN v b ON b.conv_id = v.base),
+r AS (SELECT q.conv_id, place - h + taken AS depth, what, points FROM q JOIN p USING (conv_id) WHERE place > h
+      UNION ALL SELECT q.conv_id, place, what, points FROM q JOIN p ON p.conv_id = q.base WHERE place <= taken),
+y AS (SELECT conv_id, depth, points, md5(string_agg(what, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM r
+      UNION ALL SELECT q.conv_id, 0, 0, '', NOT EXISTS (FROM r WHERE r.conv_id = q.conv_id) FROM q),
+n AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(points) AS own, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM y GROUP BY depth, k),
+e AS (SELECT n.*, up.k AS up FROM n LEFT JOIN y up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1),
+c AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n_children FROM e WHERE depth > 0 GROUP BY depth, up),
+z AS (SELECT e.*, coalesce(n_children, 0) AS n_children FROM e LEFT JOIN c USING (depth, k)),
+s AS (SELECT y.depth, y.k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM z JOIN y ON y.conv_id = z.conv_id AND y.depth <= z.depth GROUP BY y.depth, y.k)
+SELECT z.conv_id, z.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, z.n_convs, z.n_children, n_leaves, saved_tokens, z.ends_sha256
+FROM z JOIN s USING (depth, k) LEFT JOIN n up ON up.depth = z.depth - 1 AND up.k = z.up""",
 }
