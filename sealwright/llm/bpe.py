@@ -15,10 +15,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEVER = np.iinfo(np.int64).max
+#: Texts are divided into words so many characters at a time, which bounds a worker's memory to this or one text.
+PIECE_CHARS = 1 << 20
 
 
 class Merges:
@@ -27,18 +29,20 @@ class Merges:
     def __init__(self, vocab: dict[str, int], merges: list, end: str):
         self.vocab, self.end = vocab, end
         self.size = max(vocab.values()) + 1
-        self.rules: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rules: dict[tuple[int, int], int] = {}
+        self.makes: list[int] = []
         self.left, self.right, self.rank = (np.full(self.size, -1, np.int64) for _ in range(3))
         made: dict[int, int] = {}
         for rank, rule in enumerate(merges):
             a, b = rule.split(" ") if isinstance(rule, str) else rule
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            self.rules[x, y] = (rank, z)
+            self.rules[x, y] = rank
+            self.makes.append(z)
             made[z] = made.get(z, 0) + 1
             self.left[z], self.right[z], self.rank[z] = x, y, rank
         keys = np.fromiter((x * self.size + y for x, y in self.rules), np.int64, len(self.rules))
         order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.fromiter((r for r, _ in self.rules.values()), np.int64, len(keys))[order]
+        self.keys, self.ranks = keys[order], np.fromiter(self.rules.values(), np.int64, len(keys))[order]
         self.trusted = self._trusted(made)
         tokens = {t: i for t, i in vocab.items() if self.trusted[i]}
         self.inner = {t: i for t, i in tokens.items() if not end or not t.endswith(end)}
@@ -106,20 +110,37 @@ class Merges:
     def merge(self, piece: str) -> list[int]:
         """The exact way: the rule with the lowest rank first, of equal ones the leftmost."""
         ids = [self.vocab[c] for c in piece[:-1]] + [self.vocab[piece[-1] + self.end]]
+        return self._merge_short(ids) if len(ids) <= 100 else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        rules, makes = self.rules.get, self.makes
+        none = len(makes)
+        ranks = [rules(p, none) for p in zip(ids, ids[1:])]
+        while ranks and (rank := min(ranks)) < none:
+            i = ranks.index(rank)
+            ids[i : i + 2] = [makes[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rules((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = rules((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(self.rules[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rules]
+        heap = [(self.rules[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rules]
         heapq.heapify(heap)
         while heap:
-            _, i, (x, y) = heapq.heappop(heap)
+            rank, i, (x, y) = heapq.heappop(heap)
             j = after[i]
             if ids[i] != x or j >= len(ids) or ids[j] != y:
                 continue
-            ids[i], ids[j], after[i] = self.rules[x, y][1], -1, after[j]
+            ids[i], ids[j], after[i] = self.makes[rank], -1, after[j]
             if after[i] < len(ids):
                 before[after[i]] = i
             for p, q in ((before[i], i), (i, after[i])):
-                if p >= 0 and q < len(ids) and (rule := self.rules.get((ids[p], ids[q]))):
-                    heapq.heappush(heap, (rule[0], p, (ids[p], ids[q])))
+                if p >= 0 and q < len(ids) and (ids[p], ids[q]) in self.rules:
+                    heapq.heappush(heap, (self.rules[ids[p], ids[q]], p, (ids[p], ids[q])))
         return [x for x in ids if x >= 0]
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], int]:
@@ -149,7 +170,7 @@ class Codec:
     SPLIT = {"behavior": "Removed", "invert": True}
     BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         import re
 
         import regex
@@ -203,16 +224,26 @@ class Codec:
         self.pieces_known.update((p, struct.pack(f"<{len(x)}I", *x)) for p, x in zip(new, ids))
         for w, parts in cut.items():
             self.known[w] = b"".join([self.pieces_known[p] if isinstance(p, str) else struct.pack("<I", p) for p in parts])
-        if len(self.pieces_known) > 2 * self.most:
+        if len(self.pieces_known) > 3 * self.most:
             self.pieces_known = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers; null is an empty text."""
-        divided = [(self.words(t) if self.odd(t) else t.split()) if t else () for t in texts]
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit integers; null is an empty text. Takes some PIECE_CHARS at a time."""
+        held, size = [], 0
+        for t in texts:
+            held.append((self.words(t) if self.odd(t) else t.split()) if t else ())
+            size += len(t or "")
+            if size >= PIECE_CHARS:
+                yield from self._ids(held)
+                held, size = [], 0
+        yield from self._ids(held)
+
+    def _ids(self, divided: list[Iterable[str]]) -> Iterator[bytes]:
         if len(self.known) > self.most:
             self.old, self.known = self.known, {}
         self.learn({w for words in divided for w in words if w not in self.known})
-        return [b"".join(map(self.known.__getitem__, words)) for words in divided]
+        for words in divided:
+            yield b"".join(map(self.known.__getitem__, words))
 
     def decode(self, ids: bytes) -> str:
         """The names of the ids with spaces between, as the library decodes where a file has no decoder; unknown ids go."""
@@ -235,25 +266,38 @@ def encoded(text: Column, tokenizer_path: str) -> Column:
 
     @F.pandas_udf("binary")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(tokenizer_path)
         for batch in texts:
-            yield pd.Series(own.encode([t if isinstance(t, str) else None for t in batch]), index=batch.index, dtype=object)
+            yield pd.Series(list(codec(tokenizer_path).encode(_strings(batch))), index=batch.index, dtype=object)
 
     return encode(text)
 
 
 def decoded(ids: Column, tokenizer_path: str) -> Column:
-    """The text of ids() as the library decodes it with skip_special_tokens=False. Null stays null."""
+    """The text of encoded() as the library decodes it with skip_special_tokens=False. Null stays null."""
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(tokenizer_path)
         for batch in batches:
-            yield batch.map(lambda x: own.decode(bytes(x)) if x is not None else None)
+            yield batch.map(lambda x: codec(tokenizer_path).decode(bytes(x)) if x is not None else None)
 
     return decode(ids)
 
 
-def encode_and_decode(docs, tokenizer_path: str):
-    """docs with __ids and __decoded; all columns stay, repeated rows are encoded each. No row moves, so no key is hot."""
-    return docs.withColumn("__ids", encoded(F.col("text"), tokenizer_path)).withColumn("__decoded", decoded(F.col("__ids"), tokenizer_path))
+def _strings(batch: pd.Series) -> list[str | None]:
+    return [t if isinstance(t, str) else None for t in batch]
+
+
+def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """docs with __bpe: the struct of ids, and of the text that these decode to. One Python worker a task does both.
+
+    All columns stay, and repeated rows are encoded each. No row moves, so no key is hot.
+    """
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = codec(tokenizer_path)
+        for batch in texts:
+            ids = list(own.encode(_strings(batch)))
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(map(own.decode, ids), dtype=object)})
+
+    return docs.withColumn("__bpe", both(F.col("text")))

@@ -58,7 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), token_output.tokenizer_file("word_bpe_49k.json"))
-    return d.select("doc_id", F.shiftright(F.octet_length("__ids").cast("long"), 2).alias("n_tokens"), F.sha2("__ids", 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"))
+    return d.select("doc_id", F.shiftright(F.octet_length("__bpe.ids").cast("long"), 2).alias("n_tokens"), F.sha2("__bpe.ids", 256).alias("ids_sha256"), F.sha2("__bpe.decoded", 256).alias("decoded_sha256"))
 
 
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

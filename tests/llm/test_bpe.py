@@ -53,6 +53,8 @@ def test_pairs_are_judged_as_merging_does():
     rng = random.Random(4)
     pieces = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
     assert merges.encode(pieces)[0] == [merges.merge(p) for p in pieces]
+    symbols = [[merges.vocab[c] for c in p] for p in pieces]
+    assert [merges._merge_long(list(x)) for x in symbols] == [merges._merge_short(list(x)) for x in symbols]
     assert not merges.apart(np.array([0]), np.array([5]))[0] and merges.apart(np.array([5]), np.array([0]))[0]  # aaa is aa, a
 
 
@@ -72,6 +74,8 @@ def test_other_tokenizers_are_refused(tmp_path):
 
 
 def test_query(spark, make, rng, library, tmp_path):
+    from pyspark.sql import functions as F
+
     from sealwright.llm import queries
 
     rows = list(enumerate(odd_texts(rng))) + [(None, "no id"), (3, "twice"), (3, "twice")]
@@ -83,6 +87,8 @@ def test_query(spark, make, rng, library, tmp_path):
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     got = [tuple(r) for r in queries.op11_bpe(spark, f"file://{tmp_path}").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    apart = make(rows).select("doc_id", bpe.encoded(F.col("text"), PATH).alias("i")).withColumn("t", bpe.decoded(F.col("i"), PATH))
+    assert sorted(((r.doc_id, len(r.i) // 4, hashlib.sha256(bytes(r.i)).hexdigest(), hashlib.sha256(r.t.encode()).hexdigest()) for r in apart.collect()), key=str) == sorted(want, key=str)
     docs = bpe.encode_and_decode(make(rows[:4]), PATH)
     assert "size" in docs.columns and docs.count() == 4
     assert bpe.encode_and_decode(make([]), PATH).collect() == []
