@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from . import constants
 from .errors import BY_KIND, SealError, VerificationError
 from .functions import cbor
+from .functions.records import parsed
 from .operators import query
 from .operators.recover import recover
 from .operators.seal import SealConfig, record_inputs, seal
-from .operators.verify import VerifyOptions, decoded, verify
+from .operators.verify import VerifyOptions, verify
 from .sources.segments import list_segments, read_log, write_segments
 
 INPUT = "log_id string, seq long, ts_wall string, ts_mono_delta long, actor string, event string, payload binary, schema_version long"
@@ -96,7 +97,7 @@ class LogStore:
             return False
 
     def records(self) -> DataFrame:
-        return decoded(read_log(self.spark, self.folder)[0].filter("not torn"))
+        return parsed(read_log(self.spark, self.folder)[0].filter("not torn"))
 
     def head(self) -> DataFrame:
         return query.head(self.records(), ["log_id"])

@@ -1,4 +1,4 @@
-"""Reading records: filters, projections, heads, summaries and samples of decoded frames."""
+"""Reading records: filters, projections, heads, summaries and samples of parsed frames."""
 
 from __future__ import annotations
 
@@ -24,11 +24,22 @@ def show(records: DataFrame, start: int | None = None, end: int | None = None, a
     return records if event is None else records.filter(glob(F.col("event"), event))
 
 
+def payload_json(payload: Column) -> Column:
+    """Canonical payload bytes as JSON with keys in order; bytes are 0x-text. Null where they aren't a payload."""
+    import json
+
+    @F.pandas_udf("string")
+    def text(payloads: pd.Series) -> pd.Series:
+        return payloads.map(lambda data: None if data is None else json.dumps(cbor.printable(cbor.decode(data)), ensure_ascii=False, separators=(",", ":"), sort_keys=True))
+
+    return text(payload)
+
+
 def as_json() -> Column:
-    """A record as one JSON line; payload_json is canonical already."""
+    """A record as one JSON line. Only the payload, whose shape is open, passes through Python."""
     head = F.to_json(F.struct("segment_index", F.col("record_id").cast("long").alias("record_id"), "ts_wall", F.col("ts_mono_delta").cast("decimal(20,0)").alias("ts_mono_delta"), hex_lower(F.col("session_id")).alias("session_id_hex"), "actor", "event"))
     tail = F.to_json(F.struct(hex_lower(F.col("key_id")).alias("key_id_hex"), "schema_version", hex_lower(F.col("prev_hash")).alias("prev_hash_hex"), hex_lower(F.col("hmac")).alias("hmac_hex")))
-    return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"payload":'), F.col("payload_json"), F.lit(","), F.substring(tail, F.lit(2), F.length(tail)))
+    return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"payload":'), payload_json(F.col("payload")), F.lit(","), F.substring(tail, F.lit(2), F.length(tail)))
 
 
 def inlined(payload: Column, bytes_as: str | None = None) -> Column:

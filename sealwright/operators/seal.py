@@ -22,6 +22,10 @@ from ..functions.expressions import record_tail
 SEALED = "log_id string, segment_index int, record_id long, file_offset long, prev_final binary, prev_hash binary, hmac binary, payload_bytes binary"
 
 
+#: Where a chain stands: Chain.state().
+STATE = "segment int, prev_final binary, offset long, count long, last binary, ts string, mono long"
+
+
 @dataclass(frozen=True)
 class SealConfig:
     segment_bytes: int = DEFAULT_SEGMENT_BYTES
@@ -56,6 +60,19 @@ class Chain:
         self.segment, self.prev_final, self.offset, self.count, self.last_times = segment, prev_final, offset, count, last_times
         start = key.sign(MAGIC + FORMAT_VERSION.to_bytes(2, "little") + segment.to_bytes(2, "little") + key.key_id + prev_final) if segment == 0 else prev_final
         self.last = last if last is not None else start
+        # the length of a closing record's tail, but for the head of its mono
+        self.closing = len(self._finalize_tail(("1970-01-01T00:00:00.000Z", -1), (1 << 64) - 1, bytes(32))) - 1
+
+    def state(self) -> tuple:
+        """What of() needs to go on: STATE's fields."""
+        return (self.segment, self.prev_final, self.offset, self.count, self.last, *self.last_times)
+
+    @classmethod
+    def of(cls, log_id: str, key, session: bytes, config: SealConfig, state: tuple | None) -> Chain:
+        if state is None:
+            return cls(log_id, key, session, config)
+        segment, prev_final, offset, count, last, ts, mono = state
+        return cls(log_id, key, session, config, int(segment), bytes(prev_final), int(offset), int(count), bytes(last), (ts, int(mono)))
 
     def _put(self, tail: bytes) -> tuple:
         payload = b"\xaa\x01" + cbor.head(0, self.count) + b"\x02\x58\x20" + self.last + tail
@@ -71,7 +88,7 @@ class Chain:
     def append(self, tail: bytes, times: tuple) -> Iterator[tuple]:
         """The rows of a record, led by a segment.finalized record where the segment would grow beyond its limit."""
         worst = 1 + 1 + 9 + 1 + 2 + 32 + FRAME_OVERHEAD
-        finalize = worst + len(self._finalize_tail(times, (1 << 64) - 1, bytes(32)))
+        finalize = worst + self.closing + len(cbor.head(0, times[1] + 1))
         if self.config.finalize_on_rollover and self.count and self.offset + worst + len(tail) + finalize > self.config.segment_bytes:
             if self.segment >= MAX_SEGMENT_INDEX:
                 raise SealError(f"log {self.log_id} has no segment names left")

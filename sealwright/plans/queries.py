@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..constants import FINALIZE_ACTOR, FINALIZE_EVENT, MAGIC
 from ..functions import expressions as x
+from ..functions.records import parsed
 from ..keys import LocalKey
 from ..operators import query as q
 from ..operators.seal import SealConfig, record_inputs, seal, segments_of
-from ..operators.verify import VerifyOptions, decoded, one_segment, report_json, verify, violations
+from ..operators.verify import VerifyOptions, one_segment, report_json, verify, violations
 from ..sources.segments import read_log, write_segments
 from ..streaming.tail import tail
 
@@ -55,7 +56,7 @@ def frames_of(sealed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def records(spark: SparkSession, sf_dir: str, config: SealConfig = SealConfig()) -> DataFrame:
-    return decoded(frames_of(seal(event_inputs(spark, sf_dir), KEY, SESSION, config))[0])
+    return parsed(frames_of(seal(event_inputs(spark, sf_dir), KEY, SESSION, config))[0])
 
 
 def report(sealed: DataFrame, key=KEY, options: VerifyOptions = VerifyOptions(), change=lambda f: f) -> DataFrame:
@@ -250,7 +251,7 @@ def q_file_roundtrip_verify(spark, sf):
 def q_file_roundtrip_records(spark, sf):
     folder = scratch(spark, "logs")
     write_segments(seal(event_inputs(spark, sf), KEY, SESSION), folder, KEY.key_id).write.format("noop").mode("overwrite").save()
-    return q.chain_listing(decoded(read_log(spark, folder)[0]))
+    return q.chain_listing(parsed(read_log(spark, folder)[0]))
 
 
 def q_stream_tail(spark, sf):

@@ -31,6 +31,18 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+def durable(fs, path: str) -> None:
+    """Asks a local file system to keep the file or folder over a power cut; other stores do so when a file is closed."""
+    import os
+
+    if fs.type_name == "local":
+        handle = os.open(path, os.O_RDONLY)
+        try:
+            os.fsync(handle)
+        finally:
+            os.close(handle)
+
+
 def header(segment_index: int, key_id: bytes, prev_final: bytes) -> bytes:
     body = MAGIC + struct.pack("<HH", FORMAT_VERSION, segment_index) + key_id + prev_final
     return body + struct.pack("<II", zlib.crc32(body), 0)
@@ -70,7 +82,9 @@ def write_segments(sealed: DataFrame, folder: str, key_id: bytes) -> DataFrame:
         def close():
             out.close()
             final = f"{base}/{now[0]}/audit-{now[1]:04d}.cbor"
+            durable(fs, f"{final}.{attempt}.part")
             fs.move(f"{final}.{attempt}.part", final)
+            durable(fs, f"{base}/{now[0]}")
             done.append((*now, final, size))
 
         size = 0
@@ -198,6 +212,11 @@ class AuditLogs(DataSource):
     def streamReader(self, schema):
         return SegmentStream(self.options)
 
+    def streamWriter(self, schema, overwrite):
+        from .sink import SegmentSink
+
+        return SegmentSink(self.options)
+
 
 def read_log(spark: SparkSession, folder: str, first_segment: int = 0, last_segment: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
     """(frames, segments) of a log or store, for operators.verify and operators.query; of some of its segments only."""
