@@ -66,6 +66,17 @@ def head(records: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.select(*(by or []), "record_count", "segments", F.col("last.hmac").alias("head_hmac_hex"), F.col("last.segment_index").alias("last_segment_index"), F.col("last.record_id").alias("last_record_id"), F.col("last.actor").alias("last_actor"), F.col("last.event").alias("last_event"), F.col("last.key_id").alias("key_id_hex"), F.col("last.session_id").alias("session_id_hex"))
 
 
+def heads_of_files(spark, folder: str) -> DataFrame:
+    """head() of each log from its files: a task reads a segment's last frame, whose record id tells the segment's count."""
+    from ..functions.records import parsed
+    from ..sources.ranges import segment_files, tail_frames
+
+    tails = tail_frames(segment_files(spark, folder)).filter("hmac is not null")
+    logs = tails.groupBy("log_id").agg(F.sum("records").cast("long").alias("record_count"), F.count(F.lit(1)).alias("segments"), F.max_by(F.struct("segment_index", "file_offset", "payload_bytes", "hmac"), "segment_index").alias("tail"))
+    last = head(parsed(logs.select("log_id", "tail.*")), ["log_id"]).drop("record_count", "segments")
+    return logs.select("log_id", "record_count", "segments").join(last, "log_id")
+
+
 def segment_summary(records: DataFrame) -> DataFrame:
     return records.groupBy("log_id", "segment_index").agg(F.count(F.lit(1)).alias("record_count"), hex_lower(F.min_by("prev_hash", "file_offset")).alias("chain_start_hex"), hex_lower(F.max_by("hmac", "file_offset")).alias("final_hex"))
 
