@@ -16,7 +16,7 @@ from .functions.records import parsed
 from .operators import query
 from .operators.recover import recover
 from .operators.seal import SealConfig, record_inputs, seal
-from .operators.verify import VerifyOptions, verify
+from .operators.verify import VerifyOptions, verify_files
 from .sources.segments import list_segments, read_log, write_segments
 
 INPUT = "log_id string, seq long, ts_wall string, ts_mono_delta long, actor string, event string, payload binary, schema_version long"
@@ -103,7 +103,7 @@ class LogStore:
         return query.head(self.records(), ["log_id"])
 
     def verify(self, options: VerifyOptions = VerifyOptions()) -> DataFrame:
-        return verify(*read_log(self.spark, self.folder), self.key, options)
+        return verify_files(self.spark, self.folder, self.key, options)
 
     def report(self, log_id: str, options: VerifyOptions = VerifyOptions()) -> Report:
         r = self.verify(options).filter(F.col("log_id") == log_id).first()

@@ -129,25 +129,45 @@ def segment_states(checked: DataFrame, segments: DataFrame) -> DataFrame:
     keys = ["log_id", "segment_index"]
     first_bad = F.min(bad).over(Window.partitionBy(*keys))
     c = checked.withColumn("fail", first_bad)
+    time = F.struct("ts_ms", F.col("ts_mono_delta").alias("mono"), "session_id")
     accepted = F.col("fail").isNull() | (F.col("pos") < F.col("fail.pos"))
     state = c.groupBy(*keys).agg(
         F.first("fail").alias("fail"),
         F.count(F.when(~F.col("torn") & (F.col("fail").isNull() | (F.col("pos") <= F.col("fail.pos"))), 1)).alias("seen"),
         F.max_by("hmac", "pos").alias("last_hmac"),
         F.max_by("hmac", F.when(accepted, F.col("pos"))).alias("accepted_hmac"),
-        F.min_by("ts_ms", "pos").alias("first_ts"),
-        F.max_by("ts_ms", F.when(accepted, F.col("pos"))).alias("last_ts"),
+        F.min_by(time, "pos").alias("first_time"),
+        F.max_by(time, F.when(accepted, F.col("pos"))).alias("last_time"),
     )
     return segments.select(*keys, "prev_final", "chain_start", F.col("rank").alias("header_rank")).join(state, keys, "left")
 
 
-def _walk(key_id: bytes, options: VerifyOptions):
-    """The ordered walk over the segments of each log (at most 10,000 rows a log), as a mapInArrow function."""
+def known(time: dict | None) -> dict | None:
+    """A record's time, if there was a record that decoded."""
+    return time if time and time["ts_ms"] is not None else None
+
+
+def time_rank(before: dict | None, now: dict | None, options: VerifyOptions) -> int | None:
+    """13 if the clock went back from a record to the next, 14 if it drifted within a session and that is asked for."""
+    if before is None or now is None:
+        return None
+    step = now["ts_ms"] - before["ts_ms"]
+    if step < -TIME_SLACK_MS:
+        return 13
+    same = now["session_id"] == before["session_id"]
+    return 14 if options.strict_time and same and abs(step - int(now["mono"] - before["mono"])) > TIME_SLACK_MS else None
+
+
+def _walk(key_id: bytes, options: VerifyOptions, join=None):
+    """The ordered walk over the segments of each log (at most 10,000 rows a log), as a mapInArrow function.
+
+    ``join`` makes one row a segment of rows of its ranges.
+    """
     offsets = {2: 4, 3: 72, 4: 8, 5: 76}
 
     def walk(rows: list[dict]) -> dict:
-        out, prior_final, prior_ts, seen, last, indices = [], None, None, 0, None, []
-        for r in rows:
+        out, prior_final, prior, seen, last, indices = [], None, None, 0, None, []
+        for r in rows if join is None else join(rows):
             indices.append(r["segment_index"])
             fail, violation = r["fail"], None
             if r["header_rank"] is not None:
@@ -155,13 +175,13 @@ def _walk(key_id: bytes, options: VerifyOptions):
             elif prior_final is not None and r["prev_final"] != prior_final:
                 violation = (6, None, 40, prior_final.hex(), r["prev_final"].hex())
             else:
-                back = prior_ts is not None and r["first_ts"] is not None and r["first_ts"] - prior_ts < -TIME_SLACK_MS
-                if back and (fail is None or fail["pos"] > 0 or fail["rank"] > 13):
+                rank = time_rank(prior, known(r["first_time"]), options)
+                if rank and (fail is None or fail["pos"] > 0 or fail["rank"] > rank):
                     seen += 1
-                    violation = (13, 0, HEADER_BYTES, None, None)
+                    violation = (rank, 0, HEADER_BYTES, None, None)
                 else:
                     seen += r["seen"] or 0
-                    prior_ts = prior_ts if r["last_ts"] is None else r["last_ts"]
+                    prior = known(r["last_time"]) or prior
                     last = r["accepted_hmac"] or last or r["chain_start"]
                     if fail is not None:
                         k = fail["rank"]
@@ -213,13 +233,35 @@ def verify(frames: DataFrame, segments: DataFrame, key, options: VerifyOptions =
     heads = header_checks(segments, key)
     states = segment_states(record_checks(inspected(frames, key), heads, key, options), heads)
     states = states.repartition("log_id").sortWithinPartitions("log_id", "segment_index")
-    report = states.mapInArrow(_walk(key.key_id, options), REPORT)
+    return _reported(states.mapInArrow(_walk(key.key_id, options), REPORT))
+
+
+def _reported(report: DataFrame) -> DataFrame:
     first = F.get("violations", F.lit(0))
     report = report.withColumn("verdict", F.when(F.size("violations") == 0, "Verified").otherwise("Violation"))
     report = report.withColumn("compact", compact_verdict(first["kind"], first["segment_index"], first["record_id"]))
     return report.withColumn("summary", summary_line(F.size("violations") == 0, F.col("records_inspected"), F.col("final_hmac_hex"), first["kind"], first["segment_index"], first["record_id"]))
 
 
+def verify_files(spark, folder: str, key, options: VerifyOptions = VerifyOptions(), range_bytes: int = 32 << 20) -> DataFrame:
+    """verify() of a log's or a store's files in one pass where they are read.
+
+    A task walks a range of a segment and gives one row: its first failure, and the HMACs and times at its ends; records
+    aren't shuffled. A segment is divided where its index (sources.ranges) says that frames start; a range begins with a look
+    at the frame before it. Ranges must meet: where they don't, the index is wrong and the rest of the segment is walked as
+    it lies. So the verdict is the same with any index, or none.
+    """
+    from ..sources.ranges import _spread, ranges
+    from .walk import STATES, check_ranges, joined
+
+    found = ranges(spark, folder)
+    file = ["log_id", "segment_index", "path", "file_bytes"]
+    parts = found.groupBy(*file, F.floor((F.col("start") - HEADER_BYTES) / range_bytes).alias("part")).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
+    states = _spread(parts).mapInArrow(check_ranges(key, options), STATES)
+    states = states.repartition("log_id").sortWithinPartitions("log_id", "segment_index", "start")
+    return _reported(states.mapInArrow(_walk(key.key_id, options, joined(key, options)), REPORT))
+
+
 def violations(report: DataFrame) -> DataFrame:
     return report.select(F.inline("violations"))
 

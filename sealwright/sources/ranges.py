@@ -224,7 +224,7 @@ def ranges(spark: SparkSession, folder: str, wanted: Wanted = Wanted()) -> DataF
     # indexing that was repeated gives equal rows
     current = index.join(files, keys, "left_semi").dropDuplicates([*keys, "start"])
     covered = current.groupBy(*keys).agg(F.max("end").alias("covered"))
-    rest = whole.join(covered, keys, "left").withColumn("start", F.coalesce("covered", "start")).filter("start < end").select(whole.columns)
+    rest = whole.join(covered, keys, "left").filter("covered is null or covered < end").withColumn("start", F.coalesce("covered", "start")).select(whole.columns)
     return current.filter(wanted.blocks()).select(whole.columns).unionByName(rest)
 
 
