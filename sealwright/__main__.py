@@ -8,10 +8,11 @@ import sys
 
 from . import constants
 from .errors import AuditError, KeyLoadError, LogFormatError
+from .functions.records import parsed
 from .keys import LocalKey
 from .operators import query
 from .operators.export import digests, export_lines
-from .operators.verify import VerifyOptions, decoded, report_json, verify, violations
+from .operators.verify import VerifyOptions, report_json, verify_files, violations
 from .sources.segments import read_log
 
 FINE, VIOLATED, INPUT, ARGUMENT, USAGE = 0, 1, 2, 3, 64
@@ -69,7 +70,7 @@ def run(args, spark) -> int:
     frames, segments = read_log(spark, args.folder)
     if args.command == "verify":
         key, options = key_of(args), VerifyOptions(forensic=args.forensic or args.segment is not None, cascade=args.segment is None)
-        report = verify(frames, segments, key, options).cache()
+        report = verify_files(spark, args.folder, key, options).cache()
         if args.segment is not None:
             found = violations(report).filter(f"segment_index = {args.segment}").orderBy("log_id")
             bad = 0
@@ -77,7 +78,7 @@ def run(args, spark) -> int:
                 bad += 1
                 print(f"{row['log_id']}: {row['kind']} at segment {row['segment_index']} record {'-' if row['record_id'] is None else row['record_id']}")
             return VIOLATED if bad else FINE
-        lines = report_json(report).select("log_id", "json") if args.format == "json" else report.select("log_id", "summary" if args.summary else "compact")
+        lines = report_json(report, key.key_id).select("log_id", "json") if args.format == "json" else report.select("log_id", "summary" if args.summary else "compact")
         for row in lines.orderBy("log_id").toLocalIterator():
             print(row[1] if args.format == "json" or args.summary else f"{row[0]}: {row[1]}")
         return VIOLATED if report.filter("verdict <> 'Verified'").limit(1).count() else FINE
@@ -87,7 +88,7 @@ def run(args, spark) -> int:
         for row in digests(lines).orderBy("log_id").toLocalIterator():
             print(f"{row['sha256']}  {row['log_id']}", file=sys.stderr)
         return FINE
-    records = decoded(frames.filter("not torn"))
+    records = parsed(frames.filter("not torn"))
     if args.command == "head":
         for row in query.head(records, ["log_id"]).orderBy("log_id").toLocalIterator():
             d = row.asDict()

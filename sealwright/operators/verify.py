@@ -271,13 +271,16 @@ def one_segment(frames: DataFrame, segments: DataFrame, key, segment_index: int)
     return violations(verify(frames, segments, key, VerifyOptions(forensic=True, cascade=False))).filter(F.col("segment_index") == segment_index)
 
 
-def report_json(report: DataFrame) -> DataFrame:
-    """log_id, json: the report as the command line prints it."""
+def report_json(report: DataFrame, key_id: bytes) -> DataFrame:
+    """log_id, json: the report as the command line prints it, on one line. Null fields are shown; a clean log has no violation fields."""
     v = F.transform("violations", lambda x: F.struct(x["kind"].alias("kind"), x["segment_index"].alias("segment_index"), x["record_id"].alias("record_id"), x["byte_offset"].alias("byte_offset"), F.concat_ws(": ", x["kind"], x["detail"]).alias("message")))
-    bad = F.size("violations") > 0
-    log = F.struct("log_id", "segments_inspected", "records_inspected", "first_segment_index", "last_segment_index", "final_hmac_hex")
-    body = F.struct(F.when(bad, "tampered").otherwise("ok").alias("status"), F.lit(FORMAT_VERSION).alias("format_version"), F.col("segments_inspected").alias("segments_verified"), F.get(v, F.lit(0)).alias("violation"), F.when(bad, F.slice(v, 2, F.greatest(F.size(v), F.lit(1)))).alias("additional_violations"), log.alias("log"))
-    return report.select("log_id", F.to_json(body).alias("json"))
+    log = F.struct(F.col("log_id").alias("log_dir"), F.lit(key_id.hex()).alias("key_id_hex"), "segments_inspected", "records_inspected", "first_segment_index", "last_segment_index", "final_hmac_hex").alias("log")
+    head = [F.lit(FORMAT_VERSION).alias("format_version"), F.col("segments_inspected").alias("segments_verified")]
+    shown = {"ignoreNullFields": "false"}
+    clean = F.to_json(F.struct(F.lit("ok").alias("status"), *head, log), shown)
+    rest = F.slice(v, 2, F.greatest(F.size(v), F.lit(1)))
+    tampered = F.to_json(F.struct(F.lit("tampered").alias("status"), *head, F.get(v, F.lit(0)).alias("violation"), rest.alias("additional_violations"), log), shown)
+    return report.select("log_id", F.when(F.size("violations") == 0, clean).otherwise(tampered).alias("json"))
 
 
 def raise_on_violation(report: DataFrame) -> None:

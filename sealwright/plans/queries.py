@@ -14,10 +14,12 @@ from ..functions import expressions as x
 from ..functions.records import parsed
 from ..keys import LocalKey
 from ..operators import query as q
+from ..operators.normative import normative_report
 from ..operators.seal import SealConfig, record_inputs, seal, segments_of
-from ..operators.verify import VerifyOptions, one_segment, report_json, verify, violations
+from ..operators.verify import VerifyOptions, one_segment, report_json, verify, verify_files, violations
+from ..sources.ranges import Wanted, build_index, find
 from ..sources.segments import read_log, write_segments
-from ..streaming.tail import tail
+from ..streaming.tail import seal_stream, tail, write_sealed
 
 SECRET, SESSION = bytes(range(32)), bytes.fromhex("00112233445566778899aabbccddeeff")
 KEY = LocalKey(SECRET)
@@ -29,8 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", x.iso_millis(F.col("ts")).alias("ts_wall"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-    e = e.withColumn("ms", x.ts_millis(F.col("ts_wall"))).withColumn("mono", F.col("ms") - F.min("ms").over(Window.partitionBy("user_id")))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", x.iso_millis(F.col("ts")).alias("ts_wall"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("ms"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    e = e.withColumn("mono", F.col("ms") - F.min("ms").over(Window.partitionBy("user_id")))
     payload = x.cbor_text_map([("k", x.cbor_uint(F.col("k")))])
     return record_inputs(e, F.col("user_id"), F.col("event_id"), F.col("ts_wall"), F.col("mono"), F.concat(F.lit("user:"), "user_id"), F.concat(F.lit("event."), "event_type"), payload)
 
@@ -59,8 +61,15 @@ def records(spark: SparkSession, sf_dir: str, config: SealConfig = SealConfig())
     return parsed(frames_of(seal(event_inputs(spark, sf_dir), KEY, SESSION, config))[0])
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows from a table that is written once: what several branches of a plan read isn't made several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(f"{path}/rows")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+
+
 def report(sealed: DataFrame, key=KEY, options: VerifyOptions = VerifyOptions(), change=lambda f: f) -> DataFrame:
-    frames, segments = frames_of(sealed)
+    frames, segments = frames_of(stored(sealed, "sealed"))
     return verify(change(frames), segments, key, options)
 
 
@@ -164,16 +173,42 @@ def q_verify_rollover(spark, sf):
 def q_verify_forensic(spark, sf):
     flip = F.concat(F.substring("payload_bytes", F.lit(1), F.octet_length("payload_bytes") - 1), F.lit(b"\x02"))
     r = report(seal(event_inputs(spark, sf), KEY, SESSION, SMALL), options=VerifyOptions(forensic=True), change=lambda f: f.withColumn("payload_bytes", F.when(marked(), flip).otherwise(F.col("payload_bytes"))))
-    return violations(r)
+    return violations(r).drop("expected", "actual")
+
+
+def q_verify_tampered_headers(spark, sf):
+    """Each log's header but one in seven is damaged in one of the ways that verification tells apart."""
+    frames, segments = frames_of(stored(seal(event_inputs(spark, sf), KEY, SESSION), "sealed"))
+    h = F.col("header")
+    put = lambda at, b: F.concat(F.substring(h, 1, at), F.lit(b), F.substring(h, at + len(b) + 1, 80))
+    way = F.col("log_id").cast("long") % 7
+    changed = F.when(way == 1, F.substring(h, 1, 40))
+    for i, (at, b) in enumerate([(0, b"X"), (4, b"\2"), (72, b"\0\0\0\0\0"), (8, bytes(32)), (76, b"\1")]):
+        sealed_again = put(at, b)
+        if at in (4, 8):  # what the CRC covers is signed again
+            body = F.substring(sealed_again, 1, 72)
+            sealed_again = F.concat(body, x.le_bytes(F.crc32(body), 4), F.lit(bytes(4)))
+        changed = changed.when(way == i + 2, sealed_again)
+    return verdicts(verify(frames, stored(segments.withColumn("header", changed.otherwise(h)), "headers"), KEY))
+
+
+def q_verify_resigned_records(spark, sf):
+    """Marked records are changed and signed anew: bytes that don't decode, a wrong field, another key's id."""
+    p, way = F.col("payload_bytes"), F.col("log_id").cast("long") % 3
+    end = F.octet_length(p)
+    other = F.concat(F.substring(p, F.lit(1), end - 34), F.lit(bytes(32)), F.substring(p, end - 1, F.lit(2)))
+    changed = F.when(way == 0, F.concat(F.lit(b"\xff"), F.substring(p, F.lit(2), end))).when(way == 1, F.concat(F.substring(p, F.lit(1), end - 2), F.lit(b"\x0b\x01"))).otherwise(other)
+    again = lambda f: f.withColumn("payload_bytes", F.when(marked(), changed).otherwise(p)).withColumn("hmac", F.when(marked(), x.hmac_sha256(SECRET, F.col("payload_bytes"))).otherwise(F.col("hmac")))
+    return verdicts(report(seal(event_inputs(spark, sf), KEY, SESSION), change=again))
 
 
 def q_verify_segment_filter(spark, sf):
-    frames, segments = frames_of(seal(event_inputs(spark, sf), KEY, SESSION, SMALL))
+    frames, segments = frames_of(stored(seal(event_inputs(spark, sf), KEY, SESSION, SMALL), "sealed"))
     return one_segment(frames.filter(~marked()), segments, KEY, 1).select("log_id", "segment_index", "kind", "record_id")
 
 
 def q_report_json(spark, sf):
-    return report_json(report(seal(event_inputs(spark, sf), KEY, SESSION), change=lambda f: f.filter(~marked())))
+    return report_json(report(seal(event_inputs(spark, sf), KEY, SESSION), change=lambda f: f.filter(~marked())), KEY.key_id)
 
 
 def q_segment_continuity(spark, sf):
@@ -263,6 +298,55 @@ def q_stream_tail(spark, sf):
     return spark.read.parquet(out)
 
 
+def written(spark, sf, config: SealConfig = SealConfig(), change=lambda s: s) -> str:
+    """The folder of the sealed events' files."""
+    folder = scratch(spark, "logs")
+    write_segments(change(seal(event_inputs(spark, sf), KEY, SESSION, config)), folder, KEY.key_id).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def q_verify_files(spark, sf):
+    """One pass over indexed files, by ranges."""
+    folder = written(spark, sf, SMALL)
+    build_index(spark, folder, 1024)
+    return verify_files(spark, folder, KEY, range_bytes=2048).select("log_id", "segments_inspected", "records_inspected", "compact")
+
+
+def q_report_normative(spark, sf):
+    flip = F.concat(F.substring("payload_bytes", F.lit(1), F.octet_length("payload_bytes") - 1), F.lit(b"\x02"))
+    folder = written(spark, sf, change=lambda s: s.withColumn("payload_bytes", F.when(marked(), flip).otherwise(F.col("payload_bytes"))))
+    return normative_report(spark, folder, verify_files(spark, folder, KEY), KEY.key_id)
+
+
+def q_heads_of_files(spark, sf):
+    return q.heads_of_files(spark, written(spark, sf)).withColumn("last_segment_index", F.col("last_segment_index").cast("long"))
+
+
+def q_find_in_files(spark, sf):
+    folder = written(spark, sf)
+    build_index(spark, folder, 4096)
+    found = find(spark, folder, Wanted(start=2, end=30, actor_contains="er:2", event_glob="*.s*"))
+    return found.select("log_id", F.col("record_id").cast("long").alias("record_id"), "actor", "event", "ts_wall")
+
+
+def q_seek_in_files(spark, sf):
+    folder = written(spark, sf)
+    build_index(spark, folder, 1024)
+    return q.chain_listing(find(spark, folder, Wanted(segment_index=0, start=7, end=8)))
+
+
+def q_stream_sealed_files(spark, sf):
+    """Events that arrive in two parts, each sealed by a run of the same stream, as the files have them then."""
+    i = event_inputs(spark, sf)
+    arrived, folder, checkpoint = scratch(spark, "arrived"), scratch(spark, "logs"), scratch(spark, "seal-state")
+    half = i.agg(F.floor(F.max("seq") / 2)).first()[0] or 0
+    for part in (i.filter(F.col("seq") <= half), i.filter(F.col("seq") > half)):
+        part.write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(i.schema).parquet(arrived)
+        write_sealed(seal_stream(stream, KEY, SESSION), folder, KEY.key_id, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return q.chain_listing(parsed(read_log(spark, folder)[0]))
+
+
 QUERIES = {f.__name__[2:]: f for f in list(globals().values()) if getattr(f, "__name__", "").startswith("q_")}
 
 
@@ -338,7 +422,45 @@ SELECT log_id, CASE WHEN b IS NULL THEN n ELSE {seen} END::BIGINT AS records_ins
 
 _MARKED = f"SELECT log_id, min(rid) AS b FROM r WHERE {MARKED} GROUP BY log_id"
 
+_HEADERS = "[NULL, 'HeaderCorrupt', 'HeaderCorrupt', 'UnknownVersion', 'HeaderCorrupt', 'KeyIdMismatch', 'HeaderCorrupt']"
+#: The records that are left without the marked ones, and of each log the first whose chain is broken.
+_KEPT = f"""k AS (SELECT log_id, rid, file_offset, hmac_hex, row_number() OVER w AS place, coalesce(lag(rid) OVER w, -1) AS before, coalesce(lag(hmac_hex) OVER w, lower(hex({_START}))) AS before_hex FROM a WHERE NOT ({MARKED}) WINDOW w AS (PARTITION BY log_id ORDER BY rid)),
+v AS (SELECT log_id, rid AS b, place AS seen, file_offset AS spot, before_hex FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY rid) AS n FROM k WHERE before < rid - 1) WHERE n = 1),
+l AS (SELECT log_id, count(*) AS n, arg_max(hmac_hex, rid) AS last_hex FROM k GROUP BY log_id)"""
+
+
+def _json_log(seen: str, final: str) -> str:
+    return f"""'"log":{{"log_dir":"' || log_id || '","key_id_hex":"{_ID}","segments_inspected":1,"records_inspected":' || {seen} || ',"first_segment_index":0,"last_segment_index":0,"final_hmac_hex":"' || {final} || '"}}}}'"""
+
+
+def _sorted_log(seen: str, final: str) -> str:
+    return f"""'{{"format_version":1,"log":{{"final_hmac_hex":"' || {final} || '","first_segment_index":0,"key_id_hex":"{_ID}","last_segment_index":0,"log_dir":"' || log_id || '","records_inspected":' || {seen} || ',"segments_inspected":1}},"verdict":'"""
+
+
 ORACLE_SQL = {
+    "verify_tampered_headers": f"""WITH {EVENTS} SELECT log_id, CASE WHEN log_id::BIGINT % 7 = 0 THEN count(*) ELSE 0 END AS records_inspected, CASE WHEN log_id::BIGINT % 7 = 0 THEN 'Verified' ELSE {_HEADERS}[log_id::BIGINT % 7 + 1] || '@s0' END AS compact FROM r GROUP BY log_id""",
+    "verify_resigned_records": f"""WITH {EVENTS}, n AS (SELECT log_id, count(*) AS n FROM r GROUP BY log_id), f AS ({_MARKED})
+SELECT log_id, CASE WHEN b IS NULL THEN n ELSE b + 1 END::BIGINT AS records_inspected, CASE WHEN b IS NULL THEN 'Verified' ELSE CASE WHEN log_id::BIGINT % 3 = 2 THEN 'KeyIdMismatch' ELSE 'RecordCorrupt' END || '@s0r' || b END AS compact FROM n LEFT JOIN f USING (log_id)""",
+    "verify_forensic": f"""{ROLLED},
+m AS (SELECT log_id, seg, num, spot, row_number() OVER (PARTITION BY log_id, seg ORDER BY spot) AS n FROM f WHERE (spot + log_id::BIGINT) % 97 = 0),
+s AS (SELECT g.log_id, g.seg, m.num, m.spot FROM (SELECT DISTINCT log_id, seg FROM f) g LEFT JOIN m ON m.log_id = g.log_id AND m.seg = g.seg AND m.n = 1),
+c AS (SELECT log_id, min(seg) FILTER (WHERE num IS NULL) AS c FROM s GROUP BY log_id),
+d AS (SELECT s.log_id, min(seg) AS d FROM s JOIN c USING (log_id) WHERE num IS NOT NULL AND seg > c GROUP BY s.log_id),
+x AS (SELECT s.*, CASE WHEN seg > d THEN 6 WHEN num IS NOT NULL THEN 8 END AS rank FROM s JOIN c USING (log_id) LEFT JOIN d USING (log_id))
+SELECT log_id, seg::INT AS segment_index, rank::INT AS rank, CASE rank WHEN 8 THEN 'HmacMismatch' ELSE 'SegmentDiscontinuity' END AS kind, NULL::VARCHAR AS detail, CASE rank WHEN 8 THEN num END AS record_id, CASE rank WHEN 8 THEN spot ELSE 40 END AS byte_offset FROM x WHERE rank IS NOT NULL""",
+    "report_json": f"""{CHAIN}, {_KEPT}
+SELECT log_id, CASE WHEN b IS NULL THEN '{{"status":"ok","format_version":1,"segments_verified":1,' || {_json_log("n", "last_hex")}
+  ELSE '{{"status":"tampered","format_version":1,"segments_verified":1,"violation":{{"kind":"ChainBreak","segment_index":0,"record_id":' || b || ',"byte_offset":' || spot || ',"message":"ChainBreak"}},"additional_violations":[],' || {_json_log("seen", "before_hex")} END AS json
+FROM l LEFT JOIN v USING (log_id)""",
+    "report_normative": f"""{CHAIN},
+m AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY rid) AS nth FROM (SELECT a.*, lower(hex({_hmac("pre || unhex(prev_hex) || unhex(left(hex(post), 2 * octet_length(post) - 2) || '02')")})) AS made FROM a WHERE {MARKED})),
+l AS (SELECT log_id, arg_max(hmac_hex, rid) AS last_hex FROM a GROUP BY log_id)
+SELECT log_id, CASE WHEN rid IS NULL THEN {_sorted_log("n", "last_hex")} || '"Verified","violation":null}}'
+  ELSE {_sorted_log("(rid + 1)", "prev_hex")} || '"Violation","violation":{{"evidence":{{"actual_hmac_hex":"' || hmac_hex || '","expected_hmac_hex":"' || made || '","payload_byte_offset":' || (file_offset + 4) || ',"payload_len":' || payload_len || '}},"kind":"HmacMismatch","location":{{"byte_offset":' || file_offset || ',"record_id":' || rid || ',"segment_index":0}},"message":"HMAC mismatch at s0r' || rid || ': expected ' || left(made, 6) || '..., got ' || left(hmac_hex, 6) || '..."}}}}' END AS report
+FROM n JOIN l USING (log_id) LEFT JOIN (SELECT * FROM m WHERE nth = 1) USING (log_id)""",
+    "verify_files": f"{ROLLED} SELECT log_id, (max(seg) + 1)::INT AS segments_inspected, count(*) AS records_inspected, 'Verified' AS compact FROM f GROUP BY log_id",
+    "stream_sealed_files": f"{CHAIN} SELECT {_LISTING} FROM a",
+    "seek_in_files": f"{CHAIN} SELECT {_LISTING} FROM a WHERE rid = 7",
     "record_inputs": f"WITH {EVENTS} SELECT log_id, seq, ts_wall, mono AS ts_mono_delta, actor, event, lower(hex(payload)) AS payload_hex FROM r",
     "hmac_payload": f"SELECT event_id, lower(hex({_hmac('encode(props)')})) AS hmac_hex FROM events",
     "cbor_record_bytes": f"WITH {EVENTS} SELECT log_id, seq, lower(hex(pre || unhex('{'00' * 32}') || post)) AS record_hex FROM r",
@@ -384,3 +506,5 @@ SELECT log_id, 1::INT AS segment_index, CASE WHEN apart THEN 'SegmentDiscontinui
     "show_text": f"""{CHAIN} SELECT log_id, rid AS record_id, '[s0r' || rid || '] ' || ts_wall || ' ' || actor || ' ' || event || chr(10) || '    payload: k=' || k || chr(10) || '    hmac:    ' || hmac_hex AS line FROM a""",
     "seek_record": f"{CHAIN} SELECT {_LISTING} FROM a WHERE rid = 7",
 }
+for _same, _as in (("heads_of_files", "head_per_log"), ("find_in_files", "show_combined")):
+    ORACLE_SQL[_same] = ORACLE_SQL[_as]

@@ -124,7 +124,7 @@ def test_forensic_walk(spark, key, written):
     assert [(x["kind"], x["segment_index"]) for x in all_of["violations"]] == [("HmacMismatch", 0), ("HmacMismatch", 2)]
     assert [r["kind"] for r in one_segment(frames, segments, key, 2).collect()] == ["HmacMismatch"]
     assert one_segment(frames, segments, key, 1).count() == 0
-    json = report_json(verify(frames, segments, key, VerifyOptions(forensic=True))).collect()[0]["json"]
+    json = report_json(verify(frames, segments, key, VerifyOptions(forensic=True)), key.key_id).collect()[0]["json"]
     assert '"status":"tampered"' in json and '"additional_violations":[{' in json
     with pytest.raises(HmacMismatchError, match="HmacMismatch@s0r0"):
         raise_on_violation(verify(frames, segments, key))

@@ -82,7 +82,7 @@ def test_reading_queries_decode_in_the_jvm(spark):
     """Sealing is the one Python step of these plans; nothing behind it is."""
     for name in ("show_range", "show_actor", "show_event_glob", "show_combined", "head_per_log", "segment_summary", "first_and_last", "seek_record"):
         plan = p.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-        assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1, name
+        assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1, name  # the seal
 
 
 def test_clashing_names_stay(spark):
