@@ -14,10 +14,12 @@ from .errors import BY_KIND, SealError, VerificationError
 from .functions import cbor
 from .functions.records import parsed
 from .operators import query
-from .operators.recover import recover
+from .operators.recover import FRESH, recover
 from .operators.seal import SealConfig, record_inputs, seal
 from .operators.verify import VerifyOptions, verify_files
+from .sources.lease import Lease
 from .sources.segments import list_segments, read_log, write_segments
+from .sources.shared import stored
 
 INPUT = "log_id string, seq long, ts_wall string, ts_mono_delta long, actor string, event string, payload binary, schema_version long"
 
@@ -76,17 +78,31 @@ class LogStore:
         if len(session) != constants.SESSION_BYTES:
             raise SealError(f"a session id has {constants.SESSION_BYTES} bytes")
         self.spark, self.folder, self.key, self.session, self.config = spark, folder, key, session, config
-        self.actions: dict[str, str] = {}
+        self.recovery: DataFrame | None = None
 
     def append(self, inputs: DataFrame) -> DataFrame:
-        """Seals the inputs behind what the logs have, after recovery; one writer at a time. Returns what was written."""
-        states: dict = {}
-        if self._exists():
-            states = recover(self.spark, self.folder, self.key, self.session, self.config)
-        self.actions = {log: action for log, (action, _) in states.items()}
-        sealed = seal(inputs, self.key, self.session, self.config, {log: chain for log, (_, chain) in states.items()})
-        written = write_segments(sealed, self.folder, self.key.key_id).collect()
-        return self.spark.createDataFrame(written, "log_id string, segment_index int, path string, bytes long")
+        """Seals the inputs behind what the logs have, after recovery; returns what was written, from a table.
+
+        One writer at a time: the store's lease is held meanwhile, and files are only put in place while it is.
+        """
+        with Lease(self.folder) as lease:
+            states = recover(self.spark, self.folder, self.key) if self._exists() else None
+            self.recovery = self._recovery(inputs, states)
+            sealed = seal(inputs, self.key, self.session, self.config, states)
+            return stored(write_segments(sealed, self.folder, self.key.key_id, lease.token), "written")
+
+    def _recovery(self, inputs: DataFrame, states: DataFrame | None) -> DataFrame:
+        """log_id, action and counts of the logs that there are and those that begin."""
+        logs = inputs.select(F.col("log_id")).distinct()
+        if states is None:
+            return logs.withColumn("action", F.lit(FRESH))
+        kept = states.select("log_id", "action", "segments_scanned", "truncated_bytes", "last_record_id", "records_in_segment", "last_hmac")
+        return kept.join(logs, "log_id", "full").withColumn("action", F.coalesce("action", F.lit(FRESH)))
+
+    @property
+    def actions(self) -> dict[str, str]:
+        """What the last append() did with each log; for stores of few logs, others read ``recovery``."""
+        return {r["log_id"]: r["action"] for r in self.recovery.collect()} if self.recovery is not None else {}
 
     def _exists(self) -> bool:
         from .errors import LogFormatError

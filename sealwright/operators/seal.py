@@ -98,27 +98,38 @@ class Chain:
         self.last_times = times
 
 
-def seal(inputs: DataFrame, key, session: bytes, config: SealConfig = SealConfig(), resume: dict[str, Chain] | None = None) -> DataFrame:
+def seal(inputs: DataFrame, key, session: bytes, config: SealConfig = SealConfig(), resume: DataFrame | None = None) -> DataFrame:
     """SEALED rows of the inputs (record_inputs()), one chain a log; raises on a repeated (log_id, seq).
 
-    Retried tasks give equal bytes: no clock or random number is used. ``resume`` continues logs from recovered states.
+    Retried tasks give equal bytes: no clock or random number is used. ``resume`` has log_id and STATE's fields of logs that
+    go on (operators.recover); a log's state comes to its task before its rows.
     """
     tail = record_tail(F.col("ts_wall"), F.col("ts_mono_delta"), session, F.col("actor"), F.col("event"), F.col("payload"), key.key_id, F.col("schema_version"))
     rows = checked(inputs).select("log_id", "seq", "ts_wall", "ts_mono_delta", tail.alias("tail"))
-    ordered = rows.repartition("log_id").sortWithinPartitions("log_id", "seq")
+    fields = [x.strip().split()[0] for x in STATE.split(",")]
+    resumed = resume is not None
+    if resumed:
+        states = resume.filter("last is not null").select("log_id", F.struct(*fields).alias("state"))
+        rows = rows.unionByName(states, allowMissingColumns=True)
+    order = ["log_id", *([F.col("state").isNull()] if resumed else []), "seq"]
+    ordered = rows.repartition("log_id").sortWithinPartitions(*order)
 
     def fold(batches):
         import pyarrow as pa
 
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        names, chain, before = [x.split()[0] for x in SEALED.split(", ")], None, None
+        names, chain, before, found = [x.split()[0] for x in SEALED.split(", ")], None, None, {}
         for batch in batches:
             out: list[tuple] = []
-            for log_id, seq, ts, mono, t in zip(*(batch.column(c).to_pylist() for c in ("log_id", "seq", "ts_wall", "ts_mono_delta", "tail"))):
+            states = batch.column("state").to_pylist() if resumed else [None] * batch.num_rows
+            for log_id, seq, ts, mono, t, state in zip(*(batch.column(c).to_pylist() for c in ("log_id", "seq", "ts_wall", "ts_mono_delta", "tail")), states):
+                if state is not None:
+                    found = {log_id: tuple(state[f] for f in fields)}
+                    continue
                 if (log_id, seq) == before:
                     raise SealError(f"log {log_id} has two records {seq}")
                 if before is None or before[0] != log_id:
-                    chain = (resume or {}).get(log_id) or Chain(log_id, key, session, config)
+                    chain = Chain.of(log_id, key, session, config, found.get(log_id))
                 before = (log_id, seq)
                 out.extend(chain.append(t, (ts, mono)))
             if out:

@@ -52,7 +52,10 @@ def _timed(record: dict) -> dict:
 
 
 def check_range(source, start: int, end: int, segment_index: int, key, options) -> dict:
-    """The fields of STATES behind ``start``. A range that doesn't begin a segment looks at the frame before it."""
+    """The fields of STATES behind ``start``, the last record that passed, and a failed one's payload.
+
+    A range that doesn't begin a segment looks at the frame before it. Without options times aren't checked.
+    """
     from .verify import time_rank
 
     size = source.size()
@@ -61,7 +64,7 @@ def check_range(source, start: int, end: int, segment_index: int, key, options)
     bad = header_rank(header, key)
     prev_final = header[40:72]
     chain_start = None if bad == 0 else key.sign(header[:HEADER_BODY]) if segment_index == 0 else prev_final
-    out = {"stop": start, "frames": 0, "header_rank": bad, "prev_final": prev_final, "chain_start": chain_start, "fail": None, "seen": 0, "last_hmac": None, "accepted_hmac": None, "first_time": None, "last_time": None}
+    out = {"stop": start, "frames": 0, "header_rank": bad, "prev_final": prev_final, "chain_start": chain_start, "fail": None, "seen": 0, "last_hmac": None, "accepted_hmac": None, "first_time": None, "last_time": None, "last_record": None}
     if bad is not None:
         return out | {"stop": size}
     prev, before = chain_start, None
@@ -89,17 +92,17 @@ def check_range(source, start: int, end: int, segment_index: int, key, options)
             elif record[9] != key.key_id:
                 rank = 12
         now = _timed(record) if record else None
-        rank = rank or time_rank(before, now, options)
+        rank = rank or (options and time_rank(before, now, options))
         if out["frames"] == 0 and not torn:
             out["first_time"] = now
         if rank:
             hexed = lambda x: None if x is None else x.hex()
             field = lambda k: record[k] if record else None
             record_id = field(1) if record and record[1] < 1 << 63 else None
-            out["fail"] = {"pos": out["frames"], "rank": rank, "file_offset": offset, "record_id": record_id, "recomputed": hexed(expected), "stored": hexed(signed), "prev_stored": hexed(prev), "prev_hash": hexed(field(2)), "key_id": hexed(field(9)), "ts_wall": field(3), "decode_error": error}
+            out["fail"] = {"pos": out["frames"], "rank": rank, "file_offset": offset, "record_id": record_id, "recomputed": hexed(expected), "stored": hexed(signed), "prev_stored": hexed(prev), "prev_hash": hexed(field(2)), "key_id": hexed(field(9)), "ts_wall": field(3), "decode_error": error, "payload": payload}
             out["seen"] += not torn
             break  # a segment's verdict is its first failure
-        out |= {"frames": out["frames"] + 1, "seen": out["seen"] + 1, "stop": offset + len(payload) + 40, "last_hmac": signed, "accepted_hmac": signed, "last_time": now}
+        out |= {"frames": out["frames"] + 1, "seen": out["seen"] + 1, "stop": offset + len(payload) + 40, "last_hmac": signed, "accepted_hmac": signed, "last_time": now, "last_record": record}
         prev, before = signed, now
     return out
 
@@ -124,8 +127,7 @@ def check_ranges(key, options):
 def _row(state: dict) -> dict:
     from decimal import Decimal
 
-    times = {c: state[c] and state[c] | {"mono": Decimal(state[c]["mono"])} for c in ("first_time", "last_time")}
-    return {k: v for k, v in (state | times).items() if k != "end"}
+    return state | {c: state[c] and state[c] | {"mono": Decimal(state[c]["mono"])} for c in ("first_time", "last_time")}
 
 
 def _schema(pa):

@@ -19,6 +19,7 @@ from ..operators.seal import SealConfig, record_inputs, seal, segments_of
 from ..operators.verify import VerifyOptions, one_segment, report_json, verify, verify_files, violations
 from ..sources.ranges import Wanted, build_index, find
 from ..sources.segments import read_log, write_segments
+from ..sources.shared import scratch, stored
 from ..streaming.tail import seal_stream, tail, write_sealed
 
 SECRET, SESSION = bytes(range(32)), bytes.fromhex("00112233445566778899aabbccddeeff")
@@ -61,13 +62,6 @@ def records(spark: SparkSession, sf_dir: str, config: SealConfig = SealConfig())
     return parsed(frames_of(seal(event_inputs(spark, sf_dir), KEY, SESSION, config))[0])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows from a table that is written once: what several branches of a plan read isn't made several times."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(f"{path}/rows")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
-
-
 def report(sealed: DataFrame, key=KEY, options: VerifyOptions = VerifyOptions(), change=lambda f: f) -> DataFrame:
     frames, segments = frames_of(stored(sealed, "sealed"))
     return verify(change(frames), segments, key, options)
@@ -263,19 +257,6 @@ def q_seek_record(spark, sf):
     return q.chain_listing(q.seek(records(spark, sf), 0, 7))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a local one where that is unset, as in tests."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    uri = fs.makeQualified(path).toString()
-    return uri if "://" in uri else uri.replace(":/", ":///", 1)
-
-
 def q_file_roundtrip_verify(spark, sf):
     folder = scratch(spark, "logs")
     write_segments(seal(event_inputs(spark, sf), KEY, SESSION, SMALL), folder, KEY.key_id).write.format("noop").mode("overwrite").save()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..constants import FORMAT_VERSION, HEADER_BYTES, MAGIC
-from ..errors import LogFormatError
+from ..errors import LogFormatError, SealError
 
 NAME = re.compile(r"audit-(\d{4})\.cbor$")
 FRAMES = "log_id string, segment_index int, file_offset long, payload_bytes binary, hmac binary, torn boolean"
@@ -65,10 +65,11 @@ def frames_of(data, offset: int = HEADER_BYTES) -> Iterator[tuple[int, bytes | N
         offset = end
 
 
-def write_segments(sealed: DataFrame, folder: str, key_id: bytes) -> DataFrame:
+def write_segments(sealed: DataFrame, folder: str, key_id: bytes, token: str | None = None) -> DataFrame:
     """Files of the sealed rows (operators.seal.SEALED) below folder/<log_id>; returns log_id, segment_index, path, bytes.
 
-    Rows are grouped by log, so that a segment is written by one task, one record at a time. A file appears by one
+    Sealed rows come with each log's in one task and in order, and are written there, one record at a time, without
+    another shuffle. With a lease's token (sources.lease) a file is put in place only while that is the store's. A file appears by one
     rename when it is whole, under a name that a repeated attempt replaces with equal bytes. Rows of a resumed log go on
     behind the first file_offset bytes of the file that is there.
     """
@@ -76,6 +77,8 @@ def write_segments(sealed: DataFrame, folder: str, key_id: bytes) -> DataFrame:
     def write(batches):
         import pyarrow as pa
 
+        from .lease import check_token
+
         fs, base = filesystem(folder)
         attempt, out, now, done = TaskContext.get().taskAttemptId(), None, None, []
 
@@ -83,6 +86,7 @@ def write_segments(sealed: DataFrame, folder: str, key_id: bytes) -> DataFrame:
             out.close()
             final = f"{base}/{now[0]}/audit-{now[1]:04d}.cbor"
             durable(fs, f"{final}.{attempt}.part")
+            check_token(fs, base, token)
             fs.move(f"{final}.{attempt}.part", final)
             durable(fs, f"{base}/{now[0]}")
             done.append((*now, final, size))
@@ -98,10 +102,11 @@ def write_segments(sealed: DataFrame, folder: str, key_id: bytes) -> DataFrame:
                     out = fs.open_output_stream(f"{base}/{log}/audit-{seg:04d}.cbor.{attempt}.part", compression=None)
                     if offset > HEADER_BYTES:  # a resumed segment: what it has so far comes first
                         with fs.open_input_file(f"{base}/{log}/audit-{seg:04d}.cbor") as before:
-                            out.write(before.read(offset))
-                        size = offset
+                            size = out.write(before.read(offset))
                     else:
                         out.write(header(seg, key_id, prev_final))
+                if offset != size:
+                    raise SealError(f"rows of log {log} aren't together and in order")
                 data = frame(payload, signed)
                 out.write(data)
                 size += len(data)
@@ -110,8 +115,7 @@ def write_segments(sealed: DataFrame, folder: str, key_id: bytes) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["log_id", "segment_index", "path", "bytes"])
 
-    ordered = sealed.repartition("log_id").sortWithinPartitions("log_id", "segment_index", "file_offset")
-    return ordered.mapInArrow(write, "log_id string, segment_index int, path string, bytes long")
+    return sealed.mapInArrow(write, "log_id string, segment_index int, path string, bytes long")
 
 
 class SegmentFile(InputPartition):
@@ -156,22 +160,55 @@ class SegmentReader(DataSourceReader):
 
 
 class SegmentStream(DataSourceStreamReader):
-    """Follows a live store: the offset is how far each file was read; a frame that isn't whole yet waits for the next batch."""
+    """Follows a live store. A log's offset is its last segment and how far whole frames of it were read.
+
+    Earlier segments are retired: they are read to their end once, and never looked at again. Each trigger lists the files;
+    it opens a file only if that grew, and walks the heads of the frames that are new. A frame that isn't whole yet waits.
+    With max_bytes_per_trigger a batch takes about so many bytes of each log at most, so a backlog is worked off in steps
+    (an availableNow run then takes one step; the first batch after a restart isn't limited, as its start isn't known yet).
+    """
 
     def __init__(self, options: dict):
-        self.folder = options["path"]
+        self.folder, self.limit = options["path"], int(options.get("max_bytes_per_trigger", 0))
+        self.at: dict[str, tuple[int, int]] = {}
+        self.known_start = False
+        self.seen: dict[str, int] = {}
 
     def initialOffset(self):
+        self.known_start = True
         return {}
 
     def latestOffset(self):
-        return {path: self._whole(path, size) for _, _, path, size in list_segments(self.folder)}
-
-    def _whole(self, path: str, size: int) -> int:
+        by_log: dict[str, list] = {}
+        for log, seg, path, size in list_segments(self.folder):
+            by_log.setdefault(log, []).append((seg, path, size))
+        for log, files in by_log.items():
+            seg, offset = self.at.get(log, (files[0][0], HEADER_BYTES))
+            room = self.limit if self.limit and self.known_start else None
+            for n, path, size in files:
+                if n < seg or room is not None and room <= 0:
+                    continue
+                if n > seg:
+                    seg, offset = n, HEADER_BYTES
+                if self.seen.get(path) != size:
+                    end = self._whole(path, size, offset, room)
+                    room = None if room is None else room - (end - offset)
+                    if room is None or room > 0:
+                        self.seen = {**self.seen, path: size}
+                    offset = end
+            self.at[log] = (seg, offset)
+            for n, path, _ in files:
+                if n < seg:
+                    self.seen.pop(path, None)
+        self.known_start = True
+        return {log: f"{seg}:{offset}" for log, (seg, offset) in sorted(self.at.items())}
+
+    def _whole(self, path: str, size: int, offset: int, room: int | None) -> int:
+        """The end of the whole frames behind offset, or of as many as there is room for."""
         fs, at = filesystem(path)
-        offset = HEADER_BYTES
+        stop = size if room is None else offset + room
         with fs.open_input_file(at) as source:
-            while offset + 4 <= size:
+            while offset + 4 <= size and offset < stop:
                 source.seek(offset)
                 end = offset + 40 + int.from_bytes(source.read(4), "little")
                 if end > size:
@@ -180,16 +217,26 @@ class SegmentStream(DataSourceStreamReader):
         return offset
 
     def partitions(self, start: dict, end: dict):
-        start, end = (json.loads(x) if isinstance(x, str) else x for x in (start, end))
-        names = {path: (log, seg) for log, seg, path, _ in list_segments(self.folder)}
-        return [SegmentFile(*names[p], p, start.get(p, HEADER_BYTES), e) for p, e in sorted(end.items()) if e > start.get(p, HEADER_BYTES)]
+        start, end = ({log: tuple(map(int, place.split(":"))) for log, place in (json.loads(x) if isinstance(x, str) else x).items()} for x in (start, end))
+        self.at = {**end, **{log: max(place, end.get(log, place)) for log, place in self.at.items()}}
+        self.known_start = True
+        out = []
+        for log, seg, path, size in list_segments(self.folder):
+            last, stop = end.get(log, (-1, 0))
+            first, begin = start.get(log, (-1, HEADER_BYTES))
+            if first <= seg <= last:
+                here = SegmentFile(log, seg, path, begin if seg == first else HEADER_BYTES, stop if seg == last else size)
+                if here.start < here.end:
+                    out.append(here)
+        return out
 
     def read(self, partition):
+        from .ranges import frames_between
+
         fs, at = filesystem(partition.path)
         with fs.open_input_file(at) as source:
-            data = source.read(partition.end)
-        for offset, payload, signed, torn in frames_of(data, partition.start):
-            yield partition.log_id, partition.segment, offset, payload, signed, torn
+            for offset, payload, signed, torn in frames_between(source, partition.start, partition.end):
+                yield partition.log_id, partition.segment, offset, payload, signed, torn
 
 
 class AuditLogs(DataSource):

@@ -1,10 +1,15 @@
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from sealwright.api import LogStore, format_version, inputs_from_dicts, inputs_from_json
 from sealwright.errors import HmacMismatchError, SealError
-from sealwright.operators.seal import SealConfig
+from sealwright.operators.seal import SealConfig, record_inputs, seal
+from sealwright.sources.lease import Lease, LeaseHeldError, break_lease
+from sealwright.sources.segments import list_segments, write_segments
 
 from . import vectors as v
 
@@ -13,7 +18,7 @@ def test_store(spark, key, tmp_path):
     store = LogStore(spark, str(tmp_path / "store"), key, v.SESSION, SealConfig(1024))
     rows = [{"ts_wall": f"2026-05-10T12:00:0{i}.000Z", "ts_mono_delta": 1000 * i, "actor": "user:david", "event": e, "payload": p} for i, (e, p) in enumerate(v.INPUTS)]
     store.append(inputs_from_dicts(spark, "log", rows[:2]))
-    assert store.actions == {} and format_version() == 1
+    assert store.actions == {"log": "Fresh"} and format_version() == 1
     store.append(inputs_from_dicts(spark, "log", rows[2:], 2))
     assert store.actions == {"log": "Resumed"}
     assert store.head().first()["head_hmac_hex"] == v.ROLLOVER[-1][3]
@@ -28,6 +33,51 @@ def test_store(spark, key, tmp_path):
         store.report("log").raise_on_violation()
 
 
+def test_one_writer_a_store(spark, key, tmp_path):
+    folder = str(tmp_path / "store")
+    with Lease(folder, "first") as first:
+        with pytest.raises(LeaseHeldError, match="first holds"):
+            LogStore(spark, folder, key, v.SESSION).append(inputs_from_dicts(spark, "log", [{"actor": "a", "event": "e"}]))
+        assert break_lease(folder)["token"] == first.token
+        # a writer whose lease was broken puts nothing in place
+        sealed = seal(inputs_from_dicts(spark, "log", [{"actor": "a", "event": "e"}]), key, v.SESSION)
+        with Lease(folder, "second") as second:
+            with pytest.raises(Exception, match="passed to another writer"):
+                write_segments(sealed, folder, key.key_id, first.token).collect()
+            assert list_segments(folder) == []
+            assert write_segments(sealed, folder, key.key_id, second.token).count() == 1
+    assert not os.path.exists(f"{folder}/_sealed/lease") and break_lease(folder) is None
+
+
+def test_of_many_writers_one_gets_the_lease(tmp_path):
+    def attempt(i):
+        try:
+            Lease(str(tmp_path), str(i)).__enter__()
+            return 1
+        except LeaseHeldError:
+            return 0
+
+    with ThreadPoolExecutor(16) as pool:
+        assert sum(pool.map(attempt, range(64))) == 1
+
+
+def test_many_logs_go_on(spark, key, tmp_path):
+    """Some torn, some whole, some new: states come to the tasks with the rows, not through the driver."""
+    folder = str(tmp_path / "store")
+    store = LogStore(spark, folder, key, v.SESSION)
+    rows = lambda lo, hi: spark.range(lo, hi).crossJoin(spark.range(4).select(F.col("id").alias("i"))).select(F.concat(F.lit("log"), "id").alias("log"), F.col("i") + lo)
+    inputs = lambda d: record_inputs(d, d["log"], d[d.columns[1]], F.lit("2026-05-10T12:00:00.000Z"), F.lit(0), F.lit("a"), F.lit("e"), F.lit(b"\xa0"))
+    store.append(inputs(rows(0, 120)))
+    for _, _, path, size in list_segments(folder)[::3]:
+        with open(path, "r+b") as f:
+            f.truncate(size - 7)
+    store.append(inputs(rows(60, 160)))
+    actions = store.recovery.groupBy("action").count().collect()
+    assert {r["action"]: r["count"] for r in actions} == {"Repaired": 40, "Resumed": 80, "Fresh": 40}
+    assert {r["compact"] for r in store.verify().collect()} == {"Verified"}
+    assert store.records().count() == 120 * 4 - 40 + 100 * 4
+
+
 def test_inputs(spark, tmp_path):
     with pytest.raises(SealError):
         inputs_from_dicts(spark, "a", [{"actor": "x"}])

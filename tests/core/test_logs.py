@@ -8,7 +8,7 @@ from sealwright.errors import HmacMismatchError, LogFormatError, RecoveryError
 from sealwright.functions.expressions import hex_lower
 from sealwright.keys import LocalKey
 from sealwright.operators import query as q
-from sealwright.operators.recover import recover
+from sealwright.operators.recover import peek_record_id, plan, recover
 from sealwright.operators.seal import SealConfig, seal, seal_native
 from sealwright.operators.verify import VerifyOptions, decoded, one_segment, raise_on_violation, report_json, verify, violations
 from sealwright.sources.segments import frame, frames_of, header, list_segments, read_log, write_segments
@@ -174,11 +174,12 @@ def test_crash_recovery(spark, key, make_inputs, folder):
         data = open(path(folder, last, log), "rb").read()
         cut = rng.randrange(0, len(data) - 80)
         open(path(folder, last, log), "wb").write(data[: len(data) - cut])
-    states = recover(spark, folder, key, v.SESSION, SMALL)
-    assert {a for a, _ in states.values()} <= {"Resumed", "Repaired", "OpenedNextAfterFinalized"} and "Repaired" in {a for a, _ in states.values()}
+    states = recover(spark, folder, key)
+    actions = {r["action"]: r for r in states.collect()}
+    assert actions.keys() <= {"Resumed", "Repaired", "OpenedNextAfterFinalized"} and actions["Repaired"]["truncated_bytes"] > 0
     assert set(compact(spark, folder, key)) == {"Verified"}
     more = make_inputs([(f"log{k}", 100 + i, 100 + i, "stress.more", {"i": i}) for k in range(12) for i in range(6)])
-    write_segments(seal(more, key, v.SESSION, SMALL, {log: c for log, (_, c) in states.items()}), folder, key.key_id).collect()
+    write_segments(seal(more, key, v.SESSION, SMALL, states), folder, key.key_id).collect()
     assert set(compact(spark, folder, key)) == {"Verified"}
     records = decoded(read_log(spark, folder)[0])
     assert records.filter("event = 'stress.more'").groupBy("log_id").count().filter("count = 6").count() == 12
@@ -186,8 +187,66 @@ def test_crash_recovery(spark, key, make_inputs, folder):
 
 def test_recovery_refuses_tampering(spark, key, written):
     patch(written, 2, 100)
-    with pytest.raises(RecoveryError):
-        recover(spark, written, key, v.SESSION)
+    before = open(path(written, 2), "rb").read()
+    with pytest.raises(RecoveryError, match="1 logs can't be extended: log: HmacMismatch at record 0, byte 80"):
+        recover(spark, written, key)
+    assert open(path(written, 2), "rb").read() == before
+    r = plan(spark, written, LocalKey(bytes(32))).first()
+    assert (r["action"], r["refused"], r["refused_record_id"]) == ("Refused", "KeyIdMismatch", None)
+
+
+def test_ids_are_peeked_at():
+    assert peek_record_id(b"\xa1\x01\x18\x2a") == 42
+    for other in (None, b"", b"\xa1\x01\x61x", b"\xa1\x02\x01", b"\x01", b"\xa1\x01\x20", b"\xff"):
+        assert peek_record_id(other) is None
+
+
+def test_a_torn_end_behind_a_closing_record_is_cut(spark, key, written):
+    open(path(written, 1), "ab").write(b"torn")
+    os.remove(path(written, 2))
+    r = recover(spark, written, key).first()
+    assert (r["action"], r["truncated_bytes"], r["segment"], r["records_in_segment"], int(r["last_record_id"])) == ("OpenedNextAfterFinalized", 4, 2, 4, 3)
+    assert os.path.getsize(path(written, 1)) == v.FILE_BYTES[1]
+
+
+def test_an_idle_trigger_opens_no_file(spark, key, written, monkeypatch):
+    from sealwright.sources import segments
+
+    stream = segments.SegmentStream({"path": written})
+    assert stream.initialOffset() == {}
+    first = stream.latestOffset()
+    assert first == {"log": f"2:{v.FILE_BYTES[2]}"}  # earlier segments are retired
+    walked = []
+    plain = segments.SegmentStream._whole
+    monkeypatch.setattr(segments.SegmentStream, "_whole", lambda self, *a: walked.append(a) or plain(self, *a))
+    assert stream.latestOffset() == first and walked == []
+    data = open(path(written, 2), "rb").read()
+    open(path(written, 2), "ab").write(data[80:])
+    grown = stream.latestOffset()
+    assert grown == {"log": f"2:{2 * v.FILE_BYTES[2] - 80}"} and [a[2] for a in walked] == [v.FILE_BYTES[2]]
+    again = segments.SegmentStream({"path": written})  # a restart begins with the batch that wasn't finished
+    rows = [r for p in again.partitions(first, grown) for r in again.read(p)]
+    assert [r[2] for r in rows] == [v.FILE_BYTES[2] + (f[0] - 80) for f in frames_of(data)]
+    assert again.partitions(grown, grown) == []
+
+
+def test_a_backlog_is_worked_off_in_steps(spark, key, written):
+    from sealwright.sources import segments
+
+    stream = segments.SegmentStream({"path": written, "max_bytes_per_trigger": "200"})
+    at, steps, offsets = stream.initialOffset(), 0, []
+    while (following := stream.latestOffset()) != at:
+        offsets += [(p.segment, r[2]) for p in stream.partitions(at, following) for r in stream.read(p)]
+        at, steps = following, steps + 1
+    assert steps > 3
+    assert offsets == sorted((r["segment_index"], r["file_offset"]) for r in read_log(spark, written)[0].collect())
+
+
+def test_rows_out_of_order_are_refused(spark, key, vector_inputs, folder):
+    os.makedirs(folder)
+    sealed = seal(vector_inputs, key, v.SESSION).orderBy(F.col("record_id").desc()).coalesce(1)
+    with pytest.raises(Exception, match="in order|shorter|No such file"):
+        write_segments(sealed, folder, key.key_id).collect()
 
 
 def test_live_tail(spark, key, written, tmp_path):
