@@ -138,25 +138,45 @@ def list_segments(folder: str) -> list[tuple[str, int, str, int]]:
     return sorted(out)
 
 
+class SegmentFiles(InputPartition):
+    """Segments that one task reads: small ones together."""
+
+    def __init__(self, files: list[SegmentFile]):
+        self.files = files
+
+
+#: Bytes of a task's segments, each counting for some more, as opening it costs something.
+TASK_BYTES, OPEN_BYTES = 32 << 20, 1 << 20
+
+
 class SegmentReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.kind = options["path"], options.get("rows", "frames")
         self.low, self.high = int(options.get("first_segment", 0)), int(options.get("last_segment", 1 << 16))
 
     def partitions(self):
-        return [SegmentFile(log, seg, path) for log, seg, path, _ in list_segments(self.folder) if self.low <= seg <= self.high] or [SegmentFile("", -1, "")]
+        out, size = [SegmentFiles([])], 0
+        for log, seg, path, length in list_segments(self.folder):
+            if self.low <= seg <= self.high:
+                cost = OPEN_BYTES + (length if self.kind == "frames" else 0)
+                if size and size + cost > TASK_BYTES:
+                    out.append(SegmentFiles([]))
+                    size = 0
+                out[-1].files.append(SegmentFile(log, seg, path))
+                size += cost
+        return out
 
     def read(self, partition):
-        if partition.segment < 0:
-            return
-        fs, at = filesystem(partition.path)
-        with fs.open_input_file(at) as source:
-            if self.kind == "segments":
-                yield partition.log_id, partition.segment, source.read(HEADER_BYTES), source.size()
-                return
-            data = memoryview(source.read_buffer())
-            for offset, payload, signed, torn in frames_of(data, partition.start):
-                yield partition.log_id, partition.segment, offset, payload, signed, torn
+        from .ranges import frames_between
+
+        for file in partition.files:
+            fs, at = filesystem(file.path)
+            with fs.open_input_file(at) as source:
+                if self.kind == "segments":
+                    yield file.log_id, file.segment, source.read(HEADER_BYTES), source.size()
+                    continue
+                for offset, payload, signed, torn in frames_between(source, file.start, source.size()):
+                    yield file.log_id, file.segment, offset, payload, signed, torn
 
 
 class SegmentStream(DataSourceStreamReader):
