@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """URI of a new folder below spark.checkpoint.dir; where that is unset, as in tests, below a new local one."""
+@functools.cache
+def _local() -> str:
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    return f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """URI of a new folder below spark.checkpoint.dir; where that is unset, as in tests, below a new local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path)

@@ -100,19 +100,20 @@ class Sealer(StatefulProcessor):
         pass
 
 
-def seal_stream(inputs: DataFrame, key, session: bytes, config: SealConfig = SealConfig(), held_rows: int = HELD_ROWS) -> DataFrame:
+def seal_stream(inputs: DataFrame, key, session: bytes, config: SealConfig = SealConfig(), held_rows: int = HELD_ROWS, runs: str | None = None) -> DataFrame:
     """SEALED rows of a stream of record inputs. Arrival order is chain order from batch to batch, seq within a batch.
 
     Nothing is dropped as late: a clock that runs backwards is for verification to report. The state lies in RocksDB, which
     the session is set to. A log's rows of a batch are taken from the iterator; beyond ``held_rows`` they are sorted in runs
-    below spark.checkpoint.dir, so that a log may have any share of a batch.
+    in the shared folder ``runs``, below spark.checkpoint.dir if not given, so that a log may have any share of a batch.
     """
     spark = inputs.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    runs = runs or (shared and f"{shared.rstrip('/')}/seal-runs")
     tail_bytes = record_tail(F.col("ts_wall"), F.col("ts_mono_delta"), session, F.col("actor"), F.col("event"), F.col("payload"), key.key_id, F.col("schema_version"))
     rows = checked(inputs).select("log_id", "seq", "ts_wall", "ts_mono_delta", tail_bytes.alias("tail"))
-    sealer = Sealer(key, session, config, shared and f"{shared.rstrip('/')}/seal-runs", held_rows)
+    sealer = Sealer(key, session, config, runs, held_rows)
     return rows.groupBy("log_id").transformWithStateInPandas(sealer, SEALED, "Append", "None")
 
 

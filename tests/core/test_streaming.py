@@ -132,11 +132,8 @@ def test_a_large_batch_of_one_log(spark, key, tmp_path):
     d = record_inputs(rows, F.col("log"), F.col("i"), F.lit("2026-05-10T12:00:00.000Z"), F.lit(0), F.lit("a"), F.lit("e.x"), F.lit(b"\xa0"))
     d.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        run(write_sealed(seal_stream(stream, key, v.SESSION, held_rows=6000), str(tmp_path / "stream"), key.key_id, str(tmp_path / "cp")))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    sealed = seal_stream(stream, key, v.SESSION, held_rows=6000, runs=f"file://{tmp_path}/runs")
+    run(write_sealed(sealed, str(tmp_path / "stream"), key.key_id, str(tmp_path / "cp")))
     write_segments(seal(d, key, v.SESSION), str(tmp_path / "batch"), key.key_id).collect()
     assert bytes_of(tmp_path / "stream") == bytes_of(tmp_path / "batch")
-    assert os.listdir(tmp_path / "shared" / "seal-runs") == []
+    assert os.listdir(tmp_path / "runs") == []
