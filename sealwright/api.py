@@ -18,6 +18,7 @@ from .operators.recover import FRESH, recover
 from .operators.seal import SealConfig, record_inputs, seal
 from .operators.verify import VerifyOptions, verify_files
 from .sources.lease import Lease
+from .sources.ranges import reachable, read_ranges, segment_files
 from .sources.segments import list_segments, read_log, write_segments
 from .sources.shared import stored
 
@@ -112,6 +113,12 @@ class LogStore:
         except LogFormatError:
             return False
 
+    def iterate(self) -> DataFrame:
+        """records() in order, as far as a reader that goes from segment 0 to the next comes: a missing segment ends a log."""
+        files = reachable(segment_files(self.spark, self.folder))
+        whole = files.select("*", F.lit(constants.HEADER_BYTES).cast("long").alias("start"), F.col("file_bytes").alias("end"))
+        return parsed(read_ranges(whole).filter("not torn")).orderBy("log_id", *query.ORDER)
+
     def records(self) -> DataFrame:
         return parsed(read_log(self.spark, self.folder)[0].filter("not torn"))
 
@@ -125,3 +132,38 @@ class LogStore:
         r = self.verify(options).filter(F.col("log_id") == log_id).first()
         found = [v.asDict() for v in r["violations"]]
         return Report(log_id, not found, r["compact"], found[0]["kind"] if found else "Verified", r["records_inspected"], r["segments_inspected"], r["final_hmac_hex"], found)
+
+
+class Writer:
+    """One log of a store for dicts: what append() takes is held until flush(), which seals and writes it in one job."""
+
+    def __init__(self, spark: SparkSession, folder: str, key, session: bytes, log_id: str = "log", config: SealConfig = SealConfig()):
+        self.store, self.log_id, self.held, self.first = LogStore(spark, folder, key, session, config), log_id, [], None
+
+    def append(self, record: dict) -> None:
+        self.held.append(record)
+
+    def flush(self) -> None:
+        if self.held:
+            self.store.append(inputs_from_dicts(self.store.spark, self.log_id, self.held))
+            self.held = []
+            if self.first is None:
+                mine = self.store.recovery.filter(F.col("log_id") == self.log_id)
+                self.first = mine.select("action", *(["truncated_bytes"] if "truncated_bytes" in mine.columns else [])).first().asDict()
+
+    def recovery_action(self) -> str | None:
+        """What the first flush() did with the log that it found; None before."""
+        return self.first and self.first["action"]
+
+    def recovery_truncated_bytes(self) -> int:
+        return (self.first or {}).get("truncated_bytes") or 0
+
+    def close(self) -> None:
+        self.flush()
+
+    def __enter__(self) -> Writer:
+        return self
+
+    def __exit__(self, kind, *rest) -> None:
+        if kind is None:
+            self.close()

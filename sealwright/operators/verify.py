@@ -226,20 +226,21 @@ REPORT = f"{COUNTERS}, violations array<struct<{VIOLATIONS.replace(' ', ':').rep
 
 
 def verify(frames: DataFrame, segments: DataFrame, key, options: VerifyOptions = VerifyOptions()) -> DataFrame:
-    """A report row a log: counters, final_hmac_hex (of the last record that verified), verdict, compact, violations.
+    """A report row a log: counters, final_hmac_hex (of the last record that verified), key_id_hex, verdict, compact, violations.
 
     frames: log_id, segment_index, file_offset, payload_bytes, hmac, torn. segments: log_id, segment_index, header.
     """
     heads = header_checks(segments, key)
     states = segment_states(record_checks(inspected(frames, key), heads, key, options), heads)
     states = states.repartition("log_id").sortWithinPartitions("log_id", "segment_index")
-    return _reported(states.mapInArrow(_walk(key.key_id, options), REPORT))
+    return _reported(states.mapInArrow(_walk(key.key_id, options), REPORT), key)
 
 
-def _reported(report: DataFrame) -> DataFrame:
+def _reported(report: DataFrame, key) -> DataFrame:
     first = F.get("violations", F.lit(0))
     report = report.withColumn("verdict", F.when(F.size("violations") == 0, "Verified").otherwise("Violation"))
     report = report.withColumn("compact", compact_verdict(first["kind"], first["segment_index"], first["record_id"]))
+    report = report.withColumn("key_id_hex", F.lit(key.key_id.hex()))
     return report.withColumn("summary", summary_line(F.size("violations") == 0, F.col("records_inspected"), F.col("final_hmac_hex"), first["kind"], first["segment_index"], first["record_id"]))
 
 
@@ -259,7 +260,7 @@ def verify_files(spark, folder: str, key, options: VerifyOptions = VerifyOptions
     parts = found.groupBy(*file, F.floor((F.col("start") - HEADER_BYTES) / range_bytes).alias("part")).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
     states = _spread(parts).mapInArrow(check_ranges(key, options), STATES)
     states = states.repartition("log_id").sortWithinPartitions("log_id", "segment_index", "start")
-    return _reported(states.mapInArrow(_walk(key.key_id, options, joined(key, options)), REPORT))
+    return _reported(states.mapInArrow(_walk(key.key_id, options, joined(key, options)), REPORT), key)
 
 
 def violations(report: DataFrame) -> DataFrame:

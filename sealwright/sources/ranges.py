@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import HEADER_BYTES
@@ -228,6 +228,12 @@ def ranges(spark: SparkSession, folder: str, wanted: Wanted = Wanted()) -> DataF
     return current.filter(wanted.blocks()).select(whole.columns).unionByName(rest)
 
 
+def reachable(files: DataFrame) -> DataFrame:
+    """Of each log's files those that reading one after the other from segment 0 comes to: up to the first missing index."""
+    place = F.row_number().over(Window.partitionBy("log_id").orderBy("segment_index")) - 1
+    return files.withColumn("__place", place).filter("__place = segment_index").drop("__place")
+
+
 def find(spark: SparkSession, folder: str, wanted: Wanted) -> DataFrame:
     """The wanted records of a log's or a store's files, parsed; only ranges that may have some are read."""
     return parsed(read_ranges(ranges(spark, folder, wanted)).filter("not torn")).filter(wanted.records())

@@ -5,8 +5,9 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
-from sealwright.api import LogStore, format_version, inputs_from_dicts, inputs_from_json
+from sealwright.api import LogStore, Writer, format_version, inputs_from_dicts, inputs_from_json
 from sealwright.errors import HmacMismatchError, SealError
+from sealwright.operators.query import sample
 from sealwright.operators.seal import SealConfig, record_inputs, seal
 from sealwright.sources.lease import Lease, LeaseHeldError, break_lease
 from sealwright.sources.segments import list_segments, write_segments
@@ -91,3 +92,42 @@ def test_inputs(spark, tmp_path):
     path.write_text(json.dumps({"records": rows}))
     one = [tuple(r) for r in inputs_from_json(spark, str(path), "log").collect()]
     assert one == [tuple(r) for r in inputs_from_dicts(spark, "log", rows).collect()]
+
+
+def test_writer_of_dicts(spark, key, tmp_path):
+    folder = str(tmp_path / "store")
+    row = lambda i: {"ts_wall": f"2026-05-10T12:00:0{i}.000Z", "ts_mono_delta": 1000 * i, "actor": "a", "event": "e", "payload": {"i": i}}
+    with Writer(spark, folder, key, v.SESSION) as w:
+        assert w.recovery_action() is None
+        w.append(row(0))
+        w.append(row(1))
+        w.flush()
+        assert (w.recovery_action(), w.recovery_truncated_bytes()) == ("Fresh", 0)
+        w.append(row(2))
+    path = f"{folder}/log/audit-0000.cbor"
+    with open(path, "r+b") as f:
+        f.truncate(os.path.getsize(path) - 3)
+    with Writer(spark, folder, key, v.SESSION) as w:
+        w.append(row(3))
+    assert w.recovery_action() == "Repaired" and w.recovery_truncated_bytes() > 0
+    assert [r["ts_wall"][18] for r in w.store.iterate().collect()] == ["0", "1", "3"]
+    assert w.store.report("log").ok
+
+
+def test_iteration_ends_at_a_gap(spark, key, make_inputs, tmp_path):
+    folder = str(tmp_path / "store")
+    store = LogStore(spark, folder, key, v.SESSION, SealConfig(1024))
+    store.append(make_inputs([(log, i, i, "e.x", {"i": i}) for log in ("a", "b") for i in range(15)]))
+    whole = store.iterate().collect()
+    assert [r["file_offset"] for r in whole if r["log_id"] == "a"] == [r["file_offset"] for r in whole if r["log_id"] == "b"]
+    os.remove(f"{folder}/a/audit-0001.cbor")
+    os.remove(f"{folder}/b/audit-0000.cbor")
+    got = store.iterate().collect()
+    assert got == [r for r in whole if r["log_id"] == "a" and r["segment_index"] == 0]
+
+
+def test_samples_keep_equal_records(spark):
+    rows = spark.createDataFrame([(1,), (1,), (2,), (2,)], "x int")
+    assert sorted(r[0] for r in sample(rows, [F.col("x")], 2).collect()) == [1, 1, 2, 2]
+    assert sorted(r[0] for r in sample(rows, [F.col("x")], 1).collect()) == [1, 2]
+    assert sample(rows.limit(0), [F.col("x")], 1).collect() == []
