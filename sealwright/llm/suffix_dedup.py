@@ -71,6 +71,56 @@ def unpack(data: bytes) -> dict:
     return out
 
 
+def suffix_blocks(ords, bucket, h, doc, at, n, off, multi, weight):
+    """(bucket, block) of the suffixes that a group sends, by document; a block has only those documents that it has suffixes of.
+
+    There is a block for each group and bucket, so it has no names and grows with its suffixes alone. Numbers lie byte
+    by byte, the lowest of all first, since their high bytes compress to nothing. unpack_suffixes() reads a block.
+    """
+    import numpy as np
+    import zstandard
+
+    if not len(h):
+        return
+    order = np.lexsort((at, doc, bucket))
+    bucket, h, doc, at, n, off, multi, weight = (x[order] for x in (bucket, h, doc, at, n, off, multi, weight))
+    begins = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    new = begins.copy()
+    new[1:] |= doc[1:] != doc[:-1]
+    starts, docs = np.flatnonzero(begins), doc[new]
+    doc_starts = np.cumsum(new)[starts] - 1
+
+    def steps(x):
+        """Differences, but of each block's first document the number itself."""
+        out = np.diff(x, prepend=0)
+        out[doc_starts] = x[doc_starts]
+        return out
+
+    planes = lambda x, kind: np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T)
+    of_docs = [planes(steps(ords[docs]), "<i8"), planes(steps(docs), "<i4")]
+    first, *others = planes(h, "<u8"), planes(at, "<i4"), planes(weight, "<i4"), planes(new & ~begins, "i1"), planes(n, "i1"), planes(off, "i1"), planes(multi, "i1")
+    compress = zstandard.ZstdCompressor(level=1).compress
+    ends, doc_ends = np.append(starts[1:], len(h)).tolist(), np.append(doc_starts[1:], len(docs)).tolist()
+    for k, i, j, di, dj in zip(bucket[starts].tolist(), starts.tolist(), ends, doc_starts.tolist(), doc_ends):
+        parts = [first[:, i:j].tobytes(), *(x[:, di:dj].tobytes() for x in of_docs), *(x[:, i:j].tobytes() for x in others)]
+        yield k, compress(struct.pack("<II", j - i, dj - di) + b"".join(parts))
+
+
+def unpack_suffixes(data: bytes):
+    """h, ord, doc, at, n, off, multi and weight of a block of suffix_blocks(), decompressed."""
+    import numpy as np
+
+    suffixes, docs = struct.unpack_from("<II", data)
+    place, parts = 8, []
+    for width, count in ((8, suffixes), (8, docs), (4, docs), (4, suffixes), (4, suffixes), *[(1, suffixes)] * 4):
+        planes = np.frombuffer(data, np.uint8, width * count, place).reshape(width, count)
+        parts.append(np.ascontiguousarray(planes.T).view(f"<i{width}").ravel())
+        place += width * count
+    h, ords, doc, at, weight, k, n, off, multi = parts
+    k = np.cumsum(k, dtype=np.int64)
+    return h.view(np.uint64), np.cumsum(ords)[k], np.cumsum(doc, dtype=np.int32)[k], at, n, off, multi.astype(bool), weight
+
+
 class Group:
     """The documents of a group in a fixed order (ord, tag), rows with both equal once, and their bytes in one buffer."""
 
@@ -145,10 +195,14 @@ def bucket_of(lead, hashes, splitters):
 
     leads, ties = splitters
     lo, hi = np.searchsorted(leads, lead, "left"), np.searchsorted(leads, lead, "right")
-    for x in np.unique(lead[lo < hi]):
-        mine = lead == x
-        a, b = np.searchsorted(leads, x, "left"), np.searchsorted(leads, x, "right")
-        lo[mine] = a + np.searchsorted(ties[a:b], hashes[mine], "right")
+    # of those whose lead is a splitter's, too: how many splitters come before each in the order of both
+    tied = np.flatnonzero(lo < hi)
+    if len(tied):
+        behind = np.concatenate([np.zeros(len(leads), np.int8), np.ones(len(tied), np.int8)])
+        order = np.lexsort((behind, np.concatenate([ties, hashes[tied]]), np.concatenate([leads, lead[tied]])))
+        before = np.cumsum(behind[order] == 0)
+        mine = order >= len(leads)
+        lo[tied[order[mine] - len(leads)]] = before[mine]
     return lo
 
 
@@ -187,13 +241,7 @@ def extract(splitters, n_buckets: int):
         weight = np.ones(len(h), np.int64)
         weight[starts] = np.where(shared, ends - starts + 1, 1)
         b = bucket_of(lead[send], h[send], splitters.value)
-        turn = np.argsort(b, kind="stable")
-        send, b = send[turn], b[turn]
-        cuts = np.searchsorted(b, np.arange(n_buckets + 1))
-        for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            s = send[cuts[k] : cuts[k + 1]]
-            hk = h[s]
-            rows.append((dest, k, "suffixes", pack(ord=np.diff(group.ord, prepend=0), h=np.diff(hk, prepend=np.uint64(0)), doc=doc[s].astype("<i4"), at=at[s].astype("<i4"), n=n[s].astype("<i4"), off=off[s].astype("<i1"), multi=multi[s], weight=weight[s].astype("<i4"))))
+        rows += [(dest, k, "suffixes", block) for k, block in suffix_blocks(group.ord, b, *(x[send] for x in (h, doc, at, n, off, multi, weight)))]
         return blocks_table(rows)
 
     return run
@@ -204,14 +252,15 @@ def find_shared(most: int):
 
     def run(table):
         import numpy as np
+        import zstandard
 
-        rows, parts = [], []
+        rows, parts, decompress = [], [], zstandard.ZstdDecompressor().decompress
         for dest, bucket, kind, data in zip(*(table.column(c).to_pylist() for c in ("dest", "bucket", "kind", "data"))):
             if kind != "suffixes":
                 rows.append((dest, bucket, kind, data))
                 continue
-            x = unpack(data)
-            parts.append((np.full(len(x["h"]), dest, np.int32), np.cumsum(x["h"], dtype=np.uint64), np.cumsum(x["ord"])[x["doc"]], x["doc"], x["at"], x["n"], x["off"], x["multi"], x["weight"]))
+            x = unpack_suffixes(decompress(data))
+            parts.append((np.full(len(x[0]), dest, np.int32), *x))
         if parts:
             dest, h, ords, doc, at, n, off, multi, weight = (np.concatenate(p) for p in zip(*parts))
             del parts
@@ -374,8 +423,10 @@ def contexts(splitters, n_buckets: int):
         crowded = np.isin(h, np.concatenate(hot)) if hot else np.zeros(len(h), bool)
         calm = np.flatnonzero(~crowded)
         b = bucket_of(word_at(data, start[calm] + off[calm], np.full(len(calm), 8)), h[calm], splitters.value)
-        for k in np.unique(b).tolist():
-            s = calm[b == k]
+        turn = np.argsort(b, kind="stable")
+        calm, cuts = calm[turn], np.flatnonzero(np.diff(b[turn], prepend=-1, append=n_buckets))
+        for k, i, j in zip(b[turn][cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            s = calm[i:j]
             text = np.concatenate([data[x:y] for x, y in zip(start[s].tolist(), (start[s] + n[s] + LENGTH - 1).tolist())])
             rows.append((dest, k, "contexts", pack(h=h[s], ord=ords[s], uid=s.astype("<i4"), n=n[s].astype("<i4"), off=off[s].astype("<i1"), text=text)))
         c = np.flatnonzero(crowded)

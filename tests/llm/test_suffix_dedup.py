@@ -112,3 +112,46 @@ def test_long_repetitions_need_little_memory():
 def test_empty_tables(spark, make):
     assert m.dedup(make([])).collect() == []
     assert [tuple(r)[1:4] for r in m.dedup(make([(1, None), (2, ""), (None, None)])).collect()] == [(0, 0, 0)] * 3
+
+
+def test_what_a_group_sends_does_not_grow_with_the_buckets(rng):
+    """2 MB of text dealt to one bucket and to 3,750, as at 30 GB: the blocks hold the same suffixes in much the same space."""
+    import time
+
+    import pyarrow as pa
+
+    words = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))) for _ in range(4000)]
+    texts = [" ".join(rng.choice(words) for _ in range(160)) for _ in range(2100)]
+    ids = sorted(rng.sample(range(10**9), len(texts)))
+    table = pa.table({"dest": [0] * len(texts), "ord": ids, "tag": [str(i).encode() for i in ids], "text": texts})
+    none = pa.table({"ord": pa.array([], pa.int64()), "tag": pa.array([], pa.binary())})
+    h, _, _, _, _, lead = m.Group(table).suffixes(np.empty(0, np.int64))
+    order = np.lexsort((h, lead))
+
+    def sent(n_buckets):
+        class Value:
+            value = tuple(x[order][np.arange(1, n_buckets) * len(order) // n_buckets] for x in (lead, h))
+
+        start = time.process_time()
+        rows = [r for r in m.extract(Value, n_buckets)(table, none).to_pylist() if r["kind"] == "suffixes"]
+        return rows, time.process_time() - start
+
+    def suffixes(rows):
+        import zstandard
+
+        parts = [m.unpack_suffixes(zstandard.ZstdDecompressor().decompress(r["data"])) for r in rows]
+        return sorted(zip(*(np.concatenate(c).tolist() for c in zip(*parts))))
+
+    (one, base), (many, seconds) = sent(1), sent(3750)
+    assert len(many) > 3000 and suffixes(one) == suffixes(many)
+    size = sum(len(r["data"]) for r in many)
+    assert size < 1.2 * sum(map(len, texts))
+    assert seconds - base < 0.5
+
+
+def test_buckets_by_splitters_with_equal_leads():
+    rng = np.random.default_rng(3)
+    splitters = sorted(zip(rng.integers(0, 9, 40).tolist(), rng.integers(0, 50, 40).tolist()))
+    lead, h = (rng.integers(0, n, 500).astype(np.uint64) for n in (11, 50))
+    got = m.bucket_of(lead, h, tuple(np.array(x, np.uint64) for x in zip(*splitters)))
+    assert got.tolist() == [sum(x <= y for x in splitters) for y in zip(lead.tolist(), h.tolist())]
