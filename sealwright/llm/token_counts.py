@@ -131,6 +131,7 @@ class EditedText:
 
     def __init__(self, words: list[str], counts, pre: PreTokens):
         self.words, self.pre, self.reencoded = words or [""], pre, 0
+        self.several: dict[int, list[str]] = {}  # the pre-tokens of leaves that took more than one
         self.tree = SegmentTree(list(map(len, self.words)), counts if words else [0])
 
     @classmethod
@@ -152,10 +153,14 @@ class EditedText:
         return "".join(self.words)
 
     def leaves(self) -> tuple[list[int], list[int]]:
-        """(characters, tokens) of the leaves that have any."""
-        tree = self.tree
-        used = [k for k in range(tree.size, tree.size + tree.leaves) if tree.chars[k]]
-        return [tree.chars[k] for k in used], [tree.counts[k] for k in used]
+        """(characters, tokens) of the pre-tokens: a leaf that an edit left with several is one for each of them again."""
+        chars, tokens = [], []
+        for k in range(self.tree.leaves):
+            for w in self.several.get(k, ()) or [self.words[k]]:
+                if w:
+                    chars.append(len(w))
+                    tokens.append(self.pre.count(w) if k in self.several else self.tree.counts[self.tree.size + k])
+        return chars, tokens
 
     def replace(self, start: int, length: int, replacement: str) -> None:
         tree = self.tree
@@ -186,6 +191,9 @@ class EditedText:
 
     def _put(self, leaf: int, words: list[str]) -> None:
         self.words[leaf] = "".join(words)
+        self.several.pop(leaf, None)
+        if len(words) > 1:
+            self.several[leaf] = words
         self.tree.set(leaf, len(self.words[leaf]), sum(map(self.pre.count, words)))
 
     def _ends(self, word: str, last: int) -> bool:
@@ -201,13 +209,29 @@ class EditedText:
 
 
 def redactions(text: Column, pattern: str = REDACTED, replacement: str = PLACEHOLDER) -> Column:
-    """EDITS that replace each match of the pattern; characters count from 0. None for null."""
+    """EDITS that replace each match of the pattern; characters count from 0. None for null.
+
+    The JVM finds the matches; where they begin is a running sum, which takes as many steps as there are matches.
+    """
+
+    @F.pandas_udf(EDITS)
+    def placed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for skips, lengths in batches:
+            yield pd.Series([None if n is None else edits_at(s, n, replacement) for s, n in zip(skips, lengths)], dtype=object)
+
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(EDITS).alias("edits"))
-    pairs = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(F.char_length(p).alias("skip"), F.char_length(m).alias("length")))
-    step = lambda acc, p: F.struct((acc["at"] + p["skip"] + p["length"]).alias("at"), F.concat(acc["edits"], F.array(F.struct((acc["at"] + p["skip"]).alias("start"), p["length"].alias("length"), F.lit(replacement).alias("replacement")))).alias("edits"))
-    none = F.array().cast(EDITS)
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["edits"]).otherwise(none)
+    has_some = text.rlike(pattern)
+    skips, lengths = (F.when(has_some, F.transform(x, F.char_length)) for x in (parts, found))
+    return F.when(has_some, placed(skips, lengths)).otherwise(F.array().cast(EDITS))
+
+
+def edits_at(skips, lengths, replacement: str) -> list[dict]:
+    """Edits of so many characters each, behind so many that stay (after the last edit there may be more)."""
+    import numpy as np
+
+    lengths = np.asarray(lengths, np.int64)
+    starts = np.cumsum(np.asarray(skips, np.int64)[: len(lengths)] + lengths) - lengths
+    return [{"start": s, "length": n, "replacement": replacement} for s, n in zip(starts.tolist(), lengths.tolist())]
 
 
 def packed(values: list[int]) -> bytes:
@@ -244,8 +268,9 @@ def trees(text: Column, tokenizer_path: str) -> Column:
 def updated(text: Column, tree: Column, edits: Column, tokenizer_path: str) -> Column:
     """A struct (EDITED) of a kept tree after the edits. Of rows without edits nothing goes through Python.
 
-    Edits are of characters of the text as it was and don't overlap; they are applied from the last to the first. Null
-    text is empty; null edits are none; edits that reach beyond the text are cut.
+    Edits are of characters of the text as it was, in any order; they are applied from the last to the first. Edits that
+    overlap are refused with a ValueError. Null text is empty; null edits are none; edits that reach beyond the text are
+    cut.
     """
 
     @F.pandas_udf(EDITED)
@@ -260,7 +285,11 @@ def updated(text: Column, tree: Column, edits: Column, tokenizer_path: str) -> C
                 chars = unpacked(chars).tolist()
                 doc = EditedText.of_leaves(text or "", chars, unpacked(tokens), pre)
                 before, leaves = doc.tree.tokens, len(chars)
-                for e in sorted(changes, key=lambda e: (e["start"], e["length"]), reverse=True):
+                changes = sorted(changes, key=lambda e: (e["start"], e["length"]), reverse=True)
+                for later, e in zip(changes, changes[1:]):
+                    if max(e["start"], 0) + max(e["length"], 0) > max(later["start"], 0):
+                        raise ValueError(f"edits overlap: {e} and {later}")
+                for e in changes:
                     doc.replace(e["start"], e["length"], e["replacement"] or "")
                 rows.append((doc.text, *map(packed, doc.leaves()), doc.tree.tokens, before, doc.tree.tokens, len(changes), leaves, doc.reencoded))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in EDITED.split(", ")])

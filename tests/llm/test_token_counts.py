@@ -88,3 +88,37 @@ def test_edits_beyond_the_text_and_null_edits(spark, pre):
     df = spark.createDataFrame([(1, "one two", [(4, 99, "three")]), (2, "one", None), (3, None, [(0, 0, "new")]), (4, "x y", [(1, 1, None), (99, 1, "!")])], f"doc_id long, text string, edits {t.EDITS}")
     got = {r["doc_id"]: r["tokens_after"] for r in t.count_tokens(df, F.col("edits"), PATH).collect()}
     assert got == {i: len(pre.encoding.encode_ordinary(x)) for i, x in ((1, "one three"), (2, "one"), (3, "new"), (4, "xy!"))}
+
+
+def test_edits_cost_as_many_steps_as_there_are_matches(spark):
+    """A text with 32,000 addresses; building a list by appending copies of it took a minute."""
+    import time
+
+    df = spark.createDataFrame([("10.0.0.1 " * n,) for n in (1, 32_000)], "text string").cache()
+    df.count()
+    df.select(F.size(t.redactions(F.col("text")))).filter("false").collect()
+    start = time.time()
+    got = [r[0] for r in df.select(t.redactions(F.col("text"))).collect()]
+    assert time.time() - start < 10
+    assert [(e["start"], e["length"], e["replacement"]) for e in got[1]] == [(9 * i, 8, t.PLACEHOLDER) for i in range(32_000)]
+    assert len(got[0]) == 1
+
+
+def test_leaves_stay_pre_tokens(pre, rng):
+    """A long insertion is many leaves once the tree is kept, so that the next edit in it re-encodes little."""
+    doc = t.EditedText.of("begin here and end", pre)
+    doc.replace(6, 4, sentence(rng, 20_000))
+    again = t.EditedText.of_leaves(doc.text, *doc.leaves(), pre)
+    assert again.words == pre.split(doc.text) and again.tree.tokens == doc.tree.tokens
+    again.replace(50_000, 3, "xyz")
+    assert again.reencoded < 100
+    assert again.tree.tokens == len(pre.encoding.encode_ordinary(again.text))
+
+
+def test_overlapping_edits_are_refused(spark):
+    schema = f"doc_id long, text string, edits {t.EDITS}"
+    for edits in ([(0, 3, "a"), (2, 1, "b")], [(4, 2, "a"), (4, 2, "b")]):
+        with pytest.raises(Exception, match="edits overlap"):
+            t.count_tokens(spark.createDataFrame([(1, "one two three", edits)], schema), F.col("edits"), PATH).collect()
+    ok = spark.createDataFrame([(1, "one two three", [(3, 0, "!"), (3, 1, "_"), (0, 3, "x")])], schema)
+    assert t.count_tokens(ok, F.col("edits"), PATH).count() == 1
