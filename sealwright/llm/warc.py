@@ -76,15 +76,19 @@ def dictionary_of(records: list[bytes]) -> bytes:
 def label(pages: DataFrame, min_bytes: int) -> DataFrame:
     """pages with payload (binary), sha1 and refers_to: the smallest page_id with an equal payload of at least min_bytes, null for itself.
 
-    Only digests that occur twice or more are joined back; the smallest id is pre-aggregated before its shuffle, and
-    the join's hot digest is split by the skew join or broadcast.
+    The smallest id of each digest that occurs twice or more is pre-aggregated before its shuffle and written, then ids
+    alone are joined with it: both sides are tables, so that Spark's skew join splits a digest that a third of all pages
+    have, and its rows are narrow. Payloads move once, by page_id and digest, which only repeated rows share.
     """
+    key = ["sha1", "size"]
     p = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
-    p = p.withColumn("sha1", F.unhex(F.sha1("payload")))
-    size = F.octet_length("payload")
-    firsts = p.filter(size >= min_bytes).groupBy("sha1", size.alias("size")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    joined = p.withColumn("size", size).join(firsts, ["sha1", "size"], "left")
-    return joined.select("page_id", "url", "payload", "sha1", F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")).alias("refers_to"))
+    p = p.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload"))
+    ids = written(p.select("page_id", *key), "warc-digests")
+    firsts = ids.filter(F.col("size") >= min_bytes).groupBy(*key).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    revisits = ids.join(written(firsts, "warc-firsts"), key).filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("id"), *[F.col(c).alias(f"of_{c}") for c in key], F.col("first").alias("refers_to"))
+    revisits = written(revisits.distinct(), "warc-revisits")
+    same = F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha1") == F.col("of_sha1")) & (F.col("size") == F.col("of_size"))
+    return p.join(revisits, same, "left").select("page_id", "url", "payload", "sha1", "refers_to")
 
 
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> DataFrame:

@@ -59,3 +59,13 @@ def test_damage_is_found():
     record = warc.record_bytes(1, "u", b"body", "X", None, "d")
     with pytest.raises(ValueError):
         warc.parsed(record.replace(b"body", b"bodyy"))
+
+
+def test_a_hot_digest_meets_ids_only(spark, rng):
+    """A third of all pages equal: labels by brute force, and the join by digest carries neither urls nor payloads."""
+    pages = [(i, f"u{i}", "blocked" if i % 3 else f"page {i} {rng.random()}") for i in range(3000)]
+    df = spark.createDataFrame([(*p, None) for p in pages], SCHEMA)
+    got = {r["page_id"]: r["refers_to"] for r in warc.label(df, 0).select("page_id", "refers_to").collect()}
+    assert got == {i: 1 if i % 3 and i != 1 else None for i in range(3000)}
+    plan = warc.label(df, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "warc-revisits" in str(warc.label(df, 0).inputFiles())
