@@ -215,14 +215,14 @@ def redactions(text: Column, pattern: str = REDACTED, replacement: str = PLACEHO
     """
 
     @F.pandas_udf(EDITS)
-    def placed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for skips, lengths in batches:
-            yield pd.Series([None if n is None else edits_at(s, n, replacement) for s, n in zip(skips, lengths)], dtype=object)
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for found in batches:
+            yield pd.Series([None if n is None else edits_at(s, n, replacement) for s, n in zip(found["skips"], found["lengths"])], dtype=object)
 
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    has_some = text.rlike(pattern)
-    skips, lengths = (F.when(has_some, F.transform(x, F.char_length)) for x in (parts, found))
-    return F.when(has_some, placed(skips, lengths)).otherwise(F.array().cast(EDITS))
+    # one column, so that a text without matches is read once
+    found = F.when(text.rlike(pattern), F.struct(F.transform(parts, F.char_length).alias("skips"), F.transform(found, F.char_length).alias("lengths")))
+    return F.coalesce(placed(found), F.array().cast(EDITS))
 
 
 def edits_at(skips, lengths, replacement: str) -> list[dict]:
