@@ -108,7 +108,7 @@ FROM h LEFT JOIN k USING (doc_id)""",
 WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
 i AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
 dw AS (SELECT doc_id, len(w) AS l, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
-iw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM i WHERE len(w) >= 5),
+iw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM i WHERE w[1] <> ''),
 m AS (SELECT doc_id, item_id, p, p - q AS g, least(13, n) AS size FROM dw JOIN iw USING (word) WHERE least(n, l - (p - q)) - greatest(0, q - p) >= least(13, n)),
 c AS (SELECT doc_id, item_id, size, count(*) OVER (PARTITION BY doc_id, item_id, g ORDER BY p RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS k FROM m)
 SELECT doc_id, item_id, size::INT AS n_words, max(k)::INT AS n_matches, max(k) / size AS similarity FROM c GROUP BY doc_id, item_id, size HAVING max(k) >= 0.8 * size - 1e-9""",
