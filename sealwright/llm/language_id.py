@@ -3,8 +3,10 @@
 For each language a raw-content zstandard dictionary is cut from a bounded sample of labelled texts. A text is
 cleaned, cut into chunks of CHUNK_BYTES (all of it; a long text would else teach the compressor its own words), and
 each chunk is compressed with every dictionary. The margin is the part by which the best sum is below the second.
-A short text alone doesn't compress at all, so it rides behind carriers: pieces of the language's own sample, whose
-size without the text is subtracted; with some carriers, the sums differ by parts of a byte.
+Sizes are whole bytes, so a text whose best sum isn't below the second by a sure number of bytes and a sure part (most of
+the short ones, and those that repeat a few words) rides behind carriers as well: pieces of the language's own sample,
+whose size without the text is subtracted; over the carriers, the means differ by parts of a byte. The rule is the same
+for texts of all sizes, and each language has as many carriers, whatever the size of its sample.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from .shared import letters
 #: The bound of what is learned from: so many texts a language, so many characters of each, so many bytes in all.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 96, 1500, 96 << 10
 CHUNK_BYTES = 1024
-#: Texts no longer than this ride behind so many carriers of so many bytes.
-SHORT_BYTES, CARRIERS, CARRIER_BYTES = 400, 16, 1024
-#: Longer texts do so too if their margin is below this; most repeat a few words, which the compressor learns at once.
-SURE_MARGIN = 0.03
+#: Carriers of a language, and the bytes of each (less for a sample that is shorter than twice that).
+CARRIERS, CARRIER_BYTES = 16, 1024
+#: A best sum that is below the second by this part and by so many bytes is taken without carriers.
+SURE_MARGIN, SURE_BYTES = 0.03, 16
+#: So many languages are learned, those with the most labelled texts; labels that few texts have can't crowd the driver.
+LANGUAGES = 256
 #: A text is rejected whose best language isn't better than the next by this part.
 MIN_MARGIN = 0.0005
 UNKNOWN = "und"
@@ -39,9 +43,11 @@ def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     """language -> raw dictionary, from at most SAMPLE_TEXTS labelled texts a language that aren't held out.
 
     The sample is each language's first texts by a hash; each task keeps no more than that before the shuffle. What
-    reaches the driver is bounded by the number of languages times SAMPLE_TEXTS * SAMPLE_CHARS characters.
+    reaches the driver is at most LANGUAGES * SAMPLE_TEXTS * SAMPLE_CHARS characters.
     """
     sample = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    most = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sample = sample.filter(F.col("lang").isin([r["lang"] for r in most.collect()]))
     sample = sample.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.length("text")).alias("key"))
     order = Window.partitionBy("lang").orderBy("key", "text")
     sample = sample.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_TEXTS)
@@ -52,6 +58,14 @@ def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     return {lang: " ".join(x).encode()[-DICTIONARY_BYTES:] for lang, x in sorted(texts.items())}
 
 
+def carriers_of(sample: bytes) -> tuple[list[bytes], bytes]:
+    """CARRIERS pieces of the first part of a sample, which overlap if that is short, and the rest of the sample."""
+    room = min(CARRIERS * CARRIER_BYTES, len(sample) // 2)
+    size = min(CARRIER_BYTES, room)
+    starts = [i * (room - size) // (CARRIERS - 1) for i in range(CARRIERS)]
+    return [sample[i : i + size] for i in starts], sample[room:]
+
+
 class Classifier:
     """Sizes of cleaned texts under each language's dictionary."""
 
@@ -64,19 +78,18 @@ class Classifier:
 
         self.langs = sorted(learned)
         self.long = [compressor(learned[x], 3, CHUNK_BYTES) for x in self.langs]
-        self.n = min([CARRIERS, *(len(learned[x]) // 2 // CARRIER_BYTES for x in self.langs)])
-        self.short = []
+        self.carried = []
         for x in self.langs:
-            carriers = [learned[x][i * CARRIER_BYTES : (i + 1) * CARRIER_BYTES] for i in range(self.n)] or [b""]
-            compress = compressor(learned[x][self.n * CARRIER_BYTES :], 12, CARRIER_BYTES + SHORT_BYTES)
-            self.short.append((compress, carriers, sum(len(compress(c)) for c in carriers)))
+            carriers, rest = carriers_of(learned[x])
+            compress = compressor(rest, 12, CARRIER_BYTES + CHUNK_BYTES)
+            self.carried.append((compress, carriers, sum(len(compress(c)) for c in carriers)))
 
     def sizes(self, text: bytes) -> list[int]:
         chunks = [text[i : i + CHUNK_BYTES] for i in range(0, len(text), CHUNK_BYTES)]
         return [sum([len(compress(x)) for x in chunks]) for compress in self.long]
 
-    def short_sizes(self, text: bytes) -> list[int]:
-        return [sum([len(compress(c + b" " + text)) for c in carriers]) - alone for compress, carriers, alone in self.short]
+    def carried_sizes(self, text: bytes) -> list[int]:
+        return [sum([len(compress(c + b" " + text)) for c in carriers]) - alone for compress, carriers, alone in self.carried]
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """(language, score, margin, rejected) of a cleaned text; ties go to the first language by name."""
@@ -85,15 +98,13 @@ class Classifier:
             return UNKNOWN, 0.0, 0.0, True
         if len(self.langs) == 1:
             return self.langs[0], 1.0, 1.0, False
-        margin = 0.0
-        if len(raw) > SHORT_BYTES:
-            (best, lang), (second, _) = sorted(zip(self.sizes(raw), self.langs))[:2]
-            margin = 1 - best / second
-        if margin < SURE_MARGIN:
+        (best, lang), (second, _) = sorted(zip(self.sizes(raw), self.langs))[:2]
+        margin = 1 - best / second
+        if margin < SURE_MARGIN or second - best < SURE_BYTES:
             chunks = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw), CHUNK_BYTES)]
-            sizes = map(sum, zip(*map(self.short_sizes, chunks)))
+            sizes = map(sum, zip(*map(self.carried_sizes, chunks)))
             (best, lang), (second, _) = sorted(zip(sizes, self.langs))[:2]
-            margin = min(1.0, (second - best) / (max(1, self.n) * len(raw)))
+            margin = min(1.0, (second - best) / (CARRIERS * len(raw)))
         return lang, margin / (margin + 0.02), margin, margin < MIN_MARGIN
 
 

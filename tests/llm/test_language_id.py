@@ -22,6 +22,34 @@ def test_held_out_accuracy(spark):
     assert {r["lang_pred"] for r in rows} <= {"en", "de", "fr", "es", "und"}
 
 
+def test_languages_of_unequal_samples(spark):
+    """A language with a small sample, and one with next to none, cost neither it nor the others their short texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = m.dictionaries(docs)
+    held = docs.filter(m.held_out(F.col("doc_id")) & (F.length("text") > 200)).select("lang", m.letters(F.col("text")).alias("text")).collect()
+    texts = [(r["lang"], x) for r in held for x in (r["text"].strip()[:60], r["text"].strip()[:300], r["text"])]
+    small = learned | {"de": learned["de"][:3072]}
+
+    def right_and_rejected(learned):
+        c = m.Classifier(learned)
+        out = [(lang, c.predict(x)) for lang, x in texts]
+        return sum(p[0] == lang for lang, p in out) / len(out), sum(p[3] for _, p in out) / len(out)
+
+    right, rejected = right_and_rejected(learned)
+    print(right, rejected)
+    for other in (small, learned | {"xx": b"a rare language of which there are some words only"}, small | {"xx": b"q"}, small | {"xx": b""}):
+        got = right_and_rejected(other)
+        print(got)
+        assert got[0] >= 0.98 and got[1] <= rejected + 0.002
+
+
+def test_carriers_are_as_many_for_each_sample():
+    for n in (0, 1, 2, 51, 2047, 3072, 40_000):
+        carriers, rest = m.carriers_of(bytes(range(256)) * 200 if n > 51_000 else bytes(i % 251 for i in range(n)))
+        assert len(carriers) == m.CARRIERS and len(rest) == n - min(m.CARRIERS * m.CARRIER_BYTES, n // 2)
+        assert {len(c) for c in carriers} == {min(m.CARRIER_BYTES, n // 2)}
+
+
 def test_only_the_text_counts(spark, rng):
     learned = {"aa": sentence(random.Random(1), 900, 'water house green tree').encode(), "bb": sentence(random.Random(1), 900, 'pxlo zruk qwab vyxo').encode()}
     texts = odd_texts(rng) + ["green tree water house water", "zruk vyxo pxlo zruk qwab"]
