@@ -28,12 +28,12 @@ TABLES, SAMPLE = 24, 5
 GROUP = 32
 #: Hubs of a run in turn t: HUBS ** t; if no more than 4 * HUBS ** t pairs a member are left, all of them are tried.
 HUBS = 8
-#: A run's members meet its hubs in groups of about so many.
-SALT = 256
+#: A run's members meet its hubs in tiles of about so many of each.
+TILE = 1024
 #: A task contracts about so many links at a time, in some 50 MB.
 LINKS = 1 << 17
-#: 64-bit words of a signature.
-WORDS = 32
+#: 64-bit words of a signature: for shorter texts, and for the longest.
+WORDS, MOST_WORDS = 32, 1024
 
 
 def shingles(hashes, k: int = K):
@@ -156,8 +156,8 @@ def may_be_similar(a, b, least: float = SIMILARITY) -> bool:
     return longer - np.count_nonzero(both[1:] == both[:-1]) <= int((1 - least) * longer + 1e-9)
 
 
-def signature(hashes):
-    """The number of words, and WORDS 64-bit words with a bit for each word's hash and occurrence, flipped by each.
+def signature(hashes, size: int = WORDS):
+    """The number of words, and ``size`` 64-bit words with a bit for each word's hash and occurrence, flipped by each.
 
     A substitution changes two words, an insertion or deletion one, so that two signatures differ in no more than two
     bits an edit, less the difference in size; what they rule out is never similar.
@@ -165,10 +165,73 @@ def signature(hashes):
     import numpy as np
 
     labelled = shingles(hashes, 1)
-    bits = np.bincount((labelled * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    bits = np.bincount((labelled * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.int64) % (64 * size), minlength=64 * size) & 1
     return np.concatenate([[len(labelled)], np.packbits(bits.astype(np.uint8)).view(np.int64)])
 
 
+def signature_words(n: int) -> int:
+    """How many 64-bit words a text's signature has: a power of two, some 16 bits a word, so that few flips meet in a bit."""
+    return min(max(WORDS, 1 << max(n - 1, 0).bit_length() - 2 if n > 4 * WORDS else WORDS), MOST_WORDS)
+
+
+def folded(signatures, size: int):
+    """Signatures (rows) as they would be with fewer words: halves are laid over each other."""
+    while signatures.shape[1] > size:
+        half = signatures.shape[1] // 2
+        signatures = signatures[:, :half] ^ signatures[:, half:]
+    return signatures
+
+
+def may_pair(tile, least: float):
+    """Of a tile's rows (see untried()), the places of hubs and members that signatures don't rule out.
+
+    A pair counts in the first table in which its sketches are equal: that run tries it, or has done so.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    asks, every, hub = (tile.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "all", "hub"))
+    table, diagonal = tile.column("table")[0].as_py(), tile.column("i")[0].as_py() == tile.column("j")[0].as_py()
+    mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(mine) or not len(others):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    node, root = (np.array(tile.column(c).to_pylist(), "S16") for c in ("node", "root"))
+    earlier = pc.list_flatten(tile.column("sketches")).to_numpy().reshape(len(node), -1)[:, :table]
+    lengths = pc.list_value_length(tile.column("sign")).to_numpy(zero_copy_only=False).astype(np.int64)
+    values, starts = pc.list_flatten(tile.column("sign")).to_numpy(), np.cumsum(lengths) - lengths
+    n, levels = values[starts], lengths - 1
+    values = values.view(np.uint64)  # of signed numbers, bitwise_count() counts the magnitude's bits
+    # the members' signatures, by their size
+    by_level = {int(x): values[starts[at := others[levels[others] == x], None] + 1 + np.arange(x)] for x in np.unique(levels[others])}
+    place = np.zeros(len(node), np.int64)
+    for x in by_level:
+        at = others[levels[others] == x]
+        place[at] = np.arange(len(at))
+    short: dict = {}
+    ordered = diagonal or not every[0]  # else a pair is in one tile once
+    found = []
+    for h in mine.tolist():
+        longer = np.maximum(n[others], n[h])
+        ok = (root[others] != root[h]) & (np.minimum(n[others], n[h]) >= longer * least - 1e-9)
+        if ordered:
+            ok &= ~hub[others] | (node[others] > node[h])
+        at = others[ok]
+        at = at[~(earlier[at] == earlier[h]).any(axis=1)]
+        own = values[None, starts[h] + 1 : starts[h] + lengths[h]]
+        for x, rows in by_level.items():
+            if not len(b := at[levels[at] == x]):
+                continue
+            size = min(x, own.shape[1])
+            if (x, size) not in short:
+                short[x, size] = folded(rows, size)
+            differ = np.bitwise_count(short[x, size][place[b]] ^ folded(own, size)).sum(axis=1, dtype=np.int64)
+            # insertions and deletions, which a difference in size asks for, change one word and not two
+            b = b[differ + np.abs(n[b] - n[h]) <= np.maximum(n[b], n[h]) * (2 * (1 - least)) + 1e-9]
+            if len(b):
+                found.append((np.full(len(b), h), b))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, copy (a hash of the text), node (16 bytes; equal for texts with the same words), sketch.
 
@@ -336,37 +399,57 @@ def classes(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def untried(members: DataFrame, turn: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """Of runs with several classes (table, sketch, node, root, popular, sign; the run's size, within: its pairs in equal
-    classes, largest: its largest class): pairs (a: hub, b) of different classes to verify in this turn, and the members
-    of the runs that have more pairs than those.
+def untried(members: DataFrame, turn: int, least: float) -> DataFrame:
+    """Of runs with several classes (table, sketch, node, root, popular, sign, sketches, all: whether all pairs are tried in
+    this turn; the run's size and its largest class): pairs (a: hub, b) of different classes to verify in this turn.
 
     The first hub is a run's member whose sketches are the most frequent (in a star of copies, the original); later,
-    one outside of the run's largest class, and members chosen by hash. Pairs that signatures rule out are left out.
+    one outside of the run's largest class, and members chosen by hash. Hubs and members are dealt to tiles of bounded
+    size, whose tasks compare signatures: no pair is a row unless these leave it open.
     """
-    run = ["table", "sketch"]
-    all_of_it = (F.col("size") * F.col("size") - F.col("within")) / 2 <= F.col("size") * (4 * HUBS**turn)
-    m = members.withColumn("all", all_of_it)
-    best = m.filter(F.lit(turn == 0) | (F.col("root") != F.col("largest"))).groupBy(*run).agg(F.max(F.struct("popular", "node"))["node"].alias("best"))
-    m = m.join(written(best, "hubs"), run)
+    run, tile = ["table", "sketch"], ["table", "sketch", "i", "j"]
+    best = members.filter(F.lit(turn == 0) | (F.col("root") != F.col("largest"))).groupBy(*run).agg(F.max(F.struct("popular", "node"))["node"].alias("best"))
+    m = members.join(written(best, "hubs"), run)
     hub = F.col("all") | (F.col("node") == F.col("best"))
     if turn:
         hub |= F.pmod(F.xxhash64("node"), F.col("size")) < HUBS**turn
-    m = m.withColumn("hub", hub).withColumn("salts", F.ceil(F.col("size") / SALT).cast("int")).select("*", F.col("sign")[0].alias("n"), *[F.col("sign")[i + 1].alias(f"s{i}") for i in range(WORDS)]).drop("sign")
-    m = written(m, "hubs-and-members")
-    h = m.filter("hub").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("h")
-    r = m.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts")).cast("int")).alias("r")
-    differ = sum((F.bit_count(F.col(f"h.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("h.s0").bitwiseXOR(F.col("r.s0"))))
-    may = F.least("h.n", "r.n") >= F.greatest("h.n", "r.n") * least - 1e-9
-    # insertions and deletions, which a difference in size asks for, change one word and not two
-    may &= differ + F.abs(F.col("h.n") - F.col("r.n")) <= F.greatest("h.n", "r.n") * (2 * (1 - least)) + 1e-9
-    on = (F.col("h.table") == F.col("r.table")) & (F.col("h.sketch") == F.col("r.sketch")) & (F.col("h.salt") == F.col("r.salt"))
-    on &= (F.col("h.root") != F.col("r.root")) & (~F.col("r.hub") | (F.col("h.node") < F.col("r.node"))) & may
-    # a merge join at every size: the members grow with the documents
-    pairs = h.join(r.hint("merge"), on).select(F.col("h.node").alias("a"), F.col("r.node").alias("b"), "h.size")
+    blocks = F.ceil(F.col("size") / TILE).cast("int")
+    m = m.withColumns({"hub": hub, "blocks": blocks, "rows": F.when(F.col("all"), blocks).otherwise(F.ceil(F.least(F.col("size"), F.lit(HUBS**turn + 1)) / TILE).cast("int"))})
+    m = m.withColumns({"row": F.pmod(F.xxhash64("node", F.lit(3)), "rows").cast("int"), "block": F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int")})
+    # where all meet all, the tiles on one side of the diagonal are enough
+    of_members = F.transform(F.sequence(F.lit(0), F.when(F.col("all"), F.col("block")).otherwise(F.col("rows") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks")))
+    of_hubs = F.transform(F.sequence(F.when(F.col("all"), F.col("row")).otherwise(F.lit(0)), F.col("blocks") - 1), lambda j: F.struct(F.col("row").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    m = m.withColumn("tile", F.explode(F.when(F.col("hub"), F.concat(of_members, of_hubs)).otherwise(of_members)))
+    m = m.select(*run, "tile.*", "all", "hub", "size", "node", "root", "sketches", "sign").repartition(*tile).sortWithinPartitions(*tile)
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out(rows):
+            rows = rows.combine_chunks()
+            a, b = may_pair(rows, least)
+            nodes = rows.column("node")
+            return pa.RecordBatch.from_arrays([pa.array(nodes.take(pa.array(x)).to_pylist(), pa.binary()) for x in (a, b)] + [pa.array(rows.column("size").take(pa.array(a)).to_pylist(), pa.int64())], ["a", "b", "size"])
+
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in tile], axis=1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for start, stop in zip(starts, starts[1:]):
+                if held and key != keys[start].tolist():
+                    yield out(pa.Table.from_batches(held))
+                    held = []
+                key = keys[start].tolist()
+                held.append(batch.slice(start, stop - start))
+        if held:
+            yield out(pa.Table.from_batches(held))
+
+    pairs = m.mapInArrow(compare, "a binary, b binary, size long")
     # a hub has no more pairs than its runs have members
-    pairs = pairs.groupBy("a", "b").agg(F.max("size").alias("size")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / GROUP).cast("long")).alias("part"))
-    return written(pairs, "more-pairs"), m.filter("not all").select(*run, "node", "popular")
+    return written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / GROUP).cast("long")).alias("part")), "more-pairs")
 
 
 def linked(nodes: DataFrame, pairs: DataFrame, words_of: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -379,7 +462,7 @@ def linked(nodes: DataFrame, pairs: DataFrame, words_of: DataFrame, least: float
 
     @F.pandas_udf("array<long>")
     def sign(hashes: pd.Series) -> pd.Series:
-        return pd.Series([signature(h) for h in hashes])
+        return pd.Series([signature(h, signature_words(len(h))) for h in hashes])
 
     roots, run = classes(verified(pairs, words_of, least)), ["table", "sketch"]
     members, signs, turn = None, None, 0
@@ -397,9 +480,11 @@ def linked(nodes: DataFrame, pairs: DataFrame, words_of: DataFrame, least: float
             return roots
         popular = written(rooted.groupBy("node").agg(F.sum("size").alias("popular")), "popular")
         if signs is None:
-            signs = written(words_of.join(popular.select("node"), "node").select("node", sign("hashes").alias("sign")), "signatures")
-        more, members = untried(rooted.join(popular.join(signs, "node"), "node"), turn, least)
-        members = members.select(*run, "node")
+            signs = words_of.join(popular.select("node"), "node").select("node", sign("hashes").alias("sign"))
+            signs = written(signs.join(nodes.select("node", F.col("sketch").alias("sketches")), "node"), "signatures")
+        rooted = rooted.withColumn("all", (F.col("size") * F.col("size") - F.col("within")) / 2 <= F.col("size") * (4 * HUBS**turn))
+        more = untried(rooted.join(popular.join(signs, "node"), "node"), turn, least)
+        members = rooted.filter("not all").select(*run, "node")
         if turn == 0:
             first = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
             more = more.join(first, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")

@@ -169,6 +169,46 @@ def test_signatures_never_rule_out_what_is_similar():
             assert len(x) == 1 + m.WORDS and x[0] == n and differ <= 2 * m.edit_distance(w, v, 2 * n) - abs(len(v) - n)
 
 
+def test_larger_signatures_never_rule_out_what_is_similar():
+    """Signatures grow with the text, and larger ones are folded for the comparison with smaller ones."""
+    rng = random.Random(10)
+    for n in (125, 260, 1030, 5000):
+        for _ in range(20):
+            w = [rng.randrange(1 << 40) for _ in range(n)]
+            v = list(w)
+            for _ in range(rng.randrange(1 + n // 8)):
+                at = rng.randrange(len(v))
+                v[at : at + rng.randrange(2)] = [rng.randrange(1 << 40)] * rng.randrange(2)
+            x, y = (m.signature(np.array(z, np.int64), m.signature_words(len(z)))[None] for z in (w, v))
+            size = min(x.shape[1], y.shape[1]) - 1
+            assert m.WORDS <= size <= m.MOST_WORDS
+            a, b = m.folded(x[:, 1:], size), m.folded(y[:, 1:], size)
+            assert (a == m.signature(np.array(w, np.int64), size)[1:]).all()
+            assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= 2 * m.edit_distance(w, v, 2 * n) - abs(len(v) - n)
+
+
+@pytest.mark.parametrize("tile", [7, 1024])
+def test_pairs_of_a_large_group_that_is_not_similar(spark, make, monkeypatch, tile):
+    """300 texts that share a bit less than is enough, and three similar pairs of them: nearly no pair becomes a row."""
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(560)]
+    texts = [shared + [f"o{i}x{j}" for j in range(200)] for i in range(300)]
+    for i in (0, 100, 200):  # what an alignment finds: 130 of the own words are another's
+        texts[i + 1] = texts[i][:690] + [f"p{i}x{j}" for j in range(70)]
+    assert [m.similarity(texts[i], texts[i + 1]) >= m.SIMILARITY for i in (0, 100, 200, 5)] == [True, True, True, False]
+    monkeypatch.setattr(m, "TILE", tile)
+    rows, plain = [], m.verified
+
+    def counted(pairs, *args):
+        rows.append(pairs.count())
+        return plain(pairs, *args)
+
+    monkeypatch.setattr(m, "verified", counted)
+    got = {r["doc_id"]: r["class_id"] for r in m.near_duplicates(make([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: i - (i in (1, 101, 201)) for i in range(300)}
+    assert len(rows) > 1 and sum(rows[1:]) <= 300
+
+
 @pytest.mark.parametrize("at_a_time", [1, 7, 1 << 17])
 def test_closure_of_a_long_chain(spark, monkeypatch, at_a_time):
     monkeypatch.setattr(m, "LINKS", at_a_time)
