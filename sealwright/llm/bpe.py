@@ -14,13 +14,16 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lists
+
 NEVER = np.iinfo(np.int64).max
 #: Texts are divided into words so many characters at a time, which bounds a worker's memory to this or one text.
 PIECE_CHARS = 1 << 20
+BOTH = "ids binary, decoded string"
 
 
 class Merges:
@@ -281,10 +284,10 @@ def codec(path: str) -> Codec:
 def encoded(text: Column, tokenizer_path: str) -> Column:
     """The ids of each whole text as little-endian 32-bit integers in binary. Null and white space give no ids."""
 
-    @F.pandas_udf("binary")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series(list(codec(tokenizer_path).encode(_strings(batch))), index=batch.index, dtype=object)
+    @F.arrow_udf("binary")
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in lists(texts):
+            yield pa.array(codec(tokenizer_path).encode(part), pa.binary())
 
     return encode(text)
 
@@ -292,29 +295,30 @@ def encoded(text: Column, tokenizer_path: str) -> Column:
 def decoded(ids: Column, tokenizer_path: str) -> Column:
     """The text of encoded() as the library decodes it with skip_special_tokens=False. Null stays null."""
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda x: codec(tokenizer_path).decode(bytes(x)) if x is not None else None)
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in lists(batches):
+            yield pa.array([codec(tokenizer_path).decode(x) if x is not None else None for x in part], pa.string())
 
     return decode(ids)
 
 
-def _strings(batch: pd.Series) -> list[str | None]:
-    return [t if isinstance(t, str) else None for t in batch]
-
-
 def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """docs with __bpe: the struct of ids, and of the text that these decode to. One Python worker a task does both.
 
     All columns stay, and repeated rows are encoded each. No row moves, so no key is hot.
     """
 
-    @F.pandas_udf("ids binary, decoded string")
-    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = codec(tokenizer_path)
-        for batch in texts:
-            ids = list(own.encode(_strings(batch)))
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(map(own.decode, ids), dtype=object)})
+    @F.arrow_udf(BOTH)
+    def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return ids_and_texts(texts, tokenizer_path)
 
     return docs.withColumn("__bpe", both(F.col("text")))
+
+
+def ids_and_texts(arrays: Iterable[pa.Array], tokenizer_path: str) -> Iterator[pa.Array]:
+    """Structs BOTH of the texts. A batch is a task's whole share, so its parts are worked off and handed on one by one."""
+    own = codec(tokenizer_path)
+    for part in lists(arrays):
+        ids = list(own.encode(part))
+        yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.string())], ["ids", "decoded"])

@@ -48,20 +48,33 @@ def attempt_name(prefix: str, suffix: str) -> str:
     return f"{prefix}-{task.partitionId():06d}-{task.taskAttemptId()}{suffix}"
 
 
-def pieces(batches, text_column: str):
-    """The Arrow batches, cut so that each holds about PIECE_BYTES of text or a single row."""
+def cuts(values):
+    """(start, length) of the parts of an Arrow array of strings or binaries that hold about PIECE_BYTES or a single value each."""
     import pyarrow.compute as pc
 
+    start = total = 0
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
+    for i, size in enumerate(sizes):
+        if total and total + size > PIECE_BYTES:
+            yield start, i - start
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes) - start
+
+
+def pieces(batches, text_column: str):
+    """The Arrow batches, cut so that each holds about PIECE_BYTES of text or a single row."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_pylist()
-        start = total = 0
-        for i, size in enumerate(sizes):
-            if total and total + size > PIECE_BYTES:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += size
-        if start < len(sizes):
-            yield batch.slice(start)
+        for start, n in cuts(batch.column(text_column)):
+            yield batch.slice(start, n)
+
+
+def lists(arrays):
+    """The values of the Arrow arrays as Python lists of about PIECE_BYTES or a single value each."""
+    for values in arrays:
+        for start, n in cuts(values):
+            yield values.slice(start, n).to_pylist()
 
 
 def letters(text: Column) -> Column:

@@ -132,3 +132,21 @@ def test_query(spark, make, rng, library, tmp_path):
     docs = bpe.encode_and_decode(make(rows[:4]), PATH)
     assert "size" in docs.columns and docs.count() == 4
     assert bpe.encode_and_decode(make([]), PATH).collect() == []
+
+
+def test_a_batch_is_worked_off_in_parts(library, monkeypatch, rng):
+    """An Arrow batch is a task's whole share: no more than a part of it is held as texts, ids and decoded texts."""
+    import pyarrow as pa
+
+    from sealwright.llm import shared
+
+    texts, held, codec = [sentence(rng, 60) for _ in range(300)] + [None, sentence(rng, 3000), ""], [], bpe.Codec(PATH)
+    plain = codec.encode
+    monkeypatch.setattr(codec, "encode", lambda part: held.append(part) or plain(part))
+    monkeypatch.setattr(bpe, "codec", lambda path: codec)
+    monkeypatch.setattr(shared, "PIECE_BYTES", 10_000)
+    out = [r for part in bpe.ids_and_texts(iter([pa.array(texts), pa.array([], pa.string())]), PATH) for r in part.to_pylist()]
+    assert [t for part in held for t in part] == texts
+    assert all(len(part) == 1 or sum(len(t or "") for t in part) <= 10_000 for part in held)
+    for t, r, w in zip(texts, out, library.encode_batch([t or "" for t in texts], add_special_tokens=False), strict=True):
+        assert np.frombuffer(r["ids"], "<u4").tolist() == w.ids and r["decoded"] == library.decode(w.ids, skip_special_tokens=False)
