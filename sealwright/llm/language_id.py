@@ -11,13 +11,13 @@ for texts of all sizes, and each language has as many carriers, whatever the siz
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import letters
+from .shared import letters, lists
 
 #: The bound of what is learned from: so many texts a language, so many characters of each, so many bytes in all.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 96, 1500, 96 << 10
@@ -110,15 +110,22 @@ class Classifier:
 
 def predicted(text: Column, learned: dict[str, bytes]) -> Column:
     """A struct column (RESULT) of the text column. Null texts, and texts without a letter, are UNKNOWN and rejected."""
-    @F.pandas_udf(RESULT)
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        classifier = Classifier(learned)
-        for batch in texts:
-            yield pd.DataFrame([classifier.predict(x) for x in batch], columns=["lang_pred", "score", "margin", "rejected"])
+    @F.arrow_udf(RESULT)
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return predictions(texts, learned)
 
     return predict(letters(text))
 
 
+def predictions(texts: Iterable[pa.Array], learned: dict[str, bytes]) -> Iterator[pa.Array]:
+    """Structs RESULT of cleaned texts. A batch is a task's whole share, so its parts are worked off one by one."""
+    classifier = Classifier(learned)
+    fields = {"lang_pred": pa.string(), "score": pa.float64(), "margin": pa.float64(), "rejected": pa.bool_()}
+    for part in lists(texts):
+        columns = zip(*map(classifier.predict, part))
+        yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values())], list(fields))
+
+
 def identify(docs: DataFrame, learned: dict[str, bytes] | None = None) -> DataFrame:
     """docs (its columns named as those of RESULT are replaced) with the columns of RESULT; only the text is used."""
     learned = dictionaries(docs) if learned is None else learned

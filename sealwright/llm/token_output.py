@@ -10,7 +10,9 @@ two tables and decompresses only those documents' frames.
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,51 +29,46 @@ class WordIds(dict):
     """Ids of white-space-delimited words as little-endian bytes, computed when first asked for.
 
     Pieces never span white space in the tokenizers this is used with (checked in tests against whole-text
-    encoding), so a text's ids are those of its words in order. The latest ``most`` words are kept, and as many of the
-    ones before, and so are the plain parts of words.
+    encoding), so a text's ids are those of its words in order. A plain word's letters in lower case and its marks are
+    words themselves, so that each is held once. The latest ``most`` are kept, and as many of the ones before; workers
+    live on with them through later stages, so they are part of each stage's memory (some 100 MB a worker).
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 400_000):
+    def __init__(self, path: str, dtype: str, most: int = 300_000):
         import re
 
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.most = Tokenizer.from_file(path), dtype, most
+        self.tokenizer, self.code, self.most = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype], most
         self.plain = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
         self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
         self.merged = self.tokenizer.model.tokenize
         # U+001C to U+001F are white space to Python, but not to the tokenizer
         self.split = re.compile(r"[\S\x1c-\x1f]+").findall
 
-    def part(self, text: str) -> bytes:
-        """Ids of ASCII letters in lower case, or of ASCII marks: one pre-token, which normalizing leaves as it is."""
-        import numpy as np
-
-        if (found := self.parts.get(text)) is None:
-            if (found := self.old_parts.get(text)) is None:
-                found = np.array([t.id for t in self.merged(text)], self.dtype).tobytes()
-            if len(self.parts) >= self.most:
-                self.old_parts, self.parts = self.parts, {}
-            self.parts[text] = found
-        return found
-
     def __missing__(self, word: str) -> bytes:
-        import numpy as np
-
         if (ids := self.old.get(word)) is None:
             m = self.plain(word)
-            if m and "<|" not in word:
-                ids = self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
+            if not m or "<|" in word:
+                ids = self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            elif m[2]:
+                ids = self[m[1].lower()] + self[m[2]]
+            elif word.islower():  # ASCII letters in lower case: one pre-token, which normalizing leaves as it is
+                ids = self.packed([t.id for t in self.merged(word)])
             else:
-                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+                ids = self[word.lower()]
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def encode(self, text: str) -> bytes:
         odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
         return b"".join(map(self.__getitem__, self.split(text) if odd else text.split()))

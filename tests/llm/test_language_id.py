@@ -73,3 +73,18 @@ def test_nothing_to_learn_from(spark, make):
 def test_columns_with_the_results_names_are_replaced(spark, make):
     out = m.identify(make([(1, "text", "s")]), {"aa": b"text text"})
     assert out.columns.count("score") == 1 and out.first()["score"] == 1.0
+
+
+def test_a_batch_is_worked_off_in_parts(spark, monkeypatch, rng):
+    """An Arrow batch is a task's whole share: no more than a part of it is held as texts and rows."""
+    import pyarrow as pa
+
+    from sealwright.llm import shared
+
+    learned = m.dictionaries(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    texts = [sentence(rng, 20) for _ in range(100)] + [None, "", sentence(rng, 2000), " "]
+    monkeypatch.setattr(shared, "PIECE_BYTES", 5000)
+    parts = list(m.predictions(iter([pa.array(texts), pa.array([], pa.string())]), learned))
+    assert len(parts) > 3 and max(map(len, parts)) < 100
+    classifier = m.Classifier(learned)
+    assert [tuple(r.values()) for part in parts for r in part.to_pylist()] == list(map(classifier.predict, texts))

@@ -30,6 +30,19 @@ def test_separators_are_tokens():
     assert [np.frombuffer(enc.encode(x), "<u2").tolist() for x in texts] == whole(texts)
 
 
+def test_words_kept_are_bounded(rng):
+    """Workers keep them through later stages: a word's letters and marks aren't kept beside the words, once more."""
+    texts = [" ".join("".join(rng.choice("abcdeAB") for _ in range(rng.randrange(1, 7))) + rng.choice(["", "", ".", ",", "!?", "'", "'s"]) for _ in range(200)) for _ in range(30)]
+    enc = t.WordIds(PATH, "<u2", most=100)
+    for text, want in zip(texts, whole(texts), strict=True):
+        assert np.frombuffer(enc.encode(text), "<u2").tolist() == want
+        assert sum(len(x) for x in [enc, *vars(enc).values()] if isinstance(x, dict)) <= 200
+    enc = t.WordIds(PATH, "<u2")
+    enc.encode("Stone, stone. STONE stone")
+    assert set(enc) == {"Stone,", "stone", ",", "stone.", ".", "STONE"}
+    assert t.WordIds(PATH, "<u4").encode(texts[0]) == np.array(whole(texts[:1])[0], "<u4").tobytes()
+
+
 def test_round_trip_and_single_frames(rng):
     class Out(io.BytesIO):
         def close(self):
