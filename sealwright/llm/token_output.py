@@ -29,9 +29,9 @@ class WordIds(dict):
     """Ids of white-space-delimited words as little-endian bytes, computed when first asked for.
 
     Pieces never span white space in the tokenizers this is used with (checked in tests against whole-text
-    encoding), so a text's ids are those of its words in order. A plain word's letters in lower case and its marks are
-    words themselves, so that each is held once. The latest ``most`` are kept, and as many of the ones before; workers
-    live on with them through later stages, so they are part of each stage's memory (some 100 MB a worker).
+    encoding), so a text's ids are those of its words in order. A plain word's letters (ASCII or Latin-1) in lower case
+    and its marks are words themselves, so that each is held once. The latest ``most`` are kept, and as many of the ones
+    before; workers live on with them through later stages, so they are part of each stage's memory (some 100 MB a worker).
     """
 
     def __init__(self, path: str, dtype: str, most: int = 300_000):
@@ -40,7 +40,10 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.code, self.most = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype], most
-        self.plain = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        # of letters and marks; NFC keeps these letters, and their lower case is a character's own
+        self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        as_bytes = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.as_bytes = [as_bytes(c)[0][0] if c.isalpha() else c for c in map(chr, range(0x100))]
         self.old: dict[str, bytes] = {}
         self.merged = self.tokenizer.model.tokenize
         # U+001C to U+001F are white space to Python, but not to the tokenizer
@@ -53,8 +56,8 @@ class WordIds(dict):
                 ids = self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
             elif m[2]:
                 ids = self[m[1].lower()] + self[m[2]]
-            elif word.islower():  # ASCII letters in lower case: one pre-token, which normalizing leaves as it is
-                ids = self.packed([t.id for t in self.merged(word)])
+            elif word.islower():  # letters in lower case: one pre-token, which normalizing leaves as it is
+                ids = self.packed([t.id for t in self.merged(word if word.isascii() else word.translate(self.as_bytes))])
             else:
                 ids = self[word.lower()]
         if len(self) >= self.most:
