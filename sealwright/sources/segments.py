@@ -6,11 +6,14 @@ a frame that is cut short or whose lengths disagree ends its segment with a torn
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from ..constants import FORMAT_VERSION, HEADER_BYTES, MAGIC
 from ..errors import LogFormatError, SealError
 
-NAME = re.compile(r"audit-(\d{4})\.cbor$")
+NAME = re.compile(r"audit-(\d{4})\.cbor")
 FRAMES = "log_id string, segment_index int, file_offset long, payload_bytes binary, hmac binary, torn boolean"
 SEGMENTS = "log_id string, segment_index int, header binary, file_bytes long"
 
@@ -118,35 +121,96 @@ def write_segments(sealed: DataFrame, folder: str, key_id: bytes, token: str | N
     return sealed.mapInArrow(write, "log_id string, segment_index int, path string, bytes long")
 
 
-class SegmentFile(InputPartition):
-    def __init__(self, log_id: str, segment: int, path: str, start: int = HEADER_BYTES, end: int | None = None):
-        self.log_id, self.segment, self.path, self.start, self.end = log_id, segment, path, start, end
-
-
-def list_segments(folder: str) -> list[tuple[str, int, str, int]]:
-    """(log_id, segment, path, bytes) of a log's or a store's files, in order; raises if the folder is missing."""
+def list_logs(folder: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+    """(log_id, place below the folder, (segment, bytes) in order) of a log or of a store's, one listed at a time; raises if the folder is missing."""
     from pyarrow import fs as pafs
 
-    fs, base = filesystem(folder)
+    fs, base = filesystem(folder.rstrip("/"))
     if fs.get_file_info(base).type != pafs.FileType.Directory:
         raise LogFormatError(f"no folder {folder}")
-    prefix, out = folder.rstrip("/"), []
-    for info in fs.get_file_info(pafs.FileSelector(base, recursive=True)):
-        if info.type == pafs.FileType.File and (m := NAME.search(info.base_name)):
-            log = info.path[: -len(info.base_name) - 1][len(base.rstrip("/")) :].strip("/")
-            out.append((log or base.rstrip("/").rsplit("/", 1)[1], int(m[1]), prefix + info.path[len(base.rstrip("/")) :], info.size))
-    return sorted(out)
+    ahead = [""]
+    while ahead:
+        place = ahead.pop()
+        files, folders = [], []
+        for info in fs.get_file_info(pafs.FileSelector(f"{base}/{place}".rstrip("/"), allow_not_found=True)):
+            if info.type == pafs.FileType.Directory:
+                folders.append(f"{place}/{info.base_name}".lstrip("/"))
+            elif info.type == pafs.FileType.File and (m := NAME.fullmatch(info.base_name)):
+                files.append((int(m[1]), info.size))
+        if files:
+            yield place or base.rsplit("/", 1)[1], place, sorted(files)
+        ahead += sorted(folders, reverse=True)
 
 
-class SegmentFiles(InputPartition):
-    """Segments that one task reads: small ones together."""
+def segment_path(folder: str, place: str, segment: int) -> str:
+    return f"{folder.rstrip('/')}/{place}{'/' if place else ''}audit-{segment:04d}.cbor"
 
-    def __init__(self, files: list[SegmentFile]):
-        self.files = files
 
-
-#: Bytes of a task's segments, each counting for some more, as opening it costs something.
-TASK_BYTES, OPEN_BYTES = 32 << 20, 1 << 20
+def list_segments(folder: str) -> list[tuple[str, int, str, int]]:
+    """(log_id, segment, path, bytes) of a log's or a store's files, in order; for stores of few files, others take list_logs()."""
+    return sorted((log, seg, segment_path(folder, place, seg), size) for log, place, files in list_logs(folder) for seg, size in files)
+
+
+class SegmentRun(NamedTuple):
+    """Segments of a log that follow each other: from ``begin`` in the first to ``stop`` in the last, whole ones between."""
+
+    log_id: str
+    place: str
+    first: int
+    begin: int
+    last: int
+    stop: int
+
+
+class SegmentRuns(InputPartition):
+    """Runs that one task reads: small ones together."""
+
+    def __init__(self, runs: list[SegmentRun]):
+        self.runs = runs
+
+    @property
+    def segment(self) -> int:
+        return self.runs[0].first
+
+
+#: Bytes of a task's segments, each counting for some more, as opening it costs something; of a run. So few segments get a
+#: task each, and there are about so many tasks at most.
+TASK_BYTES, OPEN_BYTES, RUN_BYTES, FEW, MOST_TASKS = 32 << 20, 64 << 10, 1 << 20, 64, 2000
+
+
+def in_tasks(segments: Iterator[SegmentRun], headers: bool = False) -> list[SegmentRuns]:
+    """Tasks of runs of one segment each, which come log by log in order. What is kept of a log's segments is a row a run, not a row a segment."""
+    cost = lambda r: OPEN_BYTES + (0 if headers else r.stop - r.begin)
+    few = list(itertools.islice(segments, FEW + 1))
+    if len(few) <= FEW:
+        return [SegmentRuns([r]) for r in few]
+    runs: list[SegmentRun] = []
+    costs = array("q")
+    for r in itertools.chain(few, segments):
+        last = runs[-1] if runs else None
+        if last and (last.place, last.last + 1, HEADER_BYTES) == (r.place, r.first, r.begin) and costs[-1] + cost(r) <= RUN_BYTES:
+            runs[-1] = last._replace(last=r.last, stop=r.stop)
+            costs[-1] += cost(r)
+        else:
+            runs.append(r)
+            costs.append(cost(r))
+    most, out, size = max(TASK_BYTES, sum(costs) // MOST_TASKS), [], 0
+    for run, n in zip(runs, costs):
+        if not out or size + n > most:
+            out.append(SegmentRuns([]))
+            size = 0
+        out[-1].runs.append(run)
+        size += n
+    return out
+
+
+def opened(folder: str, runs: list[SegmentRun]) -> Iterator[tuple]:
+    """(log_id, segment, file, begin, end) of each segment of the runs, open while it is the iterator's turn."""
+    for r in runs:
+        for seg in range(r.first, r.last + 1):
+            fs, at = filesystem(segment_path(folder, r.place, seg))
+            with fs.open_input_file(at) as source:
+                yield r.log_id, seg, source, r.begin if seg == r.first else HEADER_BYTES, r.stop if seg == r.last else source.size()
 
 
 class SegmentReader(DataSourceReader):
@@ -155,73 +219,67 @@ class SegmentReader(DataSourceReader):
         self.low, self.high = int(options.get("first_segment", 0)), int(options.get("last_segment", 1 << 16))
 
     def partitions(self):
-        out, size = [SegmentFiles([])], 0
-        for log, seg, path, length in list_segments(self.folder):
-            if self.low <= seg <= self.high:
-                cost = OPEN_BYTES + (length if self.kind == "frames" else 0)
-                if size and size + cost > TASK_BYTES:
-                    out.append(SegmentFiles([]))
-                    size = 0
-                out[-1].files.append(SegmentFile(log, seg, path))
-                size += cost
-        return out
+        found = (SegmentRun(log, place, seg, HEADER_BYTES, seg, size) for log, place, files in list_logs(self.folder) for seg, size in files if self.low <= seg <= self.high)
+        return in_tasks(found, self.kind == "segments") or [SegmentRuns([])]
 
     def read(self, partition):
         from .ranges import frames_between
 
-        for file in partition.files:
-            fs, at = filesystem(file.path)
-            with fs.open_input_file(at) as source:
-                if self.kind == "segments":
-                    yield file.log_id, file.segment, source.read(HEADER_BYTES), source.size()
-                    continue
-                for offset, payload, signed, torn in frames_between(source, file.start, source.size()):
-                    yield file.log_id, file.segment, offset, payload, signed, torn
+        for log, seg, source, begin, _ in opened(self.folder, partition.runs):
+            if self.kind == "segments":
+                yield log, seg, source.read(HEADER_BYTES), source.size()
+                continue
+            for offset, payload, signed, torn in frames_between(source, begin, source.size()):
+                yield log, seg, offset, payload, signed, torn
+
+
+def _placed(offset: str | None, otherwise: tuple[int, int]) -> tuple[int, int]:
+    if offset is None:
+        return otherwise
+    segment, _, at = offset.partition(":")
+    return int(segment), int(at)
 
 
 class SegmentStream(DataSourceStreamReader):
     """Follows a live store. A log's offset is its last segment and how far whole frames of it were read.
 
-    Earlier segments are retired: they are read to their end once, and never looked at again. Each trigger lists the files;
-    it opens a file only if that grew, and walks the heads of the frames that are new. A frame that isn't whole yet waits.
+    Earlier segments are retired: they are read to their end once, and never looked at again. Each trigger lists the files,
+    log by log; of a log it opens the last file, if that grew, and walks the heads of the frames that are new. A frame that
+    isn't whole yet waits. What the driver holds is an offset a log.
     With max_bytes_per_trigger a batch takes about so many bytes of each log at most, so a backlog is worked off in steps
     (an availableNow run then takes one step; the first batch after a restart isn't limited, as its start isn't known yet).
     """
 
     def __init__(self, options: dict):
         self.folder, self.limit = options["path"], int(options.get("max_bytes_per_trigger", 0))
-        self.at: dict[str, tuple[int, int]] = {}
+        self.at: dict[str, str] = {}
         self.known_start = False
-        self.seen: dict[str, int] = {}
+        #: The size up to which a log's segment at its offset was looked through.
+        self.seen: dict[str, tuple[int, int]] = {}
 
     def initialOffset(self):
         self.known_start = True
         return {}
 
     def latestOffset(self):
-        by_log: dict[str, list] = {}
-        for log, seg, path, size in list_segments(self.folder):
-            by_log.setdefault(log, []).append((seg, path, size))
-        for log, files in by_log.items():
-            seg, offset = self.at.get(log, (files[0][0], HEADER_BYTES))
-            room = self.limit if self.limit and self.known_start else None
-            for n, path, size in files:
+        limit = self.limit if self.known_start else 0
+        for log, place, files in list_logs(self.folder):
+            seg, offset = _placed(self.at.get(log), (files[0][0], HEADER_BYTES))
+            room = limit or None
+            for n, size in files if limit else files[-1:]:
                 if n < seg or room is not None and room <= 0:
                     continue
                 if n > seg:
                     seg, offset = n, HEADER_BYTES
-                if self.seen.get(path) != size:
-                    end = self._whole(path, size, offset, room)
+                if self.seen.get(log) != (n, size):
+                    end = self._whole(segment_path(self.folder, place, n), size, offset, room)
                     room = None if room is None else room - (end - offset)
                     if room is None or room > 0:
-                        self.seen = {**self.seen, path: size}
+                        self.seen[log] = (n, size)
                     offset = end
-            self.at[log] = (seg, offset)
-            for n, path, _ in files:
-                if n < seg:
-                    self.seen.pop(path, None)
+            self.at[log] = f"{seg}:{offset}"
         self.known_start = True
-        return {log: f"{seg}:{offset}" for log, (seg, offset) in sorted(self.at.items())}
+        return dict(sorted(self.at.items()))
 
     def _whole(self, path: str, size: int, offset: int, room: int | None) -> int:
         """The end of the whole frames behind offset, or of as many as there is room for."""
@@ -237,26 +295,29 @@ class SegmentStream(DataSourceStreamReader):
         return offset
 
     def partitions(self, start: dict, end: dict):
-        start, end = ({log: tuple(map(int, place.split(":"))) for log, place in (json.loads(x) if isinstance(x, str) else x).items()} for x in (start, end))
-        self.at = {**end, **{log: max(place, end.get(log, place)) for log, place in self.at.items()}}
+        start, end = (json.loads(x) if isinstance(x, str) else x for x in (start, end))
+        for log, offset in end.items():
+            if log not in self.at or _placed(self.at[log], (0, 0)) < _placed(offset, (0, 0)):
+                self.at[log] = offset
         self.known_start = True
-        out = []
-        for log, seg, path, size in list_segments(self.folder):
-            last, stop = end.get(log, (-1, 0))
-            first, begin = start.get(log, (-1, HEADER_BYTES))
-            if first <= seg <= last:
-                here = SegmentFile(log, seg, path, begin if seg == first else HEADER_BYTES, stop if seg == last else size)
-                if here.start < here.end:
-                    out.append(here)
-        return out
+        return in_tasks(self._between(start, end))
+
+    def _between(self, start: dict, end: dict) -> Iterator[SegmentRun]:
+        for log, place, files in list_logs(self.folder):
+            last, stop = _placed(end.get(log), (-1, 0))
+            first, begin = _placed(start.get(log), (-1, HEADER_BYTES))
+            for seg, size in files:
+                if first <= seg <= last:
+                    here = SegmentRun(log, place, seg, begin if seg == first else HEADER_BYTES, seg, stop if seg == last else size)
+                    if here.begin < here.stop:
+                        yield here
 
     def read(self, partition):
         from .ranges import frames_between
 
-        fs, at = filesystem(partition.path)
-        with fs.open_input_file(at) as source:
-            for offset, payload, signed, torn in frames_between(source, partition.start, partition.end):
-                yield partition.log_id, partition.segment, offset, payload, signed, torn
+        for log, seg, source, begin, stop in opened(self.folder, partition.runs):
+            for offset, payload, signed, torn in frames_between(source, begin, stop):
+                yield log, seg, offset, payload, signed, torn
 
 
 class AuditLogs(DataSource):
@@ -287,7 +348,7 @@ class AuditLogs(DataSource):
 
 def read_log(spark: SparkSession, folder: str, first_segment: int = 0, last_segment: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
     """(frames, segments) of a log or store, for operators.verify and operators.query; of some of its segments only."""
-    list_segments(folder)  # a missing folder is an error at once
+    next(list_logs(folder), None)  # a missing folder is an error at once
     spark.dataSource.register(AuditLogs)
     source = spark.read.format("audit_logs").option("first_segment", first_segment).option("last_segment", last_segment)
     return source.load(folder), source.option("rows", "segments").load(folder)

@@ -230,6 +230,37 @@ def test_an_idle_trigger_opens_no_file(spark, key, written, monkeypatch):
     assert again.partitions(grown, grown) == []
 
 
+def test_a_tail_of_many_logs_takes_few_tasks(tmp_path, monkeypatch):
+    """The driver opens a log's last segment only, and a task reads segments of many logs."""
+    from sealwright.sources import segments
+
+    for log in range(100):
+        for seg in (0, 1, 2, 5) if log % 2 else (0, 1, 2):
+            os.makedirs(tmp_path / f"l{log}" / "deep", exist_ok=True)
+            (tmp_path / f"l{log}" / "deep" / f"audit-{seg:04d}.cbor").write_bytes(header(seg, bytes(32), bytes(32)) + b"".join(frame(b"%d %d %d" % (log, seg, i), bytes(32)) for i in range(log % 5)))
+    (tmp_path / "l3" / "deep" / "audit-0001.cbor").open("ab").write(b"torn")
+    (tmp_path / "l3" / "deep" / "old-audit-0001.cbor").write_bytes(bytes(100))
+    walked = []
+    plain = segments.SegmentStream._whole
+    monkeypatch.setattr(segments.SegmentStream, "_whole", lambda self, *a: walked.append(a) or plain(self, *a))
+    stream = segments.SegmentStream({"path": str(tmp_path)})
+    end = stream.latestOffset()
+    assert len(walked) == 100 and len(end) == 100
+    tasks = stream.partitions({}, end)
+    assert len(tasks) == 1 and len(segments.SegmentReader({"path": str(tmp_path)}).partitions()) == 1
+    want = sorted((log, seg, *f) for log, seg, file, _ in list_segments(str(tmp_path)) for f in frames_of(open(file, "rb").read()))
+    assert len(want) == 701 and sorted(r for p in tasks for r in stream.read(p)) == want
+    monkeypatch.setattr(segments, "TASK_BYTES", 10 * segments.OPEN_BYTES)
+    monkeypatch.setattr(segments, "RUN_BYTES", 2 * segments.OPEN_BYTES)
+    tasks = stream.partitions({}, end)
+    assert 25 <= len(tasks) <= 70 and sorted(r for p in tasks for r in stream.read(p)) == want
+    monkeypatch.setattr(segments, "MOST_TASKS", 5)
+    assert len(stream.partitions({}, end)) <= 6
+    (tmp_path / "l4" / "deep" / "audit-0002.cbor").open("ab").write(frame(b"more", bytes(32)))
+    grown = stream.latestOffset()
+    assert [r[3] for p in stream.partitions(end, grown) for r in stream.read(p)] == [b"more"] and len(walked) == 101
+
+
 def test_a_backlog_is_worked_off_in_steps(spark, key, written):
     from sealwright.sources import segments
 
