@@ -19,7 +19,7 @@ from .operators.seal import SealConfig, record_inputs, seal
 from .operators.verify import VerifyOptions, verify_files
 from .sources.lease import Lease
 from .sources.ranges import reachable, read_ranges, segment_files
-from .sources.segments import list_segments, read_log, write_segments
+from .sources.segments import list_logs, read_log, write_segments
 from .sources.shared import stored
 
 INPUT = "log_id string, seq long, ts_wall string, ts_mono_delta long, actor string, event string, payload binary, schema_version long"
@@ -109,7 +109,7 @@ class LogStore:
         from .errors import LogFormatError
 
         try:
-            return bool(list_segments(self.folder))
+            return any(True for _ in list_logs(self.folder))
         except LogFormatError:
             return False
 

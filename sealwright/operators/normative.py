@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..constants import FORMAT_VERSION, HEADER_BODY, HEADER_BYTES
 from ..functions import cbor
-from ..sources.segments import filesystem, frames_of, list_segments
+from ..sources.ranges import segment_files
+from ..sources.segments import filesystem, frames_of
 from .walk import millis
 
 #: The evidence of each kind, by subkind where it has several, and the types of its fields.
@@ -146,7 +147,7 @@ def normative_report(spark: SparkSession, folder: str, report: DataFrame, key_id
 
     ``report`` has verify()'s rows of the logs below folder. Raises where evidence isn't exactly its kind's.
     """
-    files = spark.createDataFrame(list_segments(folder), "log_id string, segment_index int, path string, size long").drop("size")
+    files = segment_files(spark, folder).drop("file_bytes")
     first = F.get("violations", F.lit(0))
     rows = report.select("log_id", "segments_inspected", "records_inspected", "first_segment_index", "last_segment_index", "final_hmac_hex", first.alias("v"))
     mine = files.select(F.col("log_id").alias("l"), F.col("segment_index").alias("s"), "path")

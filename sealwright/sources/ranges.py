@@ -8,6 +8,7 @@ while their file has the size it had, and whatever isn't indexed is read whole.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,20 +18,44 @@ from ..constants import HEADER_BYTES
 from ..functions import cbor
 from ..functions.expressions import glob
 from ..functions.records import parsed
-from .segments import FRAMES, filesystem, frames_of, list_segments
+from .segments import FRAMES, existing, filesystem, frames_of, list_logs, segment_path
 
 SEGMENT_FILES = "log_id string, segment_index int, path string, file_bytes long"
 INDEX = f"{SEGMENT_FILES}, start long, end long, frames long, first_record_id decimal(20,0), last_record_id decimal(20,0), first_ts string, last_ts string, actors array<string>, events array<string>, actors_bloom binary, events_bloom binary"
 INDEX_FOLDER = "_index"
 #: Bytes of frames of an index row; distinct values listed in it; bytes and bits a value of its Bloom filters.
 EVERY, LISTED, BLOOM_BYTES, BLOOM_BITS = 256 << 10, 32, 512, 4
+FILE_COLUMNS = [x.split()[0] for x in SEGMENT_FILES.split(", ")]
 #: Frames are read in pieces of at least this many bytes.
 PIECE = 4 << 20
 
 
 def segment_files(spark: SparkSession, folder: str) -> DataFrame:
-    """A row a segment file, from one listing."""
-    return spark.createDataFrame(list_segments(folder), SEGMENT_FILES)
+    """A row a segment file. A task lists the folder itself and others the logs in it, so no listing passes through the driver.
+
+    Each use of the rows lists anew. They come from an RDD, whose size Spark takes for unknown, so that no join broadcasts
+    them by what their folders' names would let it expect.
+    """
+    existing(folder)
+
+    def places(_):
+        from pyarrow import fs as pafs
+
+        fs, base = existing(folder)
+        yield 0, ""
+        for found in fs.get_file_info(pafs.FileSelector(base)):
+            if found.type == pafs.FileType.Directory:
+                yield zlib.crc32(found.base_name.encode()), found.base_name
+
+    def files(dealt):
+        for _, place in dealt:
+            for log, at, found in list_logs(folder, place, place != ""):
+                for seg, size in found:
+                    yield log, seg, segment_path(folder, at, seg), size
+
+    context = spark.sparkContext
+    dealt = context.parallelize([0], 1).mapPartitions(places).partitionBy(context.defaultParallelism * 4, int)
+    return spark.createDataFrame(dealt.mapPartitions(files), SEGMENT_FILES, verifySchema=False)
 
 
 def _spread(files: DataFrame) -> DataFrame:
@@ -217,15 +242,15 @@ class Wanted:
 def ranges(spark: SparkSession, folder: str, wanted: Wanted = Wanted()) -> DataFrame:
     """Ranges to read: the index's that may have what is wanted, and all of the files that the index doesn't cover."""
     files, index = segment_files(spark, folder).filter(wanted.files()), read_index(spark, folder)
-    whole = files.select("*", F.lit(HEADER_BYTES).cast("long").alias("start"), F.col("file_bytes").alias("end"))
     if index is None:
-        return whole
-    keys = ["log_id", "segment_index", "path", "file_bytes"]
-    # indexing that was repeated gives equal rows
-    current = index.join(files, keys, "left_semi").dropDuplicates([*keys, "start"])
-    covered = current.groupBy(*keys).agg(F.max("end").alias("covered"))
-    rest = whole.join(covered, keys, "left").filter("covered is null or covered < end").withColumn("start", F.coalesce("covered", "start")).select(whole.columns)
-    return current.filter(wanted.blocks()).select(whole.columns).unionByName(rest)
+        return files.select("*", F.lit(HEADER_BYTES).cast("long").alias("start"), F.col("file_bytes").alias("end"))
+    # indexing that was repeated gives equal rows; the files are listed once, so that both kinds of ranges are of one listing
+    blocks = index.filter(wanted.files()).dropDuplicates([*FILE_COLUMNS, "start"]).groupBy(*FILE_COLUMNS)
+    blocks = blocks.agg(F.max("end").alias("covered"), F.collect_list(F.when(wanted.blocks(), F.struct("start", "end"))).alias("blocks"))
+    from_here = F.coalesce("covered", F.lit(HEADER_BYTES).cast("long"))
+    rest = F.when(F.col("covered").isNull() | (F.col("covered") < F.col("file_bytes")), F.array(F.struct(from_here.alias("start"), F.col("file_bytes").alias("end"))))
+    none = F.array().cast("array<struct<start:long,end:long>>")
+    return files.join(blocks, FILE_COLUMNS, "left").select(*FILE_COLUMNS, F.inline(F.concat(F.coalesce("blocks", none), F.coalesce(rest, none))))
 
 
 def reachable(files: DataFrame) -> DataFrame:

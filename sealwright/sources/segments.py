@@ -121,20 +121,32 @@ def write_segments(sealed: DataFrame, folder: str, key_id: bytes, token: str | N
     return sealed.mapInArrow(write, "log_id string, segment_index int, path string, bytes long")
 
 
-def list_logs(folder: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(log_id, place below the folder, (segment, bytes) in order) of a log or of a store's, one listed at a time; raises if the folder is missing."""
+def existing(folder: str):
+    """filesystem() of a folder; raises if it is missing."""
     from pyarrow import fs as pafs
 
     fs, base = filesystem(folder.rstrip("/"))
     if fs.get_file_info(base).type != pafs.FileType.Directory:
         raise LogFormatError(f"no folder {folder}")
-    ahead = [""]
+    return fs, base
+
+
+def list_logs(folder: str, place: str = "", deep: bool = True) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+    """(log_id, place below the folder, (segment, bytes) in order) of a log or of a store's, one listed at a time; raises if the folder is missing.
+
+    Of what lies at a place only, and without the folders in it if not deep.
+    """
+    from pyarrow import fs as pafs
+
+    fs, base = existing(folder)
+    ahead = [place]
     while ahead:
         place = ahead.pop()
         files, folders = [], []
         for info in fs.get_file_info(pafs.FileSelector(f"{base}/{place}".rstrip("/"), allow_not_found=True)):
             if info.type == pafs.FileType.Directory:
-                folders.append(f"{place}/{info.base_name}".lstrip("/"))
+                if deep:
+                    folders.append(f"{place}/{info.base_name}".lstrip("/"))
             elif info.type == pafs.FileType.File and (m := NAME.fullmatch(info.base_name)):
                 files.append((int(m[1]), info.size))
         if files:
@@ -348,7 +360,7 @@ class AuditLogs(DataSource):
 
 def read_log(spark: SparkSession, folder: str, first_segment: int = 0, last_segment: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
     """(frames, segments) of a log or store, for operators.verify and operators.query; of some of its segments only."""
-    next(list_logs(folder), None)  # a missing folder is an error at once
+    existing(folder)  # a missing folder is an error at once
     spark.dataSource.register(AuditLogs)
     source = spark.read.format("audit_logs").option("first_segment", first_segment).option("last_segment", last_segment)
     return source.load(folder), source.option("rows", "segments").load(folder)

@@ -9,7 +9,7 @@ from sealwright.functions.records import parsed
 from sealwright.operators import query as q
 from sealwright.operators.seal import SealConfig, record_inputs, seal
 from sealwright.sources import ranges as r
-from sealwright.sources.segments import FRAMES, filesystem, read_log, write_segments
+from sealwright.sources.segments import FRAMES, filesystem, list_segments, read_log, write_segments
 
 from . import vectors as v
 
@@ -53,6 +53,19 @@ def test_found_by_ranges_as_by_reading_all(spark, store, wanted):
     assert planned < total * 0.45
 
 
+def test_files_are_listed_in_tasks(spark, store, tmp_path):
+    """No file's row is in a plan, and one listing serves both kinds of ranges."""
+    for name in ("audit-0000.cbor", "a/audit-0007.cbor", "a/b/c/audit-0001.cbor", "a/b/c/old-audit-0001.cbor", "d/audit-1.cbor"):
+        os.makedirs(tmp_path / os.path.dirname(name), exist_ok=True)
+        (tmp_path / name).write_bytes(bytes(len(name)))
+    for folder in (store, str(tmp_path), f"{tmp_path}/"):
+        files = r.segment_files(spark, folder)
+        assert sorted(map(tuple, files.collect())) == list_segments(folder)
+        plan = r.ranges(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert "LocalRelation" not in plan and plan.count("LogicalRDD") == 1
+    assert [(log, seg) for log, seg, _, _ in list_segments(str(tmp_path))] == [("a", 7), ("a/b/c", 1), (tmp_path.name, 0)]
+
+
 def test_a_seek_reads_under_one_percent(spark, store):
     """Bytes that the source hands out, counted at the file."""
     wanted = r.Wanted("log1", 1, 7, 8)
