@@ -18,7 +18,7 @@ from ..constants import HEADER_BYTES
 from ..functions import cbor
 from ..functions.expressions import glob
 from ..functions.records import parsed
-from .segments import FRAMES, existing, filesystem, frames_of, list_logs, segment_path
+from .segments import FRAMES, SEGMENTS, existing, filesystem, frames_of, list_logs, segment_path
 
 SEGMENT_FILES = "log_id string, segment_index int, path string, file_bytes long"
 INDEX = f"{SEGMENT_FILES}, start long, end long, frames long, first_record_id decimal(20,0), last_record_id decimal(20,0), first_ts string, last_ts string, actors array<string>, events array<string>, actors_bloom binary, events_bloom binary"
@@ -30,11 +30,11 @@ FILE_COLUMNS = [x.split()[0] for x in SEGMENT_FILES.split(", ")]
 PIECE = 4 << 20
 
 
-def segment_files(spark: SparkSession, folder: str) -> DataFrame:
+def segment_files(spark: SparkSession, folder: str, dealt_by_file: bool = False) -> DataFrame:
     """A row a segment file. A task lists the folder itself and others the logs in it, so no listing passes through the driver.
 
     Each use of the rows lists anew. They come from an RDD, whose size Spark takes for unknown, so that no join broadcasts
-    them by what their folders' names would let it expect.
+    them by what their folders' names would let it expect. Those that are dealt by file are ready to be read.
     """
     existing(folder)
 
@@ -54,8 +54,10 @@ def segment_files(spark: SparkSession, folder: str) -> DataFrame:
                     yield log, seg, segment_path(folder, at, seg), size
 
     context = spark.sparkContext
-    dealt = context.parallelize([0], 1).mapPartitions(places).partitionBy(context.defaultParallelism * 4, int)
-    return spark.createDataFrame(dealt.mapPartitions(files), SEGMENT_FILES, verifySchema=False)
+    found = context.parallelize([0], 1).mapPartitions(places).partitionBy(context.defaultParallelism * 4, int).mapPartitions(files)
+    if dealt_by_file:
+        found = found.map(lambda f: (zlib.crc32(f[2].encode()), f)).partitionBy(context.defaultParallelism * 4, int).values()
+    return spark.createDataFrame(found, SEGMENT_FILES, verifySchema=False)
 
 
 def _spread(files: DataFrame) -> DataFrame:
@@ -89,29 +91,52 @@ def frames_between(source, start: int, end: int):
         at += n + 40
 
 
+def _frames(batches):
+    """FRAMES of rows with log_id, segment_index, path, start and end, as a mapInArrow function."""
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in FRAMES.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
+    made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+    out, held = [], 0
+    for batch in batches:
+        for log, seg, path, start, end in zip(*(batch.column(c).to_pylist() for c in ("log_id", "segment_index", "path", "start", "end"))):
+            fs, at = filesystem(path)
+            with fs.open_input_file(at) as source:
+                for frame in frames_between(source, start, end):
+                    out.append((log, seg, *frame))
+                    held += 200 + len(frame[1] or b"")
+                    if held >= PIECE:
+                        yield made(out)
+                        out, held = [], 0
+    if out:
+        yield made(out)
+
+
 def read_ranges(ranges: DataFrame) -> DataFrame:
     """FRAMES of rows with log_id, segment_index, path, start and end; a range starts and ends between frames."""
+    return _spread(ranges.select("log_id", "segment_index", "path", "start", "end")).mapInArrow(_frames, FRAMES)
 
-    def read(batches):
+
+def read_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(FRAMES, SEGMENTS) of segment_files() that are dealt by file."""
+
+    def headers(batches):
         import pyarrow as pa
 
-        names = [x.split()[0] for x in FRAMES.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
+        names = [x.split()[0] for x in SEGMENTS.split(", ")]
         for batch in batches:
-            for log, seg, path, start, end in zip(*(batch.column(c).to_pylist() for c in ("log_id", "segment_index", "path", "start", "end"))):
+            found = []
+            for path in batch.column("path").to_pylist():
                 fs, at = filesystem(path)
-                out, held = [], 0
                 with fs.open_input_file(at) as source:
-                    for frame in frames_between(source, start, end):
-                        out.append((log, seg, *frame))
-                        held += len(frame[1] or b"")
-                        if held >= PIECE:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-                            out, held = [], 0
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-
-    return _spread(ranges.select("log_id", "segment_index", "path", "start", "end")).mapInArrow(read, FRAMES)
+                    found.append((source.read(HEADER_BYTES), source.size()))
+            if found:
+                read, sizes = zip(*found)
+                yield pa.RecordBatch.from_arrays([batch.column("log_id"), batch.column("segment_index"), pa.array(read, pa.binary()), pa.array(sizes, pa.int64())], names)
+
+    whole = files.select("log_id", "segment_index", "path", F.lit(HEADER_BYTES).cast("long").alias("start"), F.col("file_bytes").alias("end"))
+    return whole.mapInArrow(_frames, FRAMES), files.mapInArrow(headers, SEGMENTS)
 
 
 def bloom_places(value: str) -> list[tuple[int, int]]:

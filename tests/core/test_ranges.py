@@ -66,6 +66,20 @@ def test_files_are_listed_in_tasks(spark, store, tmp_path):
     assert [(log, seg) for log, seg, _, _ in list_segments(str(tmp_path))] == [("a", 7), ("a/b/c", 1), (tmp_path.name, 0)]
 
 
+def test_a_store_is_read_without_a_listing_in_the_driver(spark, store):
+    """And by the rows that the data source gives, which deals files in the driver."""
+    from sealwright.sources import segments
+
+    spark.dataSource.register(segments.AuditLogs)
+    source = spark.read.format("audit_logs")
+    plain = sorted(map(tuple, source.load(store).collect())), sorted(map(tuple, source.option("rows", "segments").load(store).collect()))
+    frames, heads = read_log(spark, store)
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (frames, heads)]
+    assert all("LogicalRDD" in p and "RelationV2" not in p for p in plans)
+    assert (sorted(map(tuple, frames.collect())), sorted(map(tuple, heads.collect()))) == plain
+    assert {x["segment_index"] for x in read_log(spark, store, 1, 2)[1].collect()} == {1, 2}
+
+
 def test_a_seek_reads_under_one_percent(spark, store):
     """Bytes that the source hands out, counted at the file."""
     wanted = r.Wanted("log1", 1, 7, 8)
